@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import decontaminate, secrets
+from claimloom.llm import decontaminate, secrets, warc
 from claimloom.llm.base import table
 
 
+def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read_records(warc.write(table(spark, sf_dir, "pages"), warc.new_folder(spark)))
+    response = F.col("record_type") == "response"
+    # a response's figures are those of the payload that was read back; a revisit has none, and states its response's
+    return records.select(
+        F.col("record_id").alias("page_id"),
+        F.when(response, F.col("n_bytes")).otherwise(F.col("stated_bytes")).alias("payload_bytes"),
+        F.when(response, F.col("digest")).otherwise(F.col("stated_digest")).alias("payload_digest"),
+        "record_type",
+        "refers_to",
+    )
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = secrets.train(secrets.samples(spark))
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
@@ -22,5 +35,5 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_secret_scan, op4_decontaminate)}
+QUERIES = {f.__name__: f for f in (op2_warc_round_trip, op3_secret_scan, op4_decontaminate)}
 ORACLES: dict[str, str] = {}
