@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import decontaminate, secrets, warc
+from claimloom.llm import decontaminate, secrets, substrings, warc
 from claimloom.llm.base import table
 
 
@@ -35,5 +35,9 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc_round_trip, op3_secret_scan, op4_decontaminate)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.trim(table(spark, sf_dir, "documents")).drop("kept")
+
+
+QUERIES = {f.__name__: f for f in (op2_warc_round_trip, op3_secret_scan, op4_decontaminate, op10_substring_dedup)}
 ORACLES: dict[str, str] = {}

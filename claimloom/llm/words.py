@@ -147,6 +147,14 @@ def ngrams(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def stretches(words: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A hash for each stretch of words, from start to before stop."""
+    power, inverse = _tables(len(words) + 1)
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * power[: len(words)], out=total[1:])
+    return mix((total[stop] - total[start]) * inverse[start] + (stop - start).astype(np.uint64))
+
+
 def inside(first: np.ndarray, n: int) -> np.ndarray:
     """For each text, how many n-grams lie in it."""
     return np.maximum(np.diff(first) - n + 1, 0)
