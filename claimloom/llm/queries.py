@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import decontaminate, secrets, substrings, warc
+from claimloom.llm import decontaminate, langid, secrets, substrings, warc
 from claimloom.llm.base import table
 
 
@@ -35,9 +35,18 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def language_model(docs: DataFrame) -> langid.Model:
+    return langid.fit(docs.where(~langid.held_out()))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, language_model(docs)).withColumn("held_out", langid.held_out())
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.trim(table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_warc_round_trip, op3_secret_scan, op4_decontaminate, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op2_warc_round_trip, op3_secret_scan, op4_decontaminate, op7_language_id, op10_substring_dedup)}
 ORACLES: dict[str, str] = {}
