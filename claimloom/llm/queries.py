@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import decontaminate, langid, secrets, substrings, warc
+from claimloom.llm import decontaminate, langid, minhash, secrets, substrings, warc
 from claimloom.llm.base import table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4)
+
+
 def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.read_records(warc.write(table(spark, sf_dir, "pages"), warc.new_folder(spark)))
     response = F.col("record_type") == "response"
@@ -48,5 +52,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.trim(table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_warc_round_trip, op3_secret_scan, op4_decontaminate, op7_language_id, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_warc_round_trip, op3_secret_scan, op4_decontaminate, op7_language_id, op10_substring_dedup)}
 ORACLES: dict[str, str] = {}
