@@ -123,6 +123,23 @@ def scan(data: np.ndarray, offsets: np.ndarray, kind: WordClass, places: bool =
     return (*out, begins, np.concatenate(stops) if stops else none) if places else out
 
 
+def bytes_hash(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash for each stretch of bytes, as scan() makes them."""
+    out = np.empty(len(begin), np.uint64)
+    at = 0
+    while at < len(begin):
+        low = int(begin[at])
+        to = max(at + 1, int(np.searchsorted(end, low + PIECE, "right")))
+        piece = data[low : int(end[to - 1])]
+        power, inverse = _tables(len(piece) + 1)
+        total = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(_VALUE[piece] * power[: len(piece)], out=total[1:])
+        s, e = begin[at:to] - low, end[at:to] - low
+        out[at:to] = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64))
+        at = to
+    return out
+
+
 def ngrams(words: np.ndarray, n: int) -> np.ndarray:
     """A hash for each n words in a row; those that run over a text's end are among them (see inside())."""
     if len(words) < n:
