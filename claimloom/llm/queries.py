@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import decontaminate, langid, minhash, packing, secrets, substrings, warc
+from claimloom.llm import decontaminate, langid, minhash, neighbours, packing, secrets, substrings, warc
 from claimloom.llm.base import table
 
 
@@ -58,9 +58,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, language_model(docs)).withColumn("held_out", langid.held_out())
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.trim(table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_warc_round_trip, op3_secret_scan, op4_decontaminate, op5_packing, op7_language_id, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_warc_round_trip, op3_secret_scan, op4_decontaminate, op5_packing, op7_language_id, op8_nearest_neighbours, op10_substring_dedup)}
 ORACLES: dict[str, str] = {}
