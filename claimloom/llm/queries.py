@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import decontaminate, langid, minhash, neighbours, packing, secrets, substrings, warc
+from claimloom.llm import decontaminate, langid, minhash, neighbours, packing, quality, secrets, substrings, toxicity, warc
 from claimloom.llm.base import table
 
 
@@ -49,6 +49,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False).drop("ids")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    chain = toxicity.fit(docs, labels, {"junk": F.col("quality") == 0, "toxic": F.col("toxic") == 1})
+    return toxicity.predict(docs, chain).withColumn("toxic", F.col("p_toxic") >= 0.5)
+
+
 def language_model(docs: DataFrame) -> langid.Model:
     return langid.fit(docs.where(~langid.held_out()))
 
@@ -63,9 +69,13 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def op9_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.trim(table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_warc_round_trip, op3_secret_scan, op4_decontaminate, op5_packing, op7_language_id, op8_nearest_neighbours, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_warc_round_trip, op3_secret_scan, op4_decontaminate, op5_packing, op6_toxicity, op7_language_id, op8_nearest_neighbours, op9_site_quality, op10_substring_dedup)}
 ORACLES: dict[str, str] = {}
