@@ -106,7 +106,7 @@ def occurrences(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     """A row for each document: doc_id, n_words, hits array<struct<item_id, start, stop>> (words; null if none)."""
     spark = docs.sparkSession
     small_batches(spark)
-    windows = keep(benchmark_windows(items, text=text, window=window), "windows")
+    windows = keep(benchmark_windows(items, window=window), "windows")
     sizes = sorted(r[0] for r in windows.select(F.least(F.size("words"), F.lit(SHINGLE)).alias("n")).distinct().collect())
     bits = np.zeros(1 << FILTER_BITS, bool)
     mask = (1 << FILTER_BITS) - 1
@@ -145,3 +145,9 @@ def report(docs: DataFrame, items: DataFrame, window: int = 13, least_share: int
     n_hit = covered(F.transform(hits, lambda h: F.struct(h["start"].alias("start"), h["stop"].alias("stop"))))
     out = occurrences(docs, items, window=window, **names).select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (least_share * F.col("n_hit") >= F.col("n_words")))
+
+
+def clean(docs: DataFrame, items: DataFrame, window: int = 13, least_share: int = 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that aren't contaminated, with all their columns."""
+    gone = keep(report(docs, items, window, least_share, doc_id=doc_id, text=text).where("contaminated").select(F.col("doc_id").alias("__gone")), "gone")
+    return docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")

@@ -195,3 +195,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, **names)
     members, labels = links(docs, size, percent, **names)
     out = members.select("doc_id", "n", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def first_of_each(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that are the first of their component, with all their columns; rows with an empty or null text stay."""
+    gone = keep(near_duplicates(docs, size, percent, doc_id=doc_id, text=text).where("not kept").select(F.col("doc_id").alias("__gone")), "gone")
+    return docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
