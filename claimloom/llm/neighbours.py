@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 
 from claimloom.llm.base import keep
 
-PROJECTIONS = 128
+PROJECTIONS = 64
 SHARD = 4096
 COLLISIONS = 0.55
 SHARE = 0.15
-START, GROWTH = 0.5, 1.2
+START, GROWTH = 0.75, 1.15
 
 
 def usable(vector: Column) -> Column:
@@ -53,10 +53,18 @@ class SortedProjections:
         projected = np.column_stack([self.vectors, more]) @ self.directions.T
         by = np.argsort(projected, axis=0, kind="stable")
         self.values = np.take_along_axis(projected, by, axis=0).T.copy()
-        self.members = by.T.astype(np.int32).copy()
+        # where each vector stands in each array; a window of an array is a range of such places
+        self.places = np.empty((len(self.directions), len(ids)), np.uint16 if len(ids) < 1 << 16 else np.int64)
+        np.put_along_axis(self.places, by.T, np.arange(len(ids), dtype=self.places.dtype)[None, :], axis=1)
         # of a vector from the mean of its array; differences of two are sqrt(2) of it apart
         self.spread = max(float(np.sqrt(2) * projected.std(axis=0).mean()), 1e-9 * max(largest, 1e-300))
 
+    def windows(self, centre: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
+        """First places and lengths of all queries' windows on each array (queries x projections x 1)."""
+        low = np.array([np.searchsorted(v, c - width) for v, c in zip(self.values, centre, strict=True)])
+        high = np.array([np.searchsorted(v, c + width, "right") for v, c in zip(self.values, centre, strict=True)])
+        return low.T[:, :, None].astype(self.places.dtype), (high - low).T[:, :, None].astype(self.places.dtype)
+
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
         """(query, vector, score) of each query's best k here."""
         scaled = queries * (self.largest / np.sqrt((queries**2).sum(axis=1)))[:, None]
@@ -64,24 +72,29 @@ class SortedProjections:
         n, m = len(self.ids), len(self.directions)
         need = min(n, k + 1 + int(SHARE * n))
         least = int(np.ceil(COLLISIONS * m))
-        steps = START * GROWTH ** np.arange(40) * self.spread
-        near = np.array([np.searchsorted(v, c) for v, c in zip(self.values, centre, strict=True)])
+        found: list[np.ndarray | None] = [None] * len(query_ids)
+        open_ = np.arange(len(query_ids))
+        width = START * self.spread
+        offset, inside = np.empty_like(self.places), np.empty(self.places.shape, bool)
+        for step in range(40):
+            low, length = self.windows(centre[:, open_], width)
+            for j, q in enumerate(open_.tolist()):
+                np.subtract(self.places, low[j], out=offset)
+                np.less(offset.view(np.uint16 if offset.itemsize == 2 else np.uint64), length[j].view(np.uint16 if offset.itemsize == 2 else np.uint64), out=inside)
+                seen = np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8)
+                hits = np.flatnonzero(seen >= least)
+                if len(hits) >= need:
+                    found[q] = hits
+            open_ = np.array([q for q in open_.tolist() if found[q] is None], np.int64)
+            if not len(open_):
+                break
+            width *= GROWTH
         for q in range(len(query_ids)):
-            low = high = near[:, q]
-            seen = np.zeros(n, np.int32)
-            for width in [*steps, np.inf]:
-                to_low = np.array([np.searchsorted(v, c - width) for v, c in zip(self.values, centre[:, q], strict=True)]) if np.isfinite(width) else np.zeros(m, np.int64)
-                to_high = np.array([np.searchsorted(v, c + width, "right") for v, c in zip(self.values, centre[:, q], strict=True)]) if np.isfinite(width) else np.full(m, n)
-                parts = [x for i in range(m) for x in (self.members[i, to_low[i] : low[i]], self.members[i, high[i] : to_high[i]])]
-                low, high = to_low, to_high
-                seen += np.bincount(np.concatenate(parts), minlength=n).astype(np.int32)
-                found = np.flatnonzero(seen >= least)
-                if len(found) >= need:
-                    break
-            found = found[self.ids[found] != query_ids[q]]
-            score = (self.vectors[found] * queries[q]).sum(axis=1)
-            best = np.lexsort((self.ids[found], -score))[:k]
-            yield int(query_ids[q]), self.ids[found[best]], score[best]
+            hits = np.arange(n) if found[q] is None else found[q]
+            hits = hits[self.ids[hits] != query_ids[q]]
+            score = (self.vectors[hits] * queries[q]).sum(axis=1)
+            best = np.lexsort((self.ids[hits], -score))[:k]
+            yield int(query_ids[q]), self.ids[hits[best]], score[best]
 
 
 def _matrix(column) -> np.ndarray:
