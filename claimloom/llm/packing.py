@@ -40,7 +40,7 @@ class Encoder:
     followed by punctuation is split once more, as the tokenizer itself would; words are cached by their 64-bit hash.
     """
 
-    LIMIT = 1 << 19
+    LIMIT = 1 << 22
 
     def __init__(self, path: str, end: int = 2):
         from tokenizers import Tokenizer
@@ -48,8 +48,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.end = end
         self.size = self.tokenizer.get_vocab_size()
-        self.cache: dict[int, int] = {}
-        self.pool: list[bytes] = []
+        self.forget()
         table = np.zeros(256, np.uint8)  # 1: letters, 2: punctuation, 3: anything else
         table[:] = 3
         for b in (*range(65, 91), *range(97, 123), 0xC3, *(x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7))):
@@ -59,6 +58,25 @@ class Encoder:
                 table[b] = 2
         self.kind = table
 
+    def forget(self) -> None:
+        """Empty the cache: sorted hashes, and where in the pool their ids are."""
+        self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.pool, self.filled = np.zeros(1 << 16, np.uint32 if self.size > 1 << 16 else np.uint16), 0
+
+    def _learn(self, values: np.ndarray, strings: list[str]) -> None:
+        """Tokenize units that aren't in the cache; values are sorted."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        n = np.array([len(x) for x in found], np.int32)
+        ids = np.array([i for x in found for i in x], self.pool.dtype)
+        if self.filled + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.filled], np.zeros(max(len(self.pool), len(ids)), self.pool.dtype)])
+        self.pool[self.filled : self.filled + len(ids)] = ids
+        place = np.searchsorted(self.keys, values)
+        self.keys = np.insert(self.keys, place, values)
+        self.at = np.insert(self.at, place, self.filled + np.cumsum(n, dtype=np.int32) - n)
+        self.n = np.insert(self.n, place, n)
+        self.filled += len(ids)
+
     def _units(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray):
         """Split words of letters and then punctuation in two. Returns the units' begins and ends, and whether their case may be folded."""
         letters, others = np.zeros(len(data) + 1, np.int64), np.zeros(len(data) + 1, np.int64)
@@ -90,25 +108,22 @@ class Encoder:
             lower = data.copy()
             upper = (data >= 65) & (data <= 90)
             lower[upper] += 32
-            keys = np.where(fold, W.bytes_hash(lower, begin, end), W.bytes_hash(data, begin, end) ^ np.uint64(1))
+            keys = W.bytes_hash(lower, begin, end)
+            odd = ~fold
+            keys[odd] = W.bytes_hash(data, begin[odd], end[odd]) ^ np.uint64(1)
             values, first, back = np.unique(keys, return_index=True, return_inverse=True)
-            if len(self.cache) > self.LIMIT:
-                self.cache, self.pool = {}, []
-            raw, raw_lower = data.tobytes(), lower.tobytes()
-            known = self.cache
-            new = [k for k, v in enumerate(values.tolist()) if v not in known]
-            if new:
+            if len(self.keys) > self.LIMIT:
+                self.forget()
+            new = np.ones(len(values), bool)
+            if len(self.keys):
+                new = self.keys[np.minimum(np.searchsorted(self.keys, values), len(self.keys) - 1)] != values
+            if new.any():
+                raw, raw_lower = data.tobytes(), lower.tobytes()
                 at = first[new]
-                strings = [(raw_lower if f else raw)[b:e].decode() for b, e, f in zip(begin[at].tolist(), end[at].tolist(), fold[at].tolist(), strict=True)]
-                for k, found in zip(new, self.tokenizer.encode_batch_fast(strings, add_special_tokens=False), strict=True):
-                    known[int(values[k])] = len(self.pool)
-                    self.pool.append(np.array(found.ids, np.uint32).tobytes())
-            parts = [self.pool[known[v]] for v in values.tolist()]
-            size = np.array([len(p) for p in parts], np.int64) // 4
-            flat = np.frombuffer(b"".join(parts), np.uint32)
-            place = np.cumsum(size) - size
-            which = size[back]
-            ids = flat[W.ragged(place[back], which)]
+                self._learn(values[new], [(raw_lower if f else raw)[b:e].decode() for b, e, f in zip(begin[at].tolist(), end[at].tolist(), fold[at].tolist(), strict=True)])
+            place = np.searchsorted(self.keys, values)[back]
+            which = self.n[place].astype(np.int64)
+            ids = self.pool[W.ragged(self.at[place].astype(np.int64), which)]
         # units belong to texts by where they begin; then the end tokens go in
         unit_text = np.searchsorted(begin, offsets)
         upto = np.concatenate([[0], np.cumsum(which)])[unit_text]
