@@ -4,7 +4,7 @@ Vectors get one more component, sqrt(M**2 - |x|**2) (M: the largest norm), and q
 that space is the order by inner product. PROJECTIONS random directions (blocks of orthonormal ones) project them; each projection is
 an array sorted by value. A query's window on each array is centred on its own projection and grows by GROWTH a
 step (virtual rehashing: nothing is hashed anew). Vectors found in at least COLLISIONS of all windows are candidates; once
-there are SHARE of all and k more, they are verified by their inner product in double precision on the original vectors.
+there are SHARE of all and LEAST * k more, they are verified by their inner product in double precision on the original vectors.
 
 The arrays are made for shards of about SHARD vectors, dealt by a hash of the id. Queries are sent to every shard, in the
 order of the partition: first the shard's vectors, then its queries in a stream. So a task holds one shard and one batch of
@@ -27,7 +27,7 @@ from claimloom.llm.base import keep
 PROJECTIONS = 64
 SHARD = 4096
 COLLISIONS = 0.55
-SHARE = 0.15
+SHARE, LEAST = 0.15, 8
 START, GROWTH = 0.75, 1.15
 
 
@@ -70,7 +70,7 @@ class SortedProjections:
         scaled = queries * (self.largest / np.sqrt((queries**2).sum(axis=1)))[:, None]
         centre = (scaled @ self.directions[:, :-1].T).T  # projections x queries
         n, m = len(self.ids), len(self.directions)
-        need = min(n, k + 1 + int(SHARE * n))
+        need = min(n, LEAST * k + int(SHARE * n))
         least = int(np.ceil(COLLISIONS * m))
         found: list[np.ndarray | None] = [None] * len(query_ids)
         open_ = np.arange(len(query_ids))
