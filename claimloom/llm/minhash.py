@@ -10,9 +10,16 @@ candidates. At a similarity of 0.8 a pair has so many but for a probability of 8
 * Counting: a pair that meets under one token or more is counted once over the whole signatures.
 * Candidates are confirmed on the full sets: 100 * |A and B| >= percent * |A or B|.
 
-Texts with equal sets are one member of the join. Within a posting list texts are not paired with each other but with
-one leader; links join texts into components, and after two such rounds only texts of different components that still meet are
-paired. So large groups of near copies cost a multiple of their size, and no link between components is lost.
+Texts with equal sets are one member of the join. Texts of a posting list are not paired with each other but with one
+head, that with the most tokens in common with others, and links join texts into components. For the pairs that are left:
+
+* Both texts are near the list's head, and at least one of them isn't linked with it. How they differ from the head tells how they
+  differ from each other: |A ^ B| = |A ^ H| + |B ^ H| - 2 * |(A ^ H) and (B ^ H)|. So they can only be linked if they share
+  enough of their differences, and a prefix-filtered join over differences, rarest first and bounded by position, finds them.
+* Texts that aren't near the head are paired with the others of the list that belong to another component, if enough of
+  their shingles occur in any other of these texts.
+
+So a large group of near copies costs a multiple of its size, and no link between components is lost.
 
 Defined results: an empty or null text has an empty set and is linked with nothing; fewer words than a shingle has make
 one shingle; repeated rows need ids of their own, and are copies then; an empty table gives an empty result.
@@ -24,7 +31,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm import words as W
@@ -92,8 +99,8 @@ def _count_matches(least: int):
     return run
 
 
-def _confirm(size: int, percent: int):
-    """Columns a, b, text_a, text_b: the pairs whose full sets are alike."""
+def _compare(size: int, percent: int):
+    """Columns a, b, text_a, text_b: the pairs with the sizes of their full sets, whether those are alike, and what is in one of them only."""
 
     def run(batches):
         for batch in batches:
@@ -105,18 +112,34 @@ def _confirm(size: int, percent: int):
                 values, counts = shingle_sets(texts.take(pa.array(at)), size)
                 for k, part in zip(at.tolist(), np.split(values, np.cumsum(counts)[:-1]) if len(at) else [], strict=True):
                     sets[int(ids[k])] = part
-            good = np.zeros(len(a), bool)
-            for k in range(len(a)):
-                x, y = sets[int(a[k])], sets[int(b[k])]
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good[k] = 100 * both >= percent * (len(x) + len(y) - both)
-            yield batch.select([0, 1]).filter(pa.array(good))
+            apart = [np.setxor1d(sets[int(x)], sets[int(y)], assume_unique=True) for x, y in zip(a, b, strict=True)]
+            n_a, n_b, d = (np.array(x, np.int64) for x in ([len(sets[int(x)]) for x in a], [len(sets[int(y)]) for y in b], [len(x) for x in apart]))
+            linked = d * (100 + percent) <= (n_a + n_b) * (100 - percent)
+            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(d)]).astype(np.int32), np.concatenate([*apart, np.zeros(0, np.uint64)]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_a), pa.array(n_b), pa.array(linked), lists], ["a", "b", "n_a", "n_b", "linked", "apart"])
+
+    return run
+
+
+def _shingles(size: int):
+    """doc_id and a row for each shingle."""
+
+    def run(batches):
+        for batch in batches:
+            values, counts = shingle_sets(batch.column(1), size)
+            ids = np.repeat(batch.column(0).to_numpy(), counts)
+            for at in range(0, len(ids), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + (1 << 16)]), pa.array(values[at : at + (1 << 16)].view(np.int64))], ["doc_id", "shingle"])
 
     return run
 
 
+def shared_sizes(bodies: DataFrame, size: int) -> DataFrame:
+    """doc_id, lone: how many of a text's shingles no other of these texts has; no row for none."""
+    lone = bodies.mapInArrow(_shingles(size), "doc_id long, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1")
+    return lone.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lone"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the smallest node that can be reached) for every node of the edges (a, b).
 
@@ -124,18 +147,18 @@ def components(edges: DataFrame) -> DataFrame:
     the longest path. Labels are written to the shared folder each round.
     """
     both = keep(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    labels = keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")), "labels")
+    labels = keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.lit(-1).cast("long").alias("old"), F.least("node", "b").alias("label")), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        near = keep(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "near")
-        up = near.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = keep(near.join(up, "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label")), "labels")
-        changed = not new.where("label <> old").isEmpty()
-        forget(labels, near)
-        labels = new.select("node", "label")
-        if not changed:
+        current = labels.select("node", "label")
+        near = both.join(current.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        up = current.select(F.col("node").alias("label"), F.col("label").alias("up"))
+        new = current.join(up, "label", "left").join(near, "node").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("up", "label"), "near").alias("label"))
+        new = keep(new, "labels")
+        forget(labels)
+        labels = new
+        if labels.where("label <> old").isEmpty():
             forget(both)
-            return labels
+            return labels.select("node", "label")
 
 
 def links(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -148,46 +171,83 @@ def links(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_
     members = keep(signed.join(keep(groups, "groups"), "digest", "left").select("doc_id", "n", "sig", F.coalesce("rep", "doc_id").alias("rep")), "members")
     forget(signed)
 
-    reps = members.where("n > 0 and doc_id = rep").select("doc_id", "sig")
+    reps = members.where("n > 0 and doc_id = rep").select("doc_id", "n", "sig")
     posts = reps.select("doc_id", F.posexplode("sig").alias("k", "v")).select("doc_id", F.xxhash64("k", "v").alias("token"))
     common = keep(posts.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "common")
     useful = posts.join(common, "token").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t")).where(F.size("t") >= MATCHES)
     prefix = F.slice("t", F.lit(1), F.size("t") - (MATCHES - 1))
-    suspects = keep(useful.select("doc_id", F.transform(prefix, lambda t: t["token"]).alias("tokens")).join(reps, "doc_id"), "suspects")
-    posted = keep(suspects.select("doc_id", F.explode("tokens").alias("token")), "posted")
+    suspects = keep(useful.select("doc_id", F.size("t").alias("common"), F.transform(prefix, lambda t: t["token"]).alias("tokens")).join(reps, "doc_id"), "suspects")
+    posted = keep(suspects.select("doc_id", "common", "n", F.explode("tokens").alias("token")), "posted")
     bodies = keep(texts.join(suspects.select("doc_id"), "doc_id"), "bodies")
     sigs = suspects.select("doc_id", "sig")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are links."""
+    def compared(pairs: DataFrame) -> DataFrame:
+        """Of the pairs (a, b), those with enough equal coordinates: a, b, n_a, n_b, linked, apart."""
         pairs = keep(pairs.distinct(), "pairs")
         both = pairs.join(sigs.toDF("a", "sig_a"), "a").join(sigs.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
         near = keep(both.mapInArrow(_count_matches(MATCHES), "a long, b long"), "near")
         full = near.join(bodies.toDF("a", "text_a"), "a").join(bodies.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-        return keep(full.mapInArrow(_confirm(size, percent), "a long, b long"), "links")
-
-    found = spark.createDataFrame([], "a long, b long")
-    labels = spark.createDataFrame([], "node long, label long")
-    for leader in (F.min, F.max):
-        posted_now = _labelled(posted, labels)
-        heads = keep(posted_now.groupBy("token").agg(leader(F.struct("doc_id", "label")).alias("head"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token", F.col("head.doc_id").alias("a"), F.col("head.label").alias("head_label")), "heads")
-        pairs = posted_now.join(heads, "token").where("label <> head_label").select("a", F.col("doc_id").alias("b"))
-        found = found.unionAll(confirmed(pairs))
-        labels = components(found)
-    # what still meets without being joined
-    posted_now = _labelled(posted, labels)
-    open_lists = keep(posted_now.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token"), "open")
-    rest = keep(posted_now.join(open_lists, "token", "left_semi"), "rest")
-    other = rest.select("token", F.col("doc_id").alias("b"), F.col("label").alias("label_b"))
-    pairs = rest.join(other, "token").where("label < label_b").select(F.col("doc_id").alias("a"), "b")
-    more = confirmed(pairs)
+        return keep(full.mapInArrow(_compare(size, percent), "a long, b long, n_a long, n_b long, linked boolean, apart array<long>"), "compared")
+
+    heads = posted.groupBy("token").agg(F.max_by(F.struct("doc_id", "n"), F.struct("common", -F.col("doc_id"))).alias("head"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    heads = keep(heads.select("token", F.col("head.doc_id").alias("head"), F.col("head.n").alias("n_head")), "heads")
+    listed = keep(posted.join(heads, "token").where("doc_id <> head").select("head", "n_head", "doc_id", "n", "token"), "listed")
+    star = compared(listed.where(_alike("n", "n_head", percent)).select(F.col("head").alias("a"), F.col("doc_id").alias("b")))
+    found = star.where("linked").select("a", "b")
+    labels = components(found).withColumnRenamed("node", "doc_id")
+
+    pairs = _by_differences(star, labels, percent)
+    # texts far from their list's head, with the list's others
+    near = star.select(F.col("a").alias("head"), F.col("b").alias("doc_id"), F.lit(True).alias("near"))
+    rows = listed.join(near, ["head", "doc_id"], "left").join(labels, "doc_id", "left").select("token", "doc_id", "n", F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("label", "doc_id").alias("label"))
+    rows = keep(rows, "rows")
+    rows = keep(rows.join(keep(rows.where("not near").select("token").distinct(), "far"), "token", "left_semi"), "rows")
+    # a shingle that no other of these texts has can't be shared: what is left must be large enough for the similarity
+    lone = keep(shared_sizes(bodies.join(rows.select("doc_id").distinct(), "doc_id", "left_semi"), size), "lone")
+    rows = rows.join(lone, "doc_id", "left").withColumn("core", F.col("n") - F.coalesce("lone", F.lit(0))).where(100 * F.col("core") >= percent * F.col("n")).drop("lone")
+    rows = keep(rows, "rows")
+    far = rows.where("not near").select("token", *[F.col(c).alias(f"{c}_f") for c in ("doc_id", "n", "label", "core")])
+    once = F.col("near") | (F.col("doc_id_f") < F.col("doc_id"))
+    enough = (100 + percent) * F.least("core", "core_f") >= percent * (F.col("n") + F.col("n_f"))
+    met = rows.join(far, "token").where((F.col("label") != F.col("label_f")) & once & enough & _alike("n", "n_f", percent))
+    pairs = pairs.unionByName(met.select(F.least("doc_id", "doc_id_f").alias("a"), F.greatest("doc_id", "doc_id_f").alias("b")))
+    more = compared(pairs).where("linked").select("a", "b")
     if not more.isEmpty():
-        labels = components(found.unionAll(more))
-    return members, labels
+        labels = components(found.unionAll(more)).withColumnRenamed("node", "doc_id")
+    return members, labels.withColumnRenamed("doc_id", "node")
 
 
-def _labelled(posted: DataFrame, labels: DataFrame) -> DataFrame:
-    return keep(posted.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "token", F.coalesce("label", "doc_id").alias("label")), "labelled")
+def _alike(n_a: str, n_b: str, percent: int) -> Column:
+    """Sizes of sets that may be similar enough."""
+    return (100 * F.col(n_a) >= percent * F.col(n_b)) & (100 * F.col(n_b) >= percent * F.col(n_a))
+
+
+def _by_differences(star: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of texts near one head, of different components, that share enough of their differences from it.
+
+    d and n: sizes of a text's difference and set. A link needs 2 * shared >= d + d' - (n + n') * (100 - percent) / (100 + percent).
+    Tokens are ordered by how many texts of the head's have them; those of one text alone come first and match nothing, `at`
+    counts them. A pair that first meets at `at` and `at'` shares no more than the rest of either.
+    """
+    more, less = 100 + percent, 100 - percent
+    open_ = star.where("not linked").select("a").distinct()
+    rows = keep(star.join(open_, "a", "left_semi").select("a", "b", F.col("n_a"), F.col("n_b").alias("n"), "linked", F.size("apart").alias("d"), "apart"), "open")
+    tokens = rows.select("a", "b", F.explode("apart").alias("t"))
+    common = keep(tokens.groupBy("a", "t").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "common")
+    sorted_ = tokens.join(common, ["a", "t"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("t"))
+    whole = rows.drop("apart").join(sorted_, ["a", "b"]).join(labels.toDF("b", "label"), "b", "left").withColumn("label", F.coalesce("label", "b"))
+    # what a text must share at least: with one that isn't linked to the head, and, if it isn't itself, with any
+    with_open = F.floor((F.col("d") * more + (F.col("n_a") - F.col("n")) * less) / (2 * more)) + 1
+    with_any = F.ceil(F.col("d") - F.col("n") * less / percent)
+    needs = F.greatest(F.lit(1), F.when(F.col("linked"), with_open).otherwise(with_any))
+    places = whole.withColumn("needs", needs).select("a", "b", "n", "d", "linked", "label", "needs", (F.col("d") - F.size("t")).alias("lone"), F.posexplode("t").alias("k", "x"))
+    places = places.select("a", "b", "n", "d", "linked", "label", F.col("x.t").alias("t"), (F.col("lone") + F.col("k")).alias("at"), "needs").where("at <= d - needs").drop("needs")
+    places = keep(places, "places")
+    x = places.where("not linked").select("a", "t", *[F.col(c).alias(f"{c}_x") for c in ("b", "n", "d", "label", "at")])
+    enough = 2 * more * F.least(F.col("d") - F.col("at"), F.col("d_x") - F.col("at_x")) >= more * (F.col("d") + F.col("d_x")) - less * (F.col("n") + F.col("n_x"))
+    once = F.col("linked") | (F.col("b_x") < F.col("b"))
+    met = places.join(x, ["a", "t"]).where((F.col("label") != F.col("label_x")) & once & enough & _alike("n", "n_x", percent))
+    return met.select(F.least("b", "b_x").alias("a"), F.greatest("b", "b_x").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, **names) -> DataFrame:
