@@ -238,3 +238,344 @@ def connected_components(spark, sf_dir):
 )
 def graph_metrics(spark, sf_dir):
     return P.graph_metrics(_facts(spark, sf_dir)).drop("execution_id", "components")
+
+
+# ordered sequences: events as iterations, their types as answers
+
+
+def _iterations(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select(F.col("user_id").alias("sub_question_id"), "event_id", "ts", F.col("event_type").alias("answer"), F.concat(F.col("event_type"), F.lit("|"), F.round(F.col("value") / 50).cast("int").cast("string")).alias("signature"), "value")
+
+
+def _numbered(df):
+    return df.withColumn("iteration", F.row_number().over(Window.partitionBy("sub_question_id").orderBy("ts", "event_id")) - 1)
+
+
+_EVENTS = "SELECT user_id AS sub_question_id, event_id, ts, event_type AS answer, event_type || '|' || round(value / 50)::INT AS signature, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS iteration FROM events"
+
+
+@query(f"WITH e AS ({_EVENTS}) SELECT event_id, coalesce(answer = lag(answer) OVER w OR signature = lag(signature) OVER w, false) AS stalled FROM e WINDOW w AS (PARTITION BY sub_question_id ORDER BY iteration)")
+def stall_detection(spark, sf_dir):
+    from claimloom.operators import iteration
+
+    return iteration.with_previous(_numbered(_iterations(spark, sf_dir)), ["sub_question_id"]).select("event_id", "stalled")
+
+
+@query(
+    f"""WITH e AS ({_EVENTS}), g AS (SELECT *, sum(CASE WHEN answer = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY sub_question_id ORDER BY iteration) AS part FROM e)
+    SELECT event_id, (sum(CASE WHEN answer = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY sub_question_id, part ORDER BY iteration))::BIGINT AS streak FROM g"""
+)
+def timeout_streaks(spark, sf_dir):
+    from claimloom.operators import iteration
+
+    return iteration.streaks(_numbered(_iterations(spark, sf_dir)), ["sub_question_id"], "iteration", F.col("answer") == "error").select("event_id", "streak")
+
+
+@query(f"WITH e AS ({_EVENTS}) SELECT sub_question_id, arg_min(answer, iteration) AS first_answer, arg_max(answer, iteration) AS last_answer, (count(*) - 1)::BIGINT AS revision_count FROM e GROUP BY sub_question_id")
+def first_last_iteration(spark, sf_dir):
+    from claimloom.operators import iteration
+
+    return iteration.first_and_last(_numbered(_iterations(spark, sf_dir)), ["sub_question_id"], ["answer"])
+
+
+@query(f"WITH e AS ({_EVENTS}) SELECT event_id, coalesce(sum(length(answer)) OVER (PARTITION BY sub_question_id ORDER BY iteration ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS size_before FROM e")
+def running_kgc_size(spark, sf_dir):
+    from claimloom.operators import iteration
+
+    rows = _numbered(_iterations(spark, sf_dir)).withColumn("added", F.length("answer"))
+    return iteration.running_total(rows, ["sub_question_id"], "iteration", "added").select("event_id", F.col("size_before").cast("long").alias("size_before"))
+
+
+def _results(spark, sf_dir):
+    from claimloom.operators import reports
+
+    e = _table(spark, sf_dir, "events")
+    rows = e.select(
+        F.col("event_id").alias("ord"),
+        (1 + F.col("user_id") % 10).cast("int").alias("hop_count"),
+        F.when(F.col("event_type") == "error", F.when(F.col("event_id") % 3 == 0, "model timeout").otherwise("broken")).alias("error"),
+        (F.col("event_type") == "purchase").alias("exact_match"),
+        F.col("event_type").isin("purchase", "click").alias("contains_expected"),
+        ((F.col("event_type") != "error") & (F.col("event_id") % 2 == 0)).alias("resolved"),
+        (F.col("event_id") % 4).alias("iterations"),
+        F.col("value").alias("runtime_seconds"),
+        F.when(F.col("event_id") % 5 == 0, "UNRESOLVED_NO_EVIDENCE").otherwise("MAX_ITERATIONS").alias("stop"),
+    )
+    return rows.withColumn("failure_category", reports.failure_category(F.col("error"), F.col("resolved"), F.col("contains_expected"), F.col("stop")))
+
+
+_RESULTS = """WITH r AS (SELECT event_id AS ord, (1 + user_id % 10)::INT AS hop_count, CASE WHEN event_type = 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'model timeout' ELSE 'broken' END END AS error,
+  event_type = 'purchase' AS exact_match, event_type IN ('purchase', 'click') AS contains_expected, event_type <> 'error' AND event_id % 2 = 0 AS resolved, event_id % 4 AS iterations, value AS runtime_seconds,
+  CASE WHEN event_id % 5 = 0 THEN 'UNRESOLVED_NO_EVIDENCE' ELSE 'MAX_ITERATIONS' END AS stop FROM events),
+results AS (SELECT *, CASE WHEN error LIKE '%timeout%' THEN 'model_timeout' WHEN error IS NOT NULL THEN 'pipeline_error' WHEN resolved THEN NULL WHEN contains_expected THEN 'answer_matched_textually_but_pipeline_unresolved'
+  WHEN stop = 'UNRESOLVED_NO_EVIDENCE' THEN 'unresolved_no_evidence' ELSE 'contradiction_or_uncertainty_remained' END AS failure_category FROM r)
+"""
+_FIGURES = """count(*)::BIGINT AS questions, count(*) FILTER (error IS NULL)::BIGINT AS completed, count(*) FILTER (exact_match)::BIGINT AS exact_match, count(*) FILTER (contains_expected)::BIGINT AS contains_expected,
+  count(*) FILTER (resolved)::BIGINT AS pipeline_resolved, count(*) FILTER (resolved AND contains_expected)::BIGINT AS resolved_and_matched, count(*) FILTER (NOT resolved AND contains_expected AND error IS NULL)::BIGINT AS unresolved_but_contained,
+  round(avg(iterations), 6) AS average_iterations, round(avg(runtime_seconds), 6) AS average_runtime_seconds"""
+
+
+def _rounded(df):
+    return df.withColumns({c: F.round(c, 6) for c in ("average_iterations", "average_runtime_seconds")})
+
+
+@query(_RESULTS + f"SELECT hop_count, {_FIGURES} FROM results GROUP BY hop_count")
+def bench_summary_by_hop(spark, sf_dir):
+    from claimloom.operators import reports
+
+    return _rounded(reports.summary_by_hop(_results(spark, sf_dir)))
+
+
+@query(_RESULTS + f"SELECT coalesce(hop_count, -1) AS hop_count, {_FIGURES} FROM results GROUP BY ROLLUP (hop_count)")
+def bench_summary_rollup(spark, sf_dir):
+    from claimloom.operators import reports
+
+    return _rounded(reports.summary_rollup(_results(spark, sf_dir))).withColumn("hop_count", F.coalesce("hop_count", F.lit(-1)))
+
+
+@query(_RESULTS + "SELECT hop_count, failure_category, n, (row_number() OVER (PARTITION BY hop_count ORDER BY n DESC, first))::INT AS place FROM (SELECT hop_count, failure_category, count(*)::BIGINT AS n, min(ord) AS first FROM results WHERE failure_category IS NOT NULL GROUP BY hop_count, failure_category)")
+def failure_histogram(spark, sf_dir):
+    from claimloom.operators import reports
+
+    return reports.failure_histogram(_results(spark, sf_dir), ["hop_count"])
+
+
+@query(
+    _LADDER
+    + f"""SELECT a.c_custkey, string_agg(l.label || '|' || l.s || '|' || l.r || '|' || l.o, ';' ORDER BY l.label || '|' || l.s || '|' || l.r || '|' || l.o) AS signature
+    FROM labelled l JOIN orders ON o_orderkey = l.ord JOIN customer a ON a.c_custkey = o_custkey GROUP BY a.c_custkey"""
+)
+def evaluation_signature(spark, sf_dir):
+    from claimloom.operators import iteration
+
+    owner = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), F.col("o_custkey").alias("c_custkey"))
+    return C.compare(_claims(spark, sf_dir), _facts(spark, sf_dir)).join(owner, "ord").groupBy("c_custkey").agg(iteration.signature().alias("signature"))
+
+
+@query(
+    _LADDER
+    + """SELECT o_custkey AS c_custkey, count(*) FILTER (label = 'SUPPORTED' AND r IN ('placed_by', 'built_by')) = 0 AND count(*) FILTER (label = 'SUPPORTED') > 0 AS irrelevant_only, count(*) FILTER (label = 'SUPPORTED')::BIGINT AS irrelevant, false AS satisfied
+    FROM labelled JOIN orders ON o_orderkey = ord GROUP BY o_custkey"""
+)
+def target_satisfaction(spark, sf_dir):
+    from claimloom.operators import iteration
+
+    owner = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), F.col("o_custkey").alias("c_custkey"))
+    judged = C.compare(_claims(spark, sf_dir), _facts(spark, sf_dir)).join(owner, "ord").withColumn("intent", F.lit("leader"))
+    out = iteration.satisfaction(judged, ["c_custkey"])
+    own = judged.groupBy("c_custkey").agg(((F.count_if((F.col("label") == "SUPPORTED") & T.normalize_relation("relation").isin("placed_by", "built_by")) == 0) & (F.count_if(F.col("label") == "SUPPORTED") > 0)).alias("irrelevant_only"))
+    return out.join(own, "c_custkey").select("c_custkey", "irrelevant_only", "irrelevant", "satisfied")
+
+
+@query(
+    f"""WITH facts AS ({G.FACTS_SQL}), new AS (SELECT ord, regexp_replace('The ' || lower(subject), '^The ', CASE WHEN ord % 2 = 0 THEN 'the ' ELSE '' END) AS subject, relation, CASE WHEN ord % 3 = 0 THEN object || ' annex' ELSE upper(object) END AS object FROM facts WHERE relation <> 'placed_by'),
+    k AS (SELECT trim(regexp_replace({G.norm("subject")}, '^the ', '')) AS ks, {G.norm_relation("relation")} AS kr, {G.norm("object")} AS ko FROM facts),
+    n AS (SELECT *, trim(regexp_replace({G.norm("subject")}, '^the ', '')) AS ks, {G.norm_relation("relation")} AS kr, {G.norm("object")} AS ko FROM new),
+    fresh AS (SELECT *, row_number() OVER (PARTITION BY ks, kr, ko ORDER BY ord) AS rn FROM n ANTI JOIN k USING (ks, kr, ko))
+    SELECT ord, subject, relation, object FROM fresh WHERE rn = 1"""
+)
+def working_merge(spark, sf_dir):
+    facts = _facts(spark, sf_dir)
+    new = facts.where("relation <> 'placed_by'").withColumn("subject", F.concat(F.when(F.col("ord") % 2 == 0, "the ").otherwise(""), F.lower("subject")))
+    new = new.withColumn("object", F.when(F.col("ord") % 3 == 0, F.concat("object", F.lit(" annex"))).otherwise(F.upper("object")))
+    return M.merge(facts, new)[1].select("ord", "subject", "relation", "object")
+
+
+@query(
+    """WITH p AS (SELECT p_partkey AS ord, 'Part#' || p_partkey % 97 AS subject, p_brand AS relation, p_size AS object, p_name AS evidence FROM part)
+    SELECT subject, relation, arg_max(object, ord) AS object, arg_max(evidence, ord) AS evidence, max(ord) AS ord FROM p GROUP BY subject, relation"""
+)
+def fact_upsert(spark, sf_dir):
+    rows = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), F.concat(F.lit("Part#"), F.col("p_partkey") % 97).alias("subject"), F.col("p_brand").alias("relation"), F.col("p_size").alias("object"), F.col("p_name").alias("evidence"))
+    half = rows.agg(F.max("ord")).first()[0] // 2
+    return M.upsert(rows.where(F.col("ord") <= half), rows.where(F.col("ord") > half), ["subject", "relation"])
+
+
+@query(
+    f"""WITH facts AS ({G.FACTS_SQL}), t AS (SELECT r_regionkey AS sub_question_id, r_name FROM region),
+    x AS (SELECT sub_question_id, ord, subject, relation, CASE WHEN {G.norm("subject")} = {G.norm("r_name")} THEN 2 ELSE 0 END AS score FROM facts, t WHERE relation IN ('located_in', 'part_of'))
+    SELECT sub_question_id, arg_min(ord, (-score, ord)) AS ord FROM x GROUP BY sub_question_id"""
+)
+def focused_top1(spark, sf_dir):
+    regions = _table(spark, sf_dir, "region").select(F.lit("all").alias("execution_id"), F.col("r_regionkey").alias("sub_question_id"), F.lit("where?").alias("question"), F.lit("location_containment").alias("intent"), F.col("r_name").alias("primary_subject"), F.lit(None).cast("string").alias("canonical_relation"))
+    return M.focused(_facts(spark, sf_dir), regions).select("sub_question_id", "ord")
+
+
+@query(
+    f"""WITH facts AS ({G.FACTS_SQL}), c AS (SELECT subject, count(*) AS n, min(ord) AS first FROM facts GROUP BY subject) SELECT subject, n::BIGINT AS n FROM c ORDER BY n DESC, first LIMIT 1"""
+)
+def subject_mode(spark, sf_dir):
+    counts = _facts(spark, sf_dir).groupBy("subject").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("at"))
+    return counts.agg(F.max_by("subject", F.struct("n", -F.col("at"))).alias("subject"), F.max("n").alias("n"))
+
+
+@query(_LADDER + "SELECT year AS execution_id, label, count(*)::BIGINT AS n, count(DISTINCT s)::BIGINT AS subjects FROM labelled GROUP BY year, label")
+def execution_summary(spark, sf_dir):
+    out = C.compare(_claims(spark, sf_dir), _facts(spark, sf_dir))
+    return out.groupBy(F.col("year").alias("execution_id"), "label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(T.normalize("subject")).alias("subjects"))
+
+
+@query(_LADDER + "SELECT year, ord, label FROM (SELECT *, row_number() OVER (PARTITION BY year ORDER BY ord) AS rn FROM labelled WHERE label IN ('CONTRADICTED', 'NO_EVIDENCE', 'NOT_ENOUGH_INFO')) WHERE rn <= 200")
+def bad_claims_topn(spark, sf_dir):
+    out = C.compare(_claims(spark, sf_dir), _facts(spark, sf_dir)).where(F.col("label").isin("CONTRADICTED", "NO_EVIDENCE", "NOT_ENOUGH_INFO"))
+    rn = F.row_number().over(Window.partitionBy("year").orderBy("ord"))
+    return out.select("year", "ord", "label", rn.alias("rn")).where("rn <= 200").drop("rn")
+
+
+@query(
+    """WITH prior AS (SELECT o_orderkey % 5000 AS id, arg_max(o_orderstatus, o_orderkey) AS status, arg_max(o_custkey, o_orderkey) AS cust FROM orders GROUP BY 1)
+    SELECT c_custkey AS id, status IS NOT NULL AND status <> 'F' AS skip, CASE WHEN status IS NULL THEN 1 ELSE greatest(cust % 4, 1) + 1 END::BIGINT AS attempt FROM customer LEFT JOIN prior ON id = c_custkey"""
+)
+def resume_partition(spark, sf_dir):
+    from claimloom.operators import reports
+
+    asked = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    prior = _table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 5000).alias("id"), F.col("o_orderkey").alias("ord"), F.when(F.col("o_orderstatus") == "F", "failed").alias("error"), (F.col("o_custkey") % 4).alias("attempt_number"))
+    return reports.resume(asked, prior, retry_errors=True).select("id", "skip", F.col("attempt").cast("long").alias("attempt"))
+
+
+@query(
+    r"""WITH s AS (SELECT item_id, unnest(list_filter(string_split_regex(regexp_replace(replace(b.text, chr(10), ' '), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')) AS sentence FROM benchmark b)
+    SELECT item_id, max(length(trim(sentence)))::BIGINT AS longest, count(*)::BIGINT AS n FROM s GROUP BY item_id"""
+)
+def benchmark_sentences(spark, sf_dir):
+    rows = _table(spark, sf_dir, "benchmark").select("item_id", F.explode(T.flat_sentences("text")).alias("s"))
+    return rows.groupBy("item_id").agg(F.max(F.length("s")).cast("long").alias("longest"), F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def locality_audit(spark, sf_dir):
+    """Each benchmark item's longest word as an answer, looked for in the item itself."""
+    from claimloom.operators import reports
+
+    items = _table(spark, sf_dir, "benchmark").withColumn("answer", F.get(F.array_sort(F.split("text", r"\s+"), lambda a, b: F.length(b) - F.length(a)), F.lit(0)))
+    return reports.locality(items.select("item_id", F.col("text").alias("question"), "answer"), items.select("item_id", F.col("text").alias("context")), ["item_id"])
+
+
+@query(
+    """SELECT count(*) FILTER (json_type(props) = 'OBJECT')::BIGINT AS objects, count(*)::BIGINT AS n FROM events"""
+)
+def anomaly_histogram(spark, sf_dir):
+    from claimloom.sources import decode
+
+    rows = _table(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").alias("item"))
+    reasons = decode.coerce_triples(rows).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return reasons.agg(F.coalesce(F.sum(F.when(F.col("reason") == "dictionary_missing_triple_keys", F.col("n"))), F.lit(0)).alias("objects"), F.sum("n").alias("n"))
+
+
+@query(
+    """SELECT event_id, user_id::VARCHAR AS subject, 'did' AS relation, CASE WHEN event_id % 3 = 0 OR event_id % 7 <> 0 THEN event_type END AS object, CASE WHEN event_id % 3 <> 0 AND event_id % 7 = 0 THEN 'missing_third_element' END AS reason,
+    CASE WHEN event_id % 3 = 0 THEN 'positional_array' ELSE 'alias_subj_to_subject,alias_predicate_to_relation' END AS normalizations FROM events"""
+)
+def coerce_triples(spark, sf_dir):
+    from claimloom.sources import decode
+
+    e = _table(spark, sf_dir, "events")
+    obj = F.when(F.col("event_id") % 7 == 0, F.lit(None).cast("string")).otherwise(F.col("event_type"))
+    shapes = F.when(F.col("event_id") % 3 == 0, F.to_json(F.array(F.col("user_id").cast("string"), F.lit("did"), "event_type"))).otherwise(F.to_json(F.struct(F.col("user_id").alias("subj"), F.lit("did").alias("predicate"), obj.alias("object"))))
+    rows = e.select("event_id", F.parse_json(shapes).alias("item"))
+    return decode.coerce_triples(rows).select("event_id", "subject", "relation", "object", "reason", F.array_join("normalizations", ",").alias("normalizations"))
+
+
+@query(
+    """SELECT n_nationkey, a || n_name || b AS question, intent FROM nation, (VALUES ('Which region contains the nation of ', '?', 'location_containment'), ('Who led ', '?', 'leader'), ('What is the capital of ', '?', 'capital_city'),
+    ('When was ', ' founded?', 'occurrence_date'), ('In which town was the leader of ', ' born?', 'birthplace'), ('Why is ', ' blue?', 'general')) AS f(a, b, intent)"""
+)
+def question_intent(spark, sf_dir):
+    """Questions made of the nations' names."""
+    from claimloom.operators import questions
+
+    nation = _table(spark, sf_dir, "nation")
+    forms = F.array(*[F.concat(F.lit(a), "n_name", F.lit(b)) for a, b in (("Which region contains the nation of ", "?"), ("Who led ", "?"), ("What is the capital of ", "?"), ("When was ", " founded?"), ("In which town was the leader of ", " born?"), ("Why is ", " blue?"))])
+    return questions.with_intent(nation.select("n_nationkey", F.explode(forms).alias("question")))
+
+
+@query()
+def value_equivalence(spark, sf_dir):
+    part = _table(spark, sf_dir, "part")
+    size = F.col("p_size").cast("string")
+    return part.select("p_partkey", V.same_dose(F.concat(size, F.lit(" mg daily")), F.concat(F.lit("dose of "), size, F.lit("MG"))).alias("dose"), V.same_lab_value(F.concat(size, F.lit("%")), F.concat(F.lit("A1C "), size)).alias("lab"), V.same_names("p_name", F.replace("p_name", F.lit(" "), F.lit(" and "))).alias("names"), V.same_president(F.concat(F.lit("President "), "p_brand"), "p_brand").alias("president"))
+
+
+@query(
+    """WITH c AS (SELECT c_custkey::VARCHAR AS execution_id, 'Patient Case ' || c_custkey AS subject, c_mktsegment AS seg, c_custkey % 9 + 4 AS lab FROM customer)
+    SELECT execution_id, 0 AS sub_question_id, 0::BIGINT AS ord, subject, 'diagnosed_with' AS relation, 'condition ' || seg || ' disease' AS object, subject || ' has condition ' || seg || ' disease' AS evidence FROM c
+    UNION ALL SELECT execution_id, 1, 0, subject, 'has_a1c', lab || '%', 'A1C is ' || lab || '%' FROM c
+    UNION ALL SELECT execution_id, 2, 0, subject, 'active_medication', 'Drug' || execution_id, 'Drug' || execution_id || ' 10 mg daily remains active' FROM c
+    UNION ALL SELECT execution_id, 2, 1, subject, 'daily_dose', '10 mg daily', 'Drug' || execution_id || ' 10 mg daily remains active' FROM c"""
+)
+def derive_facts(spark, sf_dir):
+    """One chart for each customer, read for three intents."""
+    from claimloom.operators import derive
+
+    c = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("execution_id"), F.format_string("Patient Case %d has condition %s disease. A1C is %d%%. CKD stage 3. Drug%d 10 mg daily remains active.", "c_custkey", "c_mktsegment", (F.col("c_custkey") % 9 + 4).cast("int"), "c_custkey").alias("context"))
+    intents = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("i")) for k, i in enumerate(("diagnosis", "lab_measurement", "active_medication_with_dose"))])).alias("x")
+    targets = c.select("execution_id", intents).select("execution_id", F.col("x.k").alias("sub_question_id"), F.lit("?").alias("question"), F.col("x.i").alias("intent"), F.lit(None).cast("string").alias("primary_subject"), F.lit(None).cast("string").alias("canonical_relation"))
+    return derive.bootstrap(targets, c)
+
+
+_LADDER_INPUT = """WITH f AS (SELECT range AS id, range % 3 AS iteration, (range // 3) % 2 AS a, (range // 6) % 3 AS p, (range // 18) % 3 AS g, (range // 54) % 3 AS supported, (range // 162) % 2 AS contradicted, (range // 324) % 2 AS no_evidence, (range // 648) % 2 AS irrelevant, (range // 1296) % 3 AS path FROM range(3888)),
+i AS (SELECT *, a = 1 AS quiet, p > 0 AS again, p = 2 AS quiet_before, iteration = 2 AS last, supported + contradicted + no_evidence AS claims, irrelevant = 0 AS satisfied, (p = 1 AND a = 0) OR (p = 2 AND a = 1) OR (p > 0 AND g = 0) AS same FROM f),
+c AS (SELECT *, claims > 0 AND contradicted = 0 AND no_evidence = 0 AS clean FROM i)
+"""
+
+
+@query(
+    _LADDER_INPUT
+    + """SELECT id, CASE WHEN claims = 0 AND quiet THEN CASE WHEN quiet_before OR iteration > 0 THEN 'UNRESOLVED_NO_EVIDENCE' WHEN NOT again THEN 'GENERATION_FAILED' END WHEN claims = 0 THEN CASE WHEN iteration > 0 THEN 'NO_CLAIMS_EXTRACTED' END
+    WHEN clean AND satisfied AND path = 2 THEN CASE WHEN last THEN 'UNRESOLVED_TARGET_NOT_SATISFIED' END WHEN clean AND satisfied THEN 'RESOLVED' WHEN clean THEN CASE WHEN last THEN 'UNRESOLVED_TARGET_NOT_SATISFIED' END
+    WHEN same THEN 'STALLED' WHEN last AND contradicted = 0 AND no_evidence > 0 THEN 'UNRESOLVED_NO_EVIDENCE' WHEN last AND irrelevant > 0 THEN 'UNRESOLVED_TARGET_NOT_SATISFIED' WHEN last THEN 'MAX_ITERATIONS' END AS stop_reason,
+    CASE WHEN claims = 0 AND quiet AND quiet_before THEN 'repeated_abstention' WHEN claims = 0 AND quiet AND iteration > 0 THEN 'abstention_after_revision' WHEN claims = 0 AND quiet AND NOT again THEN 'initial_abstention' WHEN clean AND satisfied AND path = 2 THEN 'incomplete_evidence_path' END AS sub_reason FROM c"""
+)
+def stop_ladder(spark, sf_dir):
+    """All combinations of the ladder's inputs."""
+    from claimloom.operators import iteration
+
+    flags = spark.range(3 * 2 * 3 * 3 * 3 * 2 * 2 * 2 * 3)
+    at, rest = [], F.col("id")
+    for n in (3, 2, 3, 3, 3, 2, 2, 2, 3):
+        at.append((rest % n).cast("int"))
+        rest = F.floor(rest / n)
+    answers = F.array(F.lit("Ohio"), F.lit("cannot determine"))
+    rows = flags.select(
+        "id",
+        at[0].alias("iteration"),
+        F.lit(3).alias("max_iterations"),
+        F.get(answers, at[1]).alias("answer"),
+        F.get(F.array(F.lit(None).cast("string"), F.lit("Ohio"), F.lit("cannot determine")), at[2]).alias("previous_answer"),
+        F.lit("s").alias("signature"),
+        F.when(at[2] > 0, F.get(F.array(F.lit("s"), F.lit("t"), F.lit(None).cast("string")), at[3])).alias("previous_signature"),
+        at[4].alias("supported"),
+        at[5].alias("contradicted"),
+        at[6].alias("no_evidence"),
+        (at[4] + at[5] + at[6]).alias("claims"),
+        (at[7] == 0).alias("satisfied"),
+        at[7].alias("irrelevant"),
+        F.lit(False).alias("enriched"),
+        F.lit(False).alias("derived"),
+        F.get(F.array(F.lit(None).cast("boolean"), F.lit(True), F.lit(False)), at[8]).alias("path_complete"),
+    )
+    return iteration.stop_decision(rows).select("id", "stop_reason", "sub_reason")
+
+
+@query("SELECT n_nationkey::INT AS sub_question_id, CASE n_nationkey % 3 WHEN 2 THEN 'STALLED' ELSE 'RESOLVED' END AS stop_reason, CASE n_nationkey % 3 WHEN 0 THEN 0 ELSE 1 END AS iteration FROM nation")
+def iterate_batch(spark, sf_dir):
+    """Every nation's region, asked with a model that is right, right after a correction, or never."""
+    from claimloom.plans import iterate
+
+    facts = _facts(spark, sf_dir).where("relation = 'part_of'").select("execution_id", "ord", "subject", "relation", "object", "evidence")
+    n = _table(spark, sf_dir, "nation").join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.lit("all").alias("execution_id"), F.col("n_nationkey").cast("int").alias("sub_question_id"), "n_name", "r_name")
+    asked = n.select("execution_id", "sub_question_id", F.concat(F.lit("Which region contains the nation of "), "n_name", F.lit("?")).alias("question"))
+    answers = n.select("execution_id", "sub_question_id", F.when(F.col("sub_question_id") % 3 == 0, F.col("r_name")).otherwise("Atlantis").alias("answer"))
+    contexts = n.select("execution_id").distinct().withColumn("context", F.lit("Nations are parts of regions."))
+
+    def extract(rows):
+        own = ["execution_id", "sub_question_id"]
+        return rows.join(n.select(*own, "n_name"), own).select(*own, "iteration", F.lit(0).cast("long").alias("ord"), F.col("n_name").alias("subject"), F.lit("part_of").alias("relation"), F.col("answer").alias("object"), F.col("answer").alias("source_sentence"))
+
+    def revise(rows):
+        own = ["execution_id", "sub_question_id"]
+        return rows.join(n.select(*own, "r_name"), own).select(*own, F.when(F.col("sub_question_id") % 3 == 1, F.col("r_name")).otherwise(F.col("answer")).alias("answer"))
+
+    results, _ = iterate.run(asked, contexts, facts, answers, extract, revise, with_paths=False)
+    return results.select("sub_question_id", "stop_reason", "iteration")
