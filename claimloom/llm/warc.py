@@ -115,23 +115,27 @@ def write(pages: DataFrame, folder: str, record_id: str = "page_id", url: str =
     return keep(chunks.mapInArrow(_writer(folder), INDEX), "index")
 
 
-def _stream(source, size: int):
-    """The inflated bytes of one gzip member, in pieces of at most `size` bytes."""
+def _stream(source, left: int, size: int):
+    """The inflated bytes of one gzip member of `left` bytes, in pieces of at most `size` bytes."""
     unpack = zlib.decompressobj(31)
     while not unpack.eof:
-        fed = unpack.unconsumed_tail or source.read(size)
-        if not fed:
+        fed = unpack.unconsumed_tail
+        if not fed and left:
+            fed = source.read(min(size, left))
+            left -= len(fed)
+        piece = unpack.decompress(fed, size)
+        if not fed and not piece and not unpack.eof:
             raise ValueError("the archive ends within a record")
-        yield unpack.decompress(fed, size)
+        yield piece
 
 
 def _records(archive: str, index: list[tuple[int, int]], size: int):
     """For each record of the archive: its headers, then its payload's chunks. index: offset and length."""
     store, path = _store(archive)
     with store.open_input_file(path) as file:
-        for at, _ in index:
+        for at, length in index:
             file.seek(at)
-            held, pieces = b"", _stream(file, size)
+            held, pieces = b"", _stream(file, length, size)
             while b"\r\n\r\n" not in held:
                 held += next(pieces)
             head, _, held = held.partition(b"\r\n\r\n")
@@ -189,8 +193,10 @@ READ = "record_id long, record_type string, refers_to long, stated_bytes long, s
 
 
 def _blocks(index: DataFrame, block: int) -> DataFrame:
-    """Records of an archive that lie within a stretch of `block` bytes are read together."""
-    return index.groupBy("archive", F.floor(F.col("at") / block).alias("block")).agg(F.collect_list(F.struct("at", "bytes")).alias("records"))
+    """Records of an archive that lie within a stretch of `block` bytes are read together, each such stretch by a task of its own."""
+    total = index.agg(F.sum("bytes")).first()[0] or 0
+    blocks = index.groupBy("archive", F.floor(F.col("at") / block).alias("block")).agg(F.collect_list(F.struct("at", "bytes")).alias("records"))
+    return blocks.repartition(1 + total // block, "archive", "block")
 
 
 def read_chunks(index: DataFrame, chunk: int = CHUNK, block: int = 8 << 20) -> DataFrame:
