@@ -62,7 +62,7 @@ UNION ALL SELECT 4 * {STEP} + n_nationkey, n_name, 'part_of', r_name FROM nation
 UNION ALL SELECT 5 * {STEP} + p_partkey, 'Part#' || p_partkey, 'made_by', p_brand FROM part
 """
 CLAIMS_SQL = """
-SELECT o_orderkey AS ord, year(o_orderdate) AS year,
+SELECT o_orderkey AS ord, year(o_orderdate)::INT AS year,
   CASE WHEN o_orderkey % 11 <> 0 AND o_orderkey % 7 = 0 THEN 'Ghost#' ELSE 'Order#' END || o_orderkey AS subject,
   CASE WHEN o_orderkey % 11 = 0 THEN 'not_placed_by' WHEN o_orderkey % 7 = 0 OR o_orderkey % 5 = 0 THEN 'placed_by' WHEN o_orderkey % 2 = 0 THEN 'was_placed_by' ELSE 'placed_by' END AS relation,
   CASE WHEN o_orderkey % 11 = 0 OR o_orderkey % 7 = 0 THEN a.c_name WHEN o_orderkey % 5 = 0 THEN b.c_name WHEN o_orderkey % 3 = 0 THEN upper(a.c_name) ELSE a.c_name END AS object
