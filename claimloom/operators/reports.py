@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.functions.text import content_tokens, flat_sentences, normalize_entity
+from claimloom.functions.text import contains_expected, content_tokens, exact_match, flat_sentences, normalize, normalize_entity, normalize_relation, strip
 from claimloom.operators.paths import contiguous, path_nodes
 
 
@@ -174,3 +174,93 @@ def shortcuts(mentioned: DataFrame, far: DataFrame, questions: DataFrame, key: s
     """
     rows = mentioned.join(far, [key, "entity"], "left").join(questions.select(key, "hop_count"), key)
     return rows.groupBy(key).agg(F.array_sort(F.collect_set(F.when(F.col("depth") == F.col("hop_count"), F.col("entity")))).alias("anchors"), F.array_sort(F.collect_set(F.when(F.col("depth") < F.col("hop_count"), F.col("entity")))).alias("shortcut_entities"))
+
+
+# single results and documents
+
+
+def score(results: DataFrame, sub_results: DataFrame, expected: DataFrame, key: str = "question_id") -> DataFrame:
+    """key, expected_answer, predicted_answer, last_answer, exact_match, contains_expected, last_matches, resolved, final_stop_reason, all_stop_reasons, failure_category.
+
+    results: key, combined_answer. sub_results: key, sub_question_id, answer, stop_reason. The combined answer is what is scored; last_matches tells whether the last sub-question's
+    own answer contains the expected one, which is how the command line scores.
+    """
+    stops = F.array_sort(F.collect_list(F.struct("sub_question_id", "stop_reason")))
+    per = sub_results.groupBy(key).agg(F.transform(stops, lambda x: x["stop_reason"]).alias("all_stop_reasons"), F.max_by("stop_reason", "sub_question_id").alias("final_stop_reason"), F.max_by("answer", "sub_question_id").alias("last_answer"), F.every(F.col("stop_reason") == "RESOLVED").alias("resolved"))
+    rows = expected.join(results, key, "left").join(per, key, "left").withColumn("predicted_answer", F.coalesce("combined_answer", F.lit("")))
+    rows = rows.withColumns({
+        "exact_match": exact_match("predicted_answer", "expected_answer"),
+        "contains_expected": contains_expected("predicted_answer", "expected_answer"),
+        "last_matches": contains_expected(F.coalesce("last_answer", F.lit("")), "expected_answer"),
+        "resolved": F.coalesce("resolved", F.lit(False)),
+    })
+    category = failure_category(F.lit(None).cast("string"), F.col("resolved"), F.col("contains_expected"), F.col("final_stop_reason"))
+    return rows.withColumn("failure_category", category).select(key, "expected_answer", "predicted_answer", "last_answer", "exact_match", "contains_expected", "last_matches", "resolved", "final_stop_reason", "all_stop_reasons", "failure_category")
+
+
+def source_line(answer: Column, relation: Column, obj: Column, source_sentence: Column) -> Column:
+    """The first line of an answer with a triple's object or its relation in words, else its source sentence."""
+    lines = F.filter(F.transform(F.split(answer, "\r?\n"), strip), lambda x: x != "")
+    hit = F.filter(lines, lambda x: F.contains(F.lower(x), F.lower(obj)) | F.contains(F.lower(x), F.replace(relation, F.lit("_"), F.lit(" "))))
+    return F.coalesce(F.get(hit, F.lit(0)), source_sentence)
+
+
+def claims_differ(a: Column, b: Column) -> Column:
+    """Two triples (structs) that aren't the same once normalized."""
+    return (normalize(a["subject"]) != normalize(b["subject"])) | (normalize_relation(a["relation"]) != normalize_relation(b["relation"])) | (normalize(a["object"]) != normalize(b["object"]))
+
+
+def verdict_lists(evaluations: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, keep, fix, remove: triples in order, by label."""
+    triple = F.struct("ord", "subject", "relation", "object")
+    lists = {"keep": "SUPPORTED", "fix": "CONTRADICTED", "remove": "NO_EVIDENCE"}
+    return evaluations.groupBy(*keys).agg(*[F.array_sort(F.collect_list(F.when(F.col("label") == label, triple))).alias(name) for name, label in lists.items()])
+
+
+def mark_interrupted(rows: DataFrame, executed: DataFrame, key: str = "id") -> DataFrame:
+    """Rows of this run without a terminal_state are interrupted; earlier rows stay as they are."""
+    mine = executed.select(key).distinct().withColumn("__ran", F.lit(True))
+    state = F.when(F.col("__ran") & F.col("terminal_state").isNull(), "interrupted").otherwise(F.col("terminal_state"))
+    return rows.join(mine, key, "left").withColumn("terminal_state", state).drop("__ran")
+
+
+def same_rows(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two tables hold the same rows as often."""
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def provenance_errors(facts: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """Rows (fact_id, error). facts: fact_id, fact_kind, source_id, page, section, evidence, derivation_rule, parent_fact_ids. sources: source_id of the manifest."""
+    c = F.col
+    direct = F.coalesce("fact_kind", F.lit("direct")) == "direct"
+    blank = lambda x: F.coalesce(strip(x), F.lit("")) == ""
+    checks = [
+        (~F.coalesce("fact_kind", F.lit("direct")).isin("direct", "derived"), "fact_kind must be direct or derived"),
+        (direct & blank("source_id"), "direct fact missing source_id"),
+        (direct & blank("page") & blank("section"), "direct fact missing page/section/locator reference"),
+        (direct & blank("evidence"), "direct fact missing evidence paraphrase"),
+        (~direct & (F.coalesce(F.size("parent_fact_ids"), F.lit(0)) < 1), "derived fact missing parent_fact_ids"),
+        (~direct & blank("derivation_rule"), "derived fact missing derivation_rule"),
+    ]
+    found = F.filter(F.array(*[F.when(bad, F.lit(text)) for bad, text in checks]), lambda e: e.isNotNull())
+    out = facts.select("fact_id", F.explode(found).alias("error"))
+    out = out.unionByName(facts.groupBy("fact_id").count().where("count > 1 and fact_id is not null").select("fact_id", F.lit("duplicate fact_id").alias("error")))
+    parents = facts.where(~direct).select("fact_id", F.explode("parent_fact_ids").alias("parent"))
+    lost = parents.join(facts.select(c("fact_id").alias("parent")), "parent", "left_anti")
+    out = out.unionByName(lost.select("fact_id", F.concat(F.lit("parent fact "), "parent", F.lit(" does not exist")).alias("error")))
+    if sources is not None:
+        unknown = facts.where(direct & ~blank("source_id")).join(sources.select("source_id"), "source_id", "left_anti")
+        out = out.unionByName(unknown.select("fact_id", F.concat(F.lit("unknown source_id "), "source_id").alias("error")))
+    return out
+
+
+def write_documents(results: DataFrame, folder: str, name: str = "name") -> None:
+    """One JSON document for each result, in a directory of its name."""
+    results.write.mode("overwrite").partitionBy(name).json(folder)
+
+
+def markdown(figures: DataFrame, title: str) -> str:
+    """A small summary table as Markdown; figures have a row for each hop at most."""
+    rows = figures.orderBy(F.asc_nulls_last(figures.columns[0])).limit(1000).collect()
+    lines = [f"# {title}", "", "| " + " | ".join(figures.columns) + " |", "|" + "---|" * len(figures.columns)]
+    return "\n".join([*lines, *("| " + " | ".join("all" if v is None else f"{v:.2f}" if isinstance(v, float) else str(v) for v in r) + " |" for r in rows)]) + "\n"

@@ -230,3 +230,28 @@ def prior_results(spark: SparkSession, path: str, schema: str, key: str = "id")
     rows = rows.withColumn("__at", F.monotonically_increasing_id()).where(F.col(key).isNotNull())
     rest = [c for c in rows.columns if c not in (key, "__at", "_bad")]
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "__at").alias("r")).select(key, "r.*")
+
+
+def legacy_triples(responses: DataFrame, text: str = "text") -> DataFrame:
+    """Triples of the older format, from the first brace to the last, taken as they are; a missing field fails the job."""
+    schema = "struct<triples:array<struct<subject:string,relation:string,object:string>>>"
+    body = F.from_json(F.regexp_extract(F.col(text), r"(?s)\{.*\}", 0), schema, {"mode": "FAILFAST"})
+    rows = responses.select(*responses.columns, F.posexplode(body["triples"]).alias("ord", "t"))
+    need = lambda n: F.coalesce(F.col(f"t.{n}"), F.raise_error(F.lit(f"triple without {n}")).cast("string"))
+    return rows.select(*responses.columns, "ord", *[need(n).alias(n) for n in ("subject", "relation", "object")])
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Sources of a manifest, which is a list or an object with one."""
+    source = "source_id string, title string, organization string, publication_date string, url string, local_extracted_file string, sha256 string, retrieval_date string, notes string"
+    whole = spark.read.text(path, wholetext=True)
+    fields = ",".join(":".join(f.split()) for f in source.split(", "))
+    v = F.try_parse_json("value")
+    listed = F.coalesce(F.try_variant_get(v, "$.sources", "variant"), v)
+    rows = whole.select(F.explode(F.from_json(F.to_json(listed), f"array<struct<{fields}>>")).alias("s"))
+    return rows.select("s.*")
+
+
+def read_template(spark: SparkSession, path: str) -> str:
+    """A prompt template, as it is."""
+    return spark.read.text(path, wholetext=True).first()[0]

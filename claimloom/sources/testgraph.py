@@ -32,10 +32,10 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One claim for each order: ord, year, subject, relation, object. By the order's key: every 11th denies, every 7th is about nobody, every 5th names another customer, the rest are right, some in other words."""
     orders, customer = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "customer")
-    n = customer.agg(F.count(F.lit(1)).alias("n"), F.min("c_custkey").alias("low"))
+    n, low = customer.agg(F.count(F.lit(1)), F.min("c_custkey")).first()
     names = customer.select("c_custkey", "c_name")
     key = F.col("o_orderkey")
-    rows = orders.join(F.broadcast(n)).withColumn("other", F.col("low") + F.pmod(F.col("o_custkey") - F.col("low") + 1, F.col("n")))
+    rows = orders.withColumn("other", F.lit(low) + F.pmod(F.col("o_custkey") - low + 1, F.lit(max(n, 1))))
     rows = rows.join(names, F.col("o_custkey") == F.col("c_custkey")).join(names.toDF("k2", "other_name"), F.col("other") == F.col("k2"))
     relation = F.when(key % 11 == 0, "not_placed_by").when((key % 7 == 0) | (key % 5 == 0), "placed_by").when(key % 2 == 0, "was_placed_by").otherwise("placed_by")
     subject = F.when((key % 11 != 0) & (key % 7 == 0), F.concat(F.lit("Ghost#"), key)).otherwise(F.concat(F.lit("Order#"), key))
