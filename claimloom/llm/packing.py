@@ -1,14 +1,19 @@
 """Packing texts into token sequences, by lexical retrieval.
 
 Texts are tokenized once. Their token ids are the terms of a BM25 index whose document frequencies and mean length are those
-of all texts (a table of the vocabulary's size, so it goes to the executors as it is). The index is sharded: each task
-builds the inverted index of SHARD_DOCS texts at a time (fewer when they are long), takes the first unused one as seed, ranks
-the unused others by BM25 with the seed as query, and fills the window with the best, greedily.
+of all texts (a table of the vocabulary's size, so it goes to the executors as it is).
 
-A text that doesn't fit is cut at the window's end, and its rest is the next seed. What is left in the end, less than a window, is
-cut into stretches whose lengths are powers of two, which need no padding. So no sequence has any.
+Texts are routed first: about one text a window is drawn as a seed, by a hash. The seeds' SEED_TERMS rarest terms that other texts
+share are an index that goes to the executors; every text of the table, in whatever file, is scored against all seeds by
+BM25 over those terms, and goes to the best. Texts are sorted by seed, seeds by their terms, so related texts lie together.
 
-The shards follow the splits of the tokenized table; nothing is shuffled.
+The index is sharded in that order: each task builds the inverted index of SHARD_DOCS texts at a time (fewer when they are
+long), takes the first unused one as seed, ranks the unused others by BM25 with the seed as query, and fills the window with
+the best, greedily. So beyond its routing a text meets the texts of its shard only.
+
+A text that doesn't fit is cut at the window's end, and its rest is the next seed. What is left of a shard, less than a window, is
+routed again with what the others left, and packed in a second pass. What is left then is cut into stretches whose lengths
+are powers of two, which need no padding. So no sequence has any.
 
 Defined results: a null or empty text has the end token only; texts of any length are cut over as many windows as they
 need; ties go to the text first in its shard; repeated rows are packed each for itself; an empty table gives no sequence.
@@ -24,12 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm import words as W
-from claimloom.llm.base import keep, small_batches
+from claimloom.llm.base import forget, keep, small_batches
 
 SHARD_DOCS = 512
 SHARD_TOKENS = 1 << 20
+SEED_TERMS = 8
+#: Cells (texts times seeds) that are scored at once.
+CELLS = 1 << 21
 K1, B = 1.2, 0.75
 
+ROUTED = "doc_id long, start long, doc_tokens long, ids binary, seed int, far float"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -194,6 +203,73 @@ def _document_frequencies(size: int, wide: bool):
     return run
 
 
+def _rarest(rank, shared: int, wide: bool):
+    """The SEED_TERMS rarest terms of each text, of the `shared` first ones in rank."""
+
+    def run(batches):
+        places = rank.value
+        term_of = np.argsort(places)
+        for batch in batches:
+            values, counts = _ids(batch.column(0), wide)
+            keys = np.unique(np.repeat(np.arange(len(counts)), counts) * len(places) + places[values])
+            keys = keys[keys % len(places) < shared]
+            first = np.searchsorted(keys, np.arange(len(counts)) * len(places))
+            keys = keys[np.arange(len(keys)) - first[keys // len(places)] < SEED_TERMS]
+            offsets = np.searchsorted(keys, np.arange(len(counts) + 1) * len(places))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets.astype(np.int32), term_of[keys % len(places)].astype(np.int32))], ["terms"])
+
+    return run
+
+
+class Seeds:
+    """The seeds' inverted index. terms: each seed's, rarest first; seeds are numbered in the order of those terms."""
+
+    def __init__(self, terms: list[list[int]], rank: np.ndarray):
+        ordered = sorted({tuple(int(rank[t]) for t in x) for x in terms if len(x)})
+        lengths = np.array([len(x) for x in ordered], np.int64)
+        ranks = np.array([r for x in ordered for r in x], np.int64)
+        self.n, self.rank = len(ordered), rank
+        self.heads = np.array([x[0] for x in ordered], np.int64)
+        term = np.argsort(rank)[ranks]
+        order = np.argsort(term, kind="stable")
+        self.seed = np.repeat(np.arange(self.n), lengths)[order].astype(np.int32)
+        self.first = np.searchsorted(term[order], np.arange(len(rank) + 1))
+
+    def best(self, values: np.ndarray, counts: np.ndarray, idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
+        """Each text's best seed of all, the first of equal ones, and its score; a text that shares no term goes where its rarest term would lie."""
+        text, term, tf = _terms(values, counts, len(idf))
+        rarest = np.full(len(counts), len(idf))
+        np.minimum.at(rarest, text, self.rank[term])
+        best, score = np.minimum(np.searchsorted(self.heads, rarest), max(self.n - 1, 0)), np.zeros(len(counts))
+        if not self.n:
+            return best, score
+        weight = idf[term] * tf * (K1 + 1) / (tf + (K1 * (1 - B + B * counts / max(mean, 1.0)))[text])
+        order = np.argsort(text, kind="stable")
+        text, term, weight = text[order], term[order], weight[order]
+        step = max(1, CELLS // self.n)
+        for at in range(0, len(counts), step):
+            a, b = np.searchsorted(text, [at, at + step])
+            n = self.first[term[a:b] + 1] - self.first[term[a:b]]
+            cells = np.repeat(text[a:b] - at, n) * self.n + self.seed[W.ragged(self.first[term[a:b]], n)]
+            rows = min(step, len(counts) - at)
+            found = np.bincount(cells, weights=np.repeat(weight[a:b], n), minlength=rows * self.n).reshape(rows, self.n)
+            top = found.argmax(axis=1)
+            value = found[np.arange(rows), top]
+            best[at : at + rows] = np.where(value > 0, top, best[at : at + rows])
+            score[at : at + rows] = value
+        return best, score
+
+
+def _route(shared_seeds, idf, mean: float, wide: bool):
+    def run(batches):
+        seeds: Seeds = shared_seeds.value
+        for batch in batches:
+            best, score = seeds.best(*_ids(batch.column(3), wide), idf.value, mean)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best.astype(np.int32)), pa.array(-score.astype(np.float32))], ["doc_id", "start", "doc_tokens", "ids", "seed", "far"])
+
+    return run
+
+
 class Shard:
     """The inverted index of some texts."""
 
@@ -216,8 +292,8 @@ class Shard:
         return np.bincount(self.text[rows], weights=self.weight[rows], minlength=self.n)
 
 
-def fill(values: np.ndarray, counts: np.ndarray, idf: np.ndarray, mean: float, window: int):
-    """Sequences of one shard: lists of (text, start, length)."""
+def fill(values: np.ndarray, counts: np.ndarray, idf: np.ndarray, mean: float, window: int, rest: list | None = None):
+    """Sequences of one shard: lists of (text, start, length). The last, incomplete window is put into rest, if that is given, else cut."""
     shard = Shard(values, counts, idf, mean)
     unused = np.ones(shard.n, bool)
     sequence, room = [], window
@@ -240,8 +316,8 @@ def fill(values: np.ndarray, counts: np.ndarray, idf: np.ndarray, mean: float, w
             if room == 0:
                 yield sequence
                 sequence, room = [], window
-                rest = int(counts[current]) - start - length
-                seed, taken = (current, start + length) if rest else (-1, 0)
+                more = int(counts[current]) - start - length
+                seed, taken = (current, start + length) if more else (-1, 0)
                 break
             if score is None:
                 score = shard.scores(seed)
@@ -254,6 +330,9 @@ def fill(values: np.ndarray, counts: np.ndarray, idf: np.ndarray, mean: float, w
             unused[current] = False
     # the last, incomplete window
     left = window - room
+    if rest is not None:
+        rest += sequence
+        return
     while left:
         size = 1 << (left.bit_length() - 1)
         part, need = [], size
@@ -269,40 +348,48 @@ def fill(values: np.ndarray, counts: np.ndarray, idf: np.ndarray, mean: float, w
         left -= size
 
 
-def _pack(idf, mean: float, window: int, wide: bool, with_ids: bool):
+def _pack(idf, mean: float, window: int, wide: bool, with_ids: bool, last: bool):
+    """Columns doc_id, start, doc_tokens, ids. Before the last pass, what doesn't fill a window has no sequence_id, and its ids."""
+
     def run(batches):
         from pyspark import TaskContext
 
         table = idf.value
-        sequence_id = TaskContext.get().partitionId() << 40
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        sequence_id = TaskContext.get().partitionId() << 40 | last << 39
+        held: list[tuple[np.ndarray, ...]] = []
 
         def shard():
             nonlocal sequence_id
-            docs, counts, values = (np.concatenate(x) for x in zip(*held, strict=True))
+            docs, starts, totals, counts, values = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             first = np.cumsum(counts) - counts
             rows: list[tuple] = []
-            for sequence in fill(values, counts, table, mean, window):
+
+            def add(sequence, number, ids_too):
                 offset = 0
                 for text, start, length in sequence:
                     ids = values[first[text] + start : first[text] + start + length].astype("<u4").tobytes()
-                    rows.append((int(docs[text]), start, length, zlib.crc32(ids), int(counts[text]), sequence_id, offset, ids if with_ids else None))
+                    rows.append((int(docs[text]), int(starts[text]) + start, length, zlib.crc32(ids), int(totals[text]), number, offset, ids if ids_too else None))
                     offset += length
+
+            rest: list[tuple[int, int, int]] = []
+            for sequence in fill(values, counts, table, mean, window, None if last else rest):
+                add(sequence, sequence_id, with_ids)
                 sequence_id += 1
+            add(rest, None, True)
             cols = list(zip(*rows, strict=True))
             return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:7]), pa.array(cols[7], pa.binary())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
         waiting, tokens = 0, 0
         for batch in batches:
-            values, counts = _ids(batch.column(1), wide)
-            docs = batch.column(0).to_numpy(zero_copy_only=False)
+            values, counts = _ids(batch.column(3), wide)
+            docs, starts, totals = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
             ends = np.cumsum(counts)
             at = 0
             while at < len(counts):
                 done = int(ends[at - 1]) if at else 0
                 to = min(at + SHARD_DOCS - waiting, max(at + 1, int(np.searchsorted(ends, done + SHARD_TOKENS - tokens, "right"))))
-                held.append((docs[at:to], counts[at:to], values[done : int(ends[to - 1])]))
+                held.append((docs[at:to], starts[at:to], totals[at:to], counts[at:to], values[done : int(ends[to - 1])]))
                 waiting, tokens, at = waiting + to - at, tokens + int(ends[to - 1]) - done, to
                 if waiting >= SHARD_DOCS or tokens >= SHARD_TOKENS or at < len(counts):
                     yield shard()
@@ -327,4 +414,24 @@ def pack(docs: DataFrame, path: str, window: int = 4096, end: int = 2, doc_id: s
     df[rows.column("term").to_numpy()] = rows.column("df").to_numpy()
     n, total = tokens.agg(F.count(F.lit(1)), F.sum("n")).first()
     idf = spark.sparkContext.broadcast(np.log(1 + (n - df + 0.5) / (df + 0.5)))
-    return tokens.select("doc_id", "ids").mapInArrow(_pack(idf, (total or 0) / max(n, 1), window, wide, with_ids), PIECES)
+    order = np.lexsort((np.arange(len(df)), np.where(df > 1, df, np.iinfo(np.int64).max)))  # a term of one text finds none
+    rank = np.empty(len(df), np.int64)
+    rank[order] = np.arange(len(df))
+    ranks, shared = spark.sparkContext.broadcast(rank), int((df > 1).sum())
+    mean = (total or 0) / max(n, 1)
+
+    def one_pass(texts: DataFrame, size: int, wide: bool, last: bool) -> DataFrame:
+        share = min(1.0, size / window / max(texts.count(), 1))
+        drawn = texts.where(F.pmod(F.xxhash64(F.lit(13), "doc_id", "start"), F.lit(1 << 30)) < int(share * (1 << 30)))
+        terms = drawn.select("ids").mapInArrow(_rarest(ranks, shared, wide), "terms array<int>").toArrow().column("terms").to_pylist()
+        seeds = spark.sparkContext.broadcast(Seeds(terms, rank))  # SEED_TERMS terms a window
+        routed = keep(texts.mapInArrow(_route(seeds, idf, mean, wide), ROUTED), "routed")
+        by = ("seed", "far", "doc_id", "start")
+        return routed.repartitionByRange(*by).sortWithinPartitions(*by).select("doc_id", "start", "doc_tokens", "ids").mapInArrow(_pack(idf, mean, window, wide, with_ids, last), PIECES)
+
+    texts = tokens.select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n").alias("doc_tokens"), "ids")
+    packed = keep(one_pass(texts, total or 0, wide, False), "packed")
+    forget(tokens)
+    left = packed.where("sequence_id is null").select("doc_id", "start", "doc_tokens", "ids")
+    n_left = packed.where("sequence_id is null").agg(F.sum("length")).first()[0] or 0
+    return packed.where("sequence_id is not null").unionAll(one_pass(left, n_left, True, True))

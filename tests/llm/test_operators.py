@@ -254,6 +254,35 @@ def test_neighbours_of_a_seed_share_its_words():
     assert first == [0, 2]
 
 
+def test_packing_finds_neighbours_in_other_shards(spark):
+    tokenizer = packing.Encoder(tokenizer_path()).tokenizer
+    known = sorted(w[:-4] for w in tokenizer.get_vocab() if w.endswith("</w>") and w[:-4].isascii() and w[:-4].isalpha() and len(w) > 7)
+    known = [w for w, e in zip(known, tokenizer.encode_batch(known, add_special_tokens=False)) if len(e.ids) == 1]
+    topics = {t: known[30 * t : 30 * t + 30] for t in range(300)}
+    assert len(topics[299]) == 30
+    r = random.Random(8)
+    texts = [(i, " ".join(r.sample(topics[i % 300], 20) + r.sample(WORDS, 20))) for i in range(1200)]  # a topic's texts are 300 rows apart, in four files
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartitionByRange(4, "doc_id")
+    rows = packing.pack(docs, tokenizer_path(), window=512, with_ids=False).collect()
+    by_sequence = {}
+    for x in rows:
+        by_sequence.setdefault(x["sequence_id"], set()).add(x["doc_id"])
+    mates = {frozenset((a, b)) for s in by_sequence.values() for a in s for b in s if a < b and a % 300 == b % 300}
+    assert len(mates) > 300  # of 1,800
+    tails = [s for s in {x["sequence_id"]: 0 for x in rows} if sum(x["length"] for x in rows if x["sequence_id"] == s) < 512]
+    assert len(tails) <= 4 * 9
+    at = {}
+    for x in rows:
+        at.setdefault(x["doc_id"], []).append((x["start"], x["length"], x["doc_tokens"]))
+    for pieces in at.values():
+        end = 0
+        for start, length, n in sorted(pieces):
+            assert start == end
+            end += length
+        assert end == n
+    assert len(at) == 1200
+
+
 def labelled(spark):
     r = random.Random(2)
     syllables = {"aa": "ba ke lo ni", "bb": "tsch üß ung ein", "cc": "ção ñes ría que"}
