@@ -74,7 +74,7 @@ def op9_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.trim(table(spark, sf_dir, "documents")).drop("kept")
+    return substrings.trim(table(spark, sf_dir, "documents"), batches=4).drop("kept")
 
 
 QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_warc_round_trip, op3_secret_scan, op4_decontaminate, op5_packing, op6_toxicity, op7_language_id, op8_nearest_neighbours, op9_site_quality, op10_substring_dedup)}

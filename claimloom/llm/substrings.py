@@ -9,6 +9,10 @@ The index is a folder of immutable runs, sorted by fingerprint: (fingerprint, n)
 the runs so far; what it finds there, or twice within itself, is a candidate. The batch then becomes a run, and compact()
 merges runs once there are several.
 
+An index that is given has a second kind of runs, sorted too: the hashes of all windows of the texts it took in. A candidate window
+that is in one of them is repeated, though its other place is in a text of an earlier call. (An index that ends with its call
+needs none: all its texts are here.)
+
 Candidates are verified by 64-bit hashes of all their words (two windows share one with a probability of about 2**-58 a
 pair). Neighbouring windows with one minimiser are a unit. A unit that occurs twice as a whole is all repeated; only where
 a fingerprint has several different units are single windows counted, once for each different unit. So a group of copies
@@ -33,6 +37,7 @@ from claimloom.llm.base import fresh_path, keep, small_batches
 
 SPAN = 18
 RUN = "fingerprint long, n long"
+WINDOW_RUN = "w long"
 
 
 def _minimisers(grams: np.ndarray, width: int) -> np.ndarray:
@@ -110,6 +115,18 @@ def _candidates(window: int):
     return run
 
 
+def _windows(window: int):
+    """The distinct windows of each batch of texts."""
+
+    def run(batches):
+        for batch in batches:
+            u = _units(batch.column(0), window)
+            if len(u["start"]):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(W.ngrams(u["hashes"], window)[W.ragged(u["start"], u["n"])].view(np.int64)))], ["w"])
+
+    return run
+
+
 def _trim(window: int):
     """Columns doc_id, text, spans array<struct<start, n>> (runs of repeated windows): what is kept."""
 
@@ -133,16 +150,17 @@ def _trim(window: int):
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of fingerprints, in a folder that Spark reads. runs: paths of runs from before."""
+    """Sorted immutable runs of fingerprints, and of windows, in a folder that Spark reads. runs, windows: paths of runs from before."""
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, runs: tuple[str, ...] = ()):
+    def __init__(self, spark: SparkSession, folder: str | None = None, runs: tuple[str, ...] = (), windows: tuple[str, ...] = ()):
         self.spark = spark
         self.folder = folder or fresh_path(spark, "fingerprints")
         self.runs = list(runs)
+        self.windows = list(windows)
 
-    def _write(self, counts: DataFrame) -> str:
+    def _write(self, counts: DataFrame, by: str = "fingerprint") -> str:
         path = f"{self.folder}/{uuid.uuid4().hex}"
-        counts.sortWithinPartitions("fingerprint").write.parquet(path)
+        counts.sortWithinPartitions(by).write.parquet(path)
         return path
 
     def read(self) -> DataFrame:
@@ -158,8 +176,17 @@ class FingerprintIndex:
         self.runs.append(new)
         return found
 
+    def read_windows(self) -> DataFrame:
+        return self.spark.read.schema(WINDOW_RUN).parquet(*self.windows)
+
+    def add_windows(self, windows: DataFrame) -> None:
+        """Take in the windows (w) of a call's texts."""
+        self.windows.append(self._write(windows.distinct(), "w"))
+
     def compact(self, at_least: int = 4) -> None:
-        """Merge the runs into one once there are so many."""
+        """Merge the runs of a kind into one once there are so many."""
+        if len(self.windows) >= at_least:
+            self.windows = [self._write(self.read_windows().distinct(), "w")]
         if len(self.runs) >= at_least:
             self.runs = [self._write(self.read().groupBy("fingerprint").agg(F.sum("n").alias("n")))]
 
@@ -167,12 +194,13 @@ class FingerprintIndex:
 def trim(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 35, batches: int = 2, index: FingerprintIndex | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the kept words joined by one space; null: all of them), kept_sha256.
 
-    batches: in how many steps the index takes the texts in. An index with earlier runs may be given; it grows, but only
-    windows that repeat among `docs` are removed, as the earlier texts are not here to verify against.
+    batches: in how many steps the index takes the texts in. An index with earlier runs may be given; it grows, and windows
+    that are in a text of an earlier call are removed as well. Earlier results stay as they are. All calls need the same `window`.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    index = index or FingerprintIndex(spark)
+    lasting = index is not None
+    index = index if lasting else FingerprintIndex(spark)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     per_doc = keep(texts.mapInArrow(_first_pass(window), "doc_id long, n_words long, whole string, fingerprints array<long>"), "per_doc")
     found = []
@@ -198,6 +226,13 @@ def trim(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: in
     shared = keep(shared, "shared")
     single = units.join(mixed, "fingerprint", "left_semi").select("doc_id", "start", F.posexplode("windows").alias("at", "w"))
     single = keep(single, "single").join(shared, "w", "left_semi").select("doc_id", (F.col("start") + F.col("at")).alias("start"), F.lit(1).alias("n"))
+    if index.windows:
+        past = keep(kinds.select(F.explode("windows").alias("w")).distinct().join(index.read_windows(), "w", "left_semi"), "past")
+        earlier = units.select("doc_id", "start", F.posexplode("windows").alias("at", "w")).join(past, "w", "left_semi")
+        single = single.unionAll(earlier.select("doc_id", (F.col("start") + F.col("at")).alias("start"), F.lit(1).alias("n")))
+    if lasting:
+        index.add_windows(texts.select("text").mapInArrow(_windows(window), WINDOW_RUN))
+        index.compact()
     spans = whole.unionAll(single).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     done = suspects.select("doc_id", "text").join(spans, "doc_id").mapInArrow(_trim(window), "doc_id long, n_words long, n_removed long, kept string")
     done = done.select("doc_id", "n_removed", "kept", F.sha2("kept", 256).alias("trimmed"))

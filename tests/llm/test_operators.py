@@ -120,6 +120,29 @@ def test_fingerprint_index(spark):
     assert len(index.runs) == 1 and {r["fingerprint"]: r["n"] for r in index.read().collect()} == {1: 2, 2: 3, 3: 2, 4: 1, 5: 2}
 
 
+def test_substrings_of_earlier_calls(spark):
+    passage, other = prose(50, 35), prose(51, 50)
+    calls = [[(0, prose(60, 20) + " " + passage + " " + prose(61, 20)), (1, None)], [(2, prose(62, 20) + " " + passage + " " + prose(63, 9)), (3, prose(64, 80)), (4, other)], [(5, "x " + other + " y"), (6, prose(50, 34)), (7, prose(64, 80))], [(8, prose(65, 40))]]
+    index = substrings.FingerprintIndex(spark)
+    seen = {}
+    for call in calls:
+        words = {i: (t or "").split() for i, t in call}
+        for w in words.values():
+            for k in range(len(w) - 34):
+                seen[tuple(w[k : k + 35])] = seen.get(tuple(w[k : k + 35]), 0) + 1
+        rows = {r["doc_id"]: r for r in substrings.trim(spark.createDataFrame(call, "doc_id long, text string"), index=index).collect()}
+        for i, w in words.items():
+            gone = [False] * len(w)
+            for k in range(len(w) - 34):
+                if seen[tuple(w[k : k + 35])] > 1:
+                    gone[k : k + 35] = [True] * 35
+            kept = " ".join(x for x, g in zip(w, gone) if not g)
+            assert (rows[i]["n_removed"], rows[i]["kept_sha256"]) == (sum(gone), hashlib.sha256(kept.encode()).hexdigest()), i
+        if call is calls[1]:
+            assert rows[2]["n_removed"] == 35 and rows[3]["n_removed"] == 0
+    assert len(index.runs) < 4 and len(index.windows) == 1  # compacted
+
+
 def test_decontamination(spark, docs, empty):
     items = [(0, prose(3, 60)), (1, "two WORDS"), (2, None), (3, "!!"), (4, prose(99, 40)), (5, prose(3, 60)), (6, prose(0, 3000).split()[-1]), (7, "One")]
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
