@@ -4,7 +4,9 @@ DataFrame and SQL functions only. A scan is one pass over the texts without any
 a table of A * A numbers (A: size of the alphabet), so they go into the plan as a literal.
 
 Defined results: a null or empty text has no spans; a text of any length is scanned whole; positions are
-code points, the end exclusive; repeated rows are scanned each for itself; further columns stay as they are.
+code points, the end exclusive; repeated rows are scanned each for itself; spans that begin together are in the order of
+KINDS; further columns stay as they are, whatever their names (a column of the result's name is replaced); an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -24,8 +26,9 @@ KINDS = ("assign", "access", "hex", "markov")
 
 #: The models' alphabet; everything else counts as the character "~".
 ALPHABET = "~abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-="
-#: What the models judge: runs of such characters, at least so long.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: What the models judge: runs of such characters, if a scan isn't told otherwise of at least so many.
+CANDIDATE = r"[A-Za-z0-9+/_=-]"
+CANDIDATE_LENGTH = 20
 #: Mean log-likelihood ratio for each character (in nats) from which a run counts as random.
 THRESHOLD = 0.35
 
@@ -92,36 +95,104 @@ def train(labelled: DataFrame, sample: str = "sample", random: str = "random", s
     return [x - y for x, y in zip(log_p(counts[True]), log_p(counts[False]), strict=True)]
 
 
-def _matches(text: Column, pattern: str, group: int, least: int, kind: str) -> Column:
-    """array<struct<start, kind, end>> of a pattern's matches, leftmost first. What lies between the matches gives their places."""
+SPAN = "array<struct<start:int,kind:string,end:int,s:string>>"
+#: How many array elements a fold takes at once: it appends to an array of that length, so a text's matches cost in proportion to their number.
+BLOCK = 128
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _in_blocks(items: Column) -> Column:
+    """The same elements as an array of arrays of BLOCK elements."""
+    last = F.greatest(F.ceil(F.size(items) / BLOCK), F.lit(1)).cast("int") - 1
+    return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))
+
+
+def _fold(items: Column, start: Column, step, kind: str) -> Column:
+    """step(state, item) gives the new state and an array of what the item adds; all that is added, in blocks (array<array<..>>, kind: type of the inner one)."""
+    none = F.array().cast(kind)
+
+    def one(acc: Column, item: Column) -> Column:
+        state, added = step(acc["state"], item)
+        return F.struct(state.alias("state"), F.concat(acc["added"], added).alias("added"))
+
+    def block(acc: Column, items: Column) -> Column:
+        return F.aggregate(items, F.struct(acc["state"].alias("state"), none.alias("added")), one, lambda x: F.struct(x["state"].alias("state"), F.concat(acc["added"], F.array(x["added"])).alias("added")))
+
+    return F.aggregate(_let(items, _in_blocks), F.struct(start.alias("state"), F.array().cast(f"array<{kind}>").alias("added")), block)["added"]
+
+
+def _matches(text: Column, pattern: str, group: int, least: int, kind: str, strings: bool = False) -> Column:
+    """array<struct<start, kind, end, s>> of a pattern's matches, leftmost first; s is the match, if strings. What lies between the matches gives their places."""
     gaps = F.transform(F.split(text, pattern, -1), F.char_length)
-    whole = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.char_length)
-    judged = whole if not group else F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.char_length)
-    ahead = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:string,end:int>>").alias("found"))
-    joined = F.zip_with(F.slice(gaps, F.lit(1), F.size(whole)), F.arrays_zip(whole.alias("w"), judged.alias("j")), lambda g, m: F.struct(g.alias("g"), m["w"].alias("w"), m["j"].alias("j")))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    judged = found if not group else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    pairs = F.zip_with(found, judged, lambda w, j: F.struct(F.char_length(w).alias("w"), F.char_length(j).alias("j"), (w if strings else F.lit(None).cast("string")).alias("s")))
+    items = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), pairs, lambda g, m: F.struct(g.alias("g"), m["w"].alias("w"), m["j"].alias("j"), m["s"].alias("s")))
+
+    def step(at: Column, m: Column):
+        start = at + m["g"]
+        end = start + m["w"]
+        span = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), m["s"].alias("s")))
+        return end, F.when(m["j"] >= least, span).otherwise(F.array().cast(SPAN))
 
-    def step(acc: Column, m: Column) -> Column:
-        start = acc["at"] + m["g"]
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + m["w"]).alias("end"))
-        return F.struct((start + m["w"]).alias("at"), F.when(m["j"] >= least, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
+    return F.flatten(_fold(items, F.lit(0), step, SPAN))
 
-    return F.aggregate(joined, ahead, step)["found"]
 
+def _outside(runs: Column, base: Column, least: int) -> Column:
+    """The runs that don't lie wholly inside a span of base, and the parts of runs outside such spans, if they are `least` characters long.
 
-def scan(docs: DataFrame, model: list[float], text: str = "text", threshold: float = THRESHOLD, out: str = "spans") -> DataFrame:
+    Sorted together by start: upto is where the spans so far end, at where what is open of the last run begins.
+    """
+    def events(spans: Column, k: int, start=lambda x: x["start"]) -> Column:
+        return F.transform(spans, lambda x: F.struct(start(x).alias("start"), F.lit(k).alias("k"), x.alias("span")))
+
+    end = events(F.array(F.lit(None).cast(SPAN[6:-1])), 2, lambda x: F.lit(2**31 - 1))
+    both = F.concat(events(base, 0), events(runs, 1), end)
+    none = F.array().cast(SPAN)
+
+    def step(state: Column, x: Column):
+        span, run, at, upto = x["span"], state["run"], state["at"], state["upto"]
+        to = F.least(x["start"], run["end"])
+        part = F.struct(at.alias("start"), run["kind"].alias("kind"), to.alias("end"), F.substring(run["s"], at - run["start"] + 1, to - at).alias("s"))
+        cut = F.when(run.isNotNull() & (to - at >= least) & ((at > run["start"]) | (to < run["end"])), F.array(part)).otherwise(none)
+        whole = F.when((x["k"] == 1) & (span["end"] > upto), F.array(span)).otherwise(none)
+        after = F.struct(
+            F.when(x["k"] == 0, F.greatest(upto, span["end"])).otherwise(upto).alias("upto"),
+            F.when(x["k"] == 1, F.greatest(upto, x["start"])).otherwise(F.greatest(at, span["end"])).alias("at"),
+            F.when(x["k"] == 1, span).otherwise(run).alias("run"),
+        )
+        return after, F.concat(cut, whole)
+
+    start = F.struct(F.lit(0).alias("upto"), F.lit(0).alias("at"), F.lit(None).cast(SPAN[6:-1]).alias("run"))
+    return F.flatten(_fold(F.array_sort(both), start, step, SPAN))
+
+
+def scan(docs: DataFrame, model: list[float], text: str = "text", threshold: float = THRESHOLD, out: str = "spans", least: int = CANDIDATE_LENGTH) -> DataFrame:
     """Adds array<struct<kind, start, end>> of all spans, by start, then as KINDS lists the kinds.
 
-    A candidate of the models that shares a character with a span of the fixed patterns adds nothing.
+    The models judge every run of `least` characters or more that doesn't lie wholly inside a span of the fixed patterns,
+    and, of runs that such spans overlap, each part outside them.
+    Work grows with a text's length and the number of its matches (times its logarithm, for the sorting).
     """
-    none = F.array().cast("array<struct<start:int,kind:string,end:int>>")
+    none = F.array().cast(SPAN)
     t = F.coalesce(F.col(text), F.lit(""))
-    for kind, pattern, group, least in BASE:
+    columns, names = docs.columns, {}
+    for name in ("assign", "access", "hex", "base", "run", "free", "markov"):
+        names[name] = "__" + name
+        while names[name] in columns:
+            names[name] += "_"
+    for kind, pattern, group, length in BASE:
         fast = FAST.get(kind, pattern)
-        docs = docs.withColumn(f"__{kind}", F.when(t.rlike(fast), _matches(t, fast, group, least, kind)).otherwise(none))
-    docs = docs.withColumn("__base", F.concat(*[F.col(f"__{kind}") for kind, *_ in BASE]))
+        docs = docs.withColumn(names[kind], F.when(t.rlike(fast), _matches(t, fast, group, length, kind)).otherwise(none))
+    docs = docs.withColumn(names["base"], F.concat(*[F.col(names[kind]) for kind, *_ in BASE]))
     size = len(ALPHABET)
     table = F.lit(model)
-    docs = docs.withColumn("__run", F.when(t.rlike(CANDIDATE), _matches(t, CANDIDATE, 0, 0, "markov")).otherwise(none))
+    candidate = f"{CANDIDATE}{{{least},}}"
+    docs = docs.withColumn(names["run"], F.when(t.rlike(candidate), _matches(t, candidate, 0, 0, "markov", strings=True)).otherwise(none))
 
     def ratio(s: Column) -> Column:
         def step(acc: Column, c: Column) -> Column:
@@ -129,13 +200,13 @@ def scan(docs: DataFrame, model: list[float], text: str = "text", threshold: flo
 
         return F.aggregate(_codes(s), F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum")), step)["sum"] / F.greatest(F.char_length(s) - 1, F.lit(1))
 
-    free = F.filter("__run", lambda r: ~F.exists("__base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    docs = docs.withColumn("__free", free)
-    docs = docs.withColumn("__markov", F.filter("__free", lambda r: ratio(F.substring(t, r["start"] + 1, r["end"] - r["start"])) >= threshold))
+    run, base = F.col(names["run"]), F.col(names["base"])
+    docs = docs.withColumn(names["free"], F.when((F.size(run) == 0) | (F.size(base) == 0), run).otherwise(_outside(run, base, least)))
+    docs = docs.withColumn(names["markov"], F.filter(names["free"], lambda r: ratio(r["s"]) >= threshold))
     order = F.create_map(*[F.lit(x) for k, kind in enumerate(KINDS) for x in (kind, k)])
-    ranked = F.transform(F.concat("__base", "__markov"), lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("k"), s["end"].alias("end"), s["kind"].alias("kind")))
+    ranked = F.transform(F.concat(base, F.col(names["markov"])), lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("k"), s["end"].alias("end"), s["kind"].alias("kind")))
     spans = F.transform(F.array_sort(ranked), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return docs.withColumn(out, spans).drop("__base", "__run", "__free", "__markov", *[f"__{kind}" for kind, *_ in BASE])
+    return docs.withColumn(out, spans).drop(*[n for n in names.values() if n != out])
 
 
 def joined(spans: Column) -> Column:
@@ -143,14 +214,26 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, model: list[float], text: str = "text", mark: str = "[secret]", threshold: float = THRESHOLD) -> DataFrame:
+def redact(docs: DataFrame, model: list[float], text: str = "text", mark: str = "[secret]", threshold: float = THRESHOLD, least: int = CANDIDATE_LENGTH) -> DataFrame:
     """The same rows with each stretch of spans replaced by the mark; texts without spans, nulls included, stay as they are."""
-    found = scan(docs, model, text, threshold, "__spans")
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col(text), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        piece = F.when(s["start"] < acc["at"], F.lit("")).otherwise(F.concat(gap, F.lit(mark)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["done"], piece).alias("done"))
-
-    whole = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("done")), step, lambda acc: F.concat(acc["done"], F.substring(F.col(text), acc["at"] + 1, F.lit(2**31 - 1))))
-    return found.withColumn(text, F.when(F.size("__spans") > 0, whole).otherwise(F.col(text))).drop("__spans")
+    spans = "__spans"
+    while spans in docs.columns:
+        spans += "_"
+    found = scan(docs, model, text, threshold, spans, least)
+    kept = "array<struct<at:int,to:int>>"
+    end = F.struct(F.char_length(text).alias("start"), F.char_length(text).alias("end"))
+    spots = F.concat(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))), F.array(end))
+
+    def step(at: Column, s: Column):
+        gap = F.array(F.struct(at.alias("at"), s["start"].alias("to")))
+        return F.greatest(at, s["end"]), F.when(s["start"] < at, F.array().cast(kept)).otherwise(gap)
+
+    def pieces(block: Column) -> Column:
+        """A block's kept stretches, cut out of the part of the text that they are in."""
+        low, high = F.get(block, F.lit(0))["at"], F.element_at(block, -1)["to"]
+        part = F.struct(low.alias("low"), F.substring(F.col(text), low + 1, high - low).alias("part"))
+        return _let(part, lambda p: F.transform(block, lambda k: F.substring(p["part"], k["at"] - p["low"] + 1, k["to"] - k["at"])))
+
+    gaps = F.filter(_fold(spots, F.lit(0), step, kept), lambda block: F.size(block) > 0)
+    whole = F.array_join(F.flatten(F.transform(gaps, pieces)), mark)
+    return found.withColumn(text, F.when(F.size(spans) > 0, whole).otherwise(F.col(text))).drop(spans)
