@@ -2,33 +2,48 @@
 
 Vectors get one more component, sqrt(M**2 - |x|**2) (M: the largest norm), and queries are scaled to the norm M; nearness in
 that space is the order by inner product. PROJECTIONS random directions (blocks of orthonormal ones) project them; each projection is
-an array sorted by value. A query's window on each array is centred on its own projection and grows by GROWTH a
-step (virtual rehashing: nothing is hashed anew). Vectors found in at least COLLISIONS of all windows are candidates; once
-there are SHARE of all and LEAST * k more, they are verified by their inner product in double precision on the original vectors.
-
-The arrays are made for shards of about SHARD vectors, dealt by a hash of the id. Queries are sent to every shard, in the
-order of the partition: first the shard's vectors, then its queries in a stream. So a task holds one shard and one batch of
-queries, and each row of the index is sent once. Every shard's best k are merged at the end.
-
-Recall on the test tables is above 0.95 at k = 20 (README). Defined results: vectors that are null, zero, or hold null or
-non-finite components take no part; nor do those whose length isn't the most common one; ties go to the smaller id; fewer
-candidates than k are all returned (windows grow until they hold everything); an empty table gives an empty result.
+an array sorted by value. A query's window on each array is centred on its own projection, begins narrow, and grows step by
+step (virtual rehashing: nothing is hashed anew, only what is new in a window is counted). A vector that is in the windows of the share
+COLLISIONS of all arrays is verified, once, by its inner product in double precision on the original vectors.
+
+The windows of a query stop growing when the nearest ones found are in reach: when they are no farther than the distance at
+which a vector is expected to be over the threshold by CERTAINTY standard deviations. So a query in a dense cluster looks at little, one
+among points that are all about as far away (random ones in many dimensions) at much.
+
+The arrays are made for shards of about SHARD vectors, dealt by a hash of the id. Queries are sent to every shard in blocks:
+a task has one shard and one block, first the shard's vectors, then the queries in a stream. In one shard of several, fewer than k of the
+nearest are to be expected: their mean plus three standard deviations have to be in reach. The shards' best k are merged.
+
+Recall on the test tables is above 0.9 at k = 20 (README). Defined results: vectors that are null, zero, or hold null or
+non-finite components take no part, nor do rows without an id; vectors are compared with those of their own length; ties go to the smaller
+id; repeated rows are found each, and repeated queries answered each (with ranks of their own); fewer candidates than k are all
+returned (windows grow until they hold everything); further columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimloom.llm import words as W
 from claimloom.llm.base import keep
 
-PROJECTIONS = 64
-SHARD = 4096
-COLLISIONS = 0.55
-SHARE, LEAST = 0.15, 8
-START, GROWTH = 0.75, 1.15
+PROJECTIONS = 128
+#: Vectors in a shard, and queries in a block: a task has one of each.
+SHARD, BLOCK = 16_384, 2_048
+#: The collision threshold, as a share of the projections.
+COLLISIONS = 0.5
+#: How many standard deviations above the threshold the collisions of a vector are expected to be that counts as in reach.
+CERTAINTY = 1.0
+#: A window's first half width, as a share of the arrays' spread, and the least it grows by.
+START, GROWTH = 0.1, 1.06
+
+FOUND = "query long, vec_id long, score double"
 
 
 def usable(vector: Column) -> Column:
@@ -42,115 +57,159 @@ def directions(dims: int, n: int = PROJECTIONS, seed: int = 17) -> np.ndarray:
     return np.concatenate(blocks)[:n]
 
 
+def reach(dims: int) -> float:
+    """What a window's half width is to be multiplied by for the distance within which vectors reach the threshold.
+
+    A vector at distance d is within a half width w on a random direction with the probability p that a normal value of
+    standard deviation d / sqrt(dims) is; of all directions the share is p, with a standard deviation of sqrt(p * (1 - p) / PROJECTIONS).
+    """
+    p = min(q / 1000 for q in range(int(1000 * COLLISIONS), 1000) if q / 1000 - CERTAINTY * (q / 1000 * (1 - q / 1000) / PROJECTIONS) ** 0.5 >= COLLISIONS)
+    return dims**0.5 / NormalDist().inv_cdf((1 + p) / 2)
+
+
 class SortedProjections:
-    """One shard: original vectors, and a sorted array for each projection."""
+    """One shard: original vectors, and for each projection its values in order, with the vectors they are of."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, largest: float):
-        order = np.argsort(ids)
+        order = np.argsort(ids, kind="stable")
         self.ids, self.vectors, self.largest = ids[order], vectors[order], largest
         more = np.sqrt(np.maximum(largest**2 - (self.vectors**2).sum(axis=1), 0))
         self.directions = directions(vectors.shape[1] + 1)
-        projected = np.column_stack([self.vectors, more]) @ self.directions.T
-        by = np.argsort(projected, axis=0, kind="stable")
-        self.values = np.take_along_axis(projected, by, axis=0).T.copy()
-        # where each vector stands in each array; a window of an array is a range of such places
-        self.places = np.empty((len(self.directions), len(ids)), np.uint16 if len(ids) < 1 << 16 else np.int64)
-        np.put_along_axis(self.places, by.T, np.arange(len(ids), dtype=self.places.dtype)[None, :], axis=1)
-        # of a vector from the mean of its array; differences of two are sqrt(2) of it apart
-        self.spread = max(float(np.sqrt(2) * projected.std(axis=0).mean()), 1e-9 * max(largest, 1e-300))
-
-    def windows(self, centre: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
-        """First places and lengths of all queries' windows on each array (queries x projections x 1)."""
-        low = np.array([np.searchsorted(v, c - width) for v, c in zip(self.values, centre, strict=True)])
-        high = np.array([np.searchsorted(v, c + width, "right") for v, c in zip(self.values, centre, strict=True)])
-        return low.T[:, :, None].astype(self.places.dtype), (high - low).T[:, :, None].astype(self.places.dtype)
-
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
-        """(query, vector, score) of each query's best k here."""
+        n, m = len(ids), len(self.directions)
+        self.values, self.of = np.empty(m * n), np.empty(m * n, np.uint16 if n <= 1 << 16 else np.int32)
+        # the arrays lie one after the other; `apart` keeps their values in order, so that one search finds places in all of them
+        self.apart = 8 * largest * np.arange(m)
+        spread = 0.0
+        for j, direction in enumerate(self.directions):
+            projected = self.vectors @ direction[:-1] + more * direction[-1]
+            by = np.argsort(projected, kind="stable")
+            self.values[j * n : (j + 1) * n] = projected[by] + self.apart[j]
+            self.of[j * n : (j + 1) * n] = by
+            spread += float(projected.std()) / m
+        self.spread = max(spread, 1e-9 * max(largest, 1e-300))
+        self.ends = n * np.arange(m), n * np.arange(1, m + 1)
+        self.reach = reach(vectors.shape[1] + 1)
+        self.seen = self.verified = 0
+
+    def search(self, queries: np.ndarray, k: int, enough: int, skip: list[int | None]):
+        """Positions and scores of each query's best k here. enough: windows grow until so many of them are in reach. skip: an id that isn't to be found."""
         scaled = queries * (self.largest / np.sqrt((queries**2).sum(axis=1)))[:, None]
-        centre = (scaled @ self.directions[:, :-1].T).T  # projections x queries
-        n, m = len(self.ids), len(self.directions)
-        need = min(n, LEAST * k + int(SHARE * n))
-        least = int(np.ceil(COLLISIONS * m))
-        found: list[np.ndarray | None] = [None] * len(query_ids)
-        open_ = np.arange(len(query_ids))
+        centres = scaled @ self.directions[:, :-1].T + self.apart  # queries x projections
+        for query, centre, own in zip(queries, centres, skip, strict=True):
+            yield self._nearest(query, centre, k, enough, own)
+
+    def _nearest(self, query: np.ndarray, centre: np.ndarray, k: int, enough: int, own: int | None) -> tuple[np.ndarray, np.ndarray]:
+        n = len(self.ids)
+        least = int(np.ceil(COLLISIONS * len(self.directions)))
+        counts = np.zeros(n, np.int64)
+        new = np.ones(n, bool)
+        if own is not None:
+            new[np.searchsorted(self.ids, own) : np.searchsorted(self.ids, own, "right")] = False
+        low = high = np.clip(np.searchsorted(self.values, centre), *self.ends)
         width = START * self.spread
-        offset, inside = np.empty_like(self.places), np.empty(self.places.shape, bool)
-        for step in range(40):
-            low, length = self.windows(centre[:, open_], width)
-            for j, q in enumerate(open_.tolist()):
-                np.subtract(self.places, low[j], out=offset)
-                np.less(offset.view(np.uint16 if offset.itemsize == 2 else np.uint64), length[j].view(np.uint16 if offset.itemsize == 2 else np.uint64), out=inside)
-                seen = np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8)
-                hits = np.flatnonzero(seen >= least)
-                if len(hits) >= need:
-                    found[q] = hits
-            open_ = np.array([q for q in open_.tolist() if found[q] is None], np.int64)
-            if not len(open_):
-                break
-            width *= GROWTH
-        for q in range(len(query_ids)):
-            hits = np.arange(n) if found[q] is None else found[q]
-            hits = hits[self.ids[hits] != query_ids[q]]
-            score = (self.vectors[hits] * queries[q]).sum(axis=1)
-            best = np.lexsort((self.ids[hits], -score))[:k]
-            yield int(query_ids[q]), self.ids[hits[best]], score[best]
+        found, scores = np.zeros(0, np.int64), np.zeros(0)
+        scale = self.largest / float(np.sqrt(query @ query))
+        while True:
+            # virtual rehashing: the windows grow, and what is new in them collides once more
+            to_low = np.clip(np.searchsorted(self.values, centre - width), *self.ends)
+            to_high = np.clip(np.searchsorted(self.values, centre + width, "right"), *self.ends)
+            starts, lengths = np.concatenate([to_low, high]), np.concatenate([low - to_low, to_high - high])
+            counts += np.bincount(self.of[W.ragged(starts, lengths)], minlength=n)
+            self.seen += int(lengths.sum())
+            low, high = to_low, to_high
+            whole = int((high - low).sum()) == len(self.values)
+            hits = np.flatnonzero(new if whole else new & (counts >= least))
+            if len(hits):
+                new[hits] = False
+                self.verified += len(hits)
+                found = np.concatenate([found, hits])
+                scores = np.concatenate([scores, (self.vectors[hits] * query).sum(axis=1)])
+                best = np.lexsort((found, -scores))[:k]  # ids are in order
+                found, scores = found[best], scores[best]
+            if whole:
+                return found, scores
+            if len(found) >= enough:
+                # in the space of one more component all vectors and queries are `largest` long
+                apart = np.sqrt(max(2 * self.largest**2 - 2 * scale * scores[enough - 1], 0.0))
+                if apart <= self.reach * width:
+                    return found, scores
+                width = min(width * GROWTH, max(apart / self.reach, width * (1 + 1e-9)))
+            else:
+                # collisions grow less than in proportion to the width, so this is no wider than it has to be
+                width *= max(GROWTH, least / max(int(np.partition(counts, n - min(enough, n))[n - min(enough, n)]), least / 4))
 
 
 def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _search(k: int, largest: float):
-    """Columns shard, query (boolean), id, vector; sorted by shard, its vectors before its queries."""
+def _search(k: int, enough: int, largest: float, same: bool):
+    """Columns task, query (null for vectors), id, vector; sorted by task, its vectors before its queries. same: a query isn't to find its own id."""
 
     def run(batches):
         current, ids, vectors, index = None, [], [], None
         for batch in batches:
-            shard = batch.column(0).to_numpy()
-            query = np.array(batch.column(1).to_pylist(), bool)
-            cuts = np.flatnonzero((shard[1:] != shard[:-1]) | (query[1:] != query[:-1])) + 1
+            task = batch.column(0).to_numpy()
+            query = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((task[1:] != task[:-1]) | (query[1:] != query[:-1])) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
                 if a == b:
                     continue
                 part = batch.slice(a, b - a)
-                if shard[a] != current:
-                    current, ids, vectors, index = shard[a], [], [], None
-                own, matrix = part.column(2).to_numpy(), _matrix(part.column(3))
+                if task[a] != current:
+                    current, ids, vectors, index = task[a], [], [], None
+                matrix = _matrix(part.column(3))
                 if not query[a]:
-                    ids.append(own)
+                    ids.append(part.column(2).to_numpy())
                     vectors.append(matrix)
                     continue
                 if index is None:
                     if not ids:
                         continue
                     index = SortedProjections(np.concatenate(ids), np.concatenate(vectors), largest)
+                    ids, vectors = [True], []
                 qs, vs, ss = [], [], []
-                for q, found, score in index.search(own, matrix, k):
+                for q, (found, score) in zip(part.column(1).to_numpy(), index.search(matrix, k, enough, part.column(2).to_pylist() if same else [None] * len(part)), strict=True):
                     qs.append(np.full(len(found), q))
-                    vs.append(found)
+                    vs.append(index.ids[found])
                     ss.append(score)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(qs)), pa.array(np.concatenate(vs)), pa.array(np.concatenate(ss))], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(qs)), pa.array(np.concatenate(vs)), pa.array(np.concatenate(ss))], ["query", "vec_id", "score"])
 
     return run
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: for each query the nearest found, never the row of its own id. Both frames have the columns vec_id and vector."""
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD, block_rows: int = BLOCK) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: for each query the nearest found, never rows of its own id. Both frames have the columns vec_id and vector."""
     spark = vectors.sparkSession
 
     def rows(df: DataFrame) -> DataFrame:
         return df.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(usable(F.col("v")))
 
-    index = keep(rows(vectors), "vectors")
-    sizes = index.groupBy(F.size("v").alias("dims")).agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).orderBy(F.desc("n"), "dims").first()
-    if sizes is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shards = -(-sizes["n"] // shard_rows)
-    same = F.size("v") == sizes["dims"]
-    data = index.where(same).select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), F.lit(False).alias("query"), "id", "v")
-    asked = rows(queries).where(same).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(True).alias("query"), "id", "v")
-    dealt = data.unionAll(asked).repartition(shards, "shard").sortWithinPartitions("shard", "query")
-    found = dealt.mapInArrow(_search(k, float(np.sqrt(sizes["m"]))), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    index = keep(rows(vectors).where("id is not null"), "vectors")
+    norm = F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    sizes = index.groupBy(F.size("v").alias("dims")).agg(F.count(F.lit(1)).alias("n"), norm.alias("m")).collect()  # a row for each length of vector
+    # a query is known by a number of its own, so that repeated queries are answered each
+    asked = keep(rows(queries).withColumn("query", F.monotonically_increasing_id()), "queries")
+    n_asked = {r["dims"]: r["n"] for r in asked.groupBy(F.size("v").alias("dims")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    found = spark.createDataFrame([], FOUND)
+    for size in sizes:
+        if size["dims"] not in n_asked:
+            continue
+        shards, blocks = -(-size["n"] // shard_rows), -(-n_asked[size["dims"]] // block_rows)
+        share = 1 / shards
+        enough = min(k, math.ceil(k * share + 3 * math.sqrt(k * share * (1 - share))))
+        fits = F.size("v") == size["dims"]
+        shard = F.pmod(F.xxhash64("id"), F.lit(shards))
+        block = F.pmod(F.xxhash64(F.lit(3), "query"), F.lit(blocks))
+
+        def each(n: int) -> Column:
+            return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+        data = index.where(fits).select(shard.alias("shard"), each(blocks).alias("block"), F.lit(None).cast("long").alias("query"), "id", "v")
+        sent = asked.where(fits).select(each(shards).alias("shard"), block.alias("block"), "query", "id", "v")
+        dealt = data.unionAll(sent).select((F.col("shard") * blocks + F.col("block")).alias("task"), "query", "id", "v")
+        dealt = dealt.repartition(shards * blocks, "task").sortWithinPartitions("task", F.col("query").asc_nulls_first())
+        found = found.unionAll(dealt.mapInArrow(_search(k, enough, float(np.sqrt(size["m"])), True), FOUND))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.join(asked.select("query", F.col("id").alias("query_id")), "query").select("query_id", "rank", "vec_id", "score")
