@@ -30,7 +30,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.llm import words as W
 from claimloom.llm.base import keep
 
 PROJECTIONS = 128
@@ -41,7 +40,9 @@ COLLISIONS = 0.5
 #: How many standard deviations above the threshold the collisions of a vector are expected to be that counts as in reach.
 CERTAINTY = 1.0
 #: A window's first half width, as a share of the arrays' spread, and the least it grows by.
-START, GROWTH = 0.1, 1.06
+START, GROWTH = 0.1, 1.08
+#: Queries whose windows grow in step.
+TOGETHER = 128
 
 FOUND = "query long, vec_id long, score double"
 
@@ -76,67 +77,105 @@ class SortedProjections:
         more = np.sqrt(np.maximum(largest**2 - (self.vectors**2).sum(axis=1), 0))
         self.directions = directions(vectors.shape[1] + 1)
         n, m = len(ids), len(self.directions)
-        self.values, self.of = np.empty(m * n), np.empty(m * n, np.uint16 if n <= 1 << 16 else np.int32)
-        # the arrays lie one after the other; `apart` keeps their values in order, so that one search finds places in all of them
-        self.apart = 8 * largest * np.arange(m)
+        kind = np.uint16 if n < 1 << 16 else np.uint32
+        self.values, self.of = np.empty((m, n)), np.empty((m, n), kind)
+        # where each vector stands in each array; a window is a range of such places
+        self.places, self.offset, self.inside = np.empty((m, n), kind), np.empty((m, n), kind), np.empty((m, n), bool)
         spread = 0.0
         for j, direction in enumerate(self.directions):
             projected = self.vectors @ direction[:-1] + more * direction[-1]
             by = np.argsort(projected, kind="stable")
-            self.values[j * n : (j + 1) * n] = projected[by] + self.apart[j]
-            self.of[j * n : (j + 1) * n] = by
+            self.values[j], self.of[j] = projected[by], by
+            self.places[j, by] = np.arange(n)
             spread += float(projected.std()) / m
         self.spread = max(spread, 1e-9 * max(largest, 1e-300))
-        self.ends = n * np.arange(m), n * np.arange(1, m + 1)
         self.reach = reach(vectors.shape[1] + 1)
         self.seen = self.verified = 0
 
     def search(self, queries: np.ndarray, k: int, enough: int, skip: list[int | None]):
         """Positions and scores of each query's best k here. enough: windows grow until so many of them are in reach. skip: an id that isn't to be found."""
-        scaled = queries * (self.largest / np.sqrt((queries**2).sum(axis=1)))[:, None]
-        centres = scaled @ self.directions[:, :-1].T + self.apart  # queries x projections
-        for query, centre, own in zip(queries, centres, skip, strict=True):
-            yield self._nearest(query, centre, k, enough, own)
-
-    def _nearest(self, query: np.ndarray, centre: np.ndarray, k: int, enough: int, own: int | None) -> tuple[np.ndarray, np.ndarray]:
-        n = len(self.ids)
-        least = int(np.ceil(COLLISIONS * len(self.directions)))
-        counts = np.zeros(n, np.int64)
-        new = np.ones(n, bool)
-        if own is not None:
-            new[np.searchsorted(self.ids, own) : np.searchsorted(self.ids, own, "right")] = False
-        low = high = np.clip(np.searchsorted(self.values, centre), *self.ends)
-        width = START * self.spread
-        found, scores = np.zeros(0, np.int64), np.zeros(0)
-        scale = self.largest / float(np.sqrt(query @ query))
-        while True:
+        for at in range(0, len(queries), TOGETHER):
+            yield from self._search(queries[at : at + TOGETHER], k, enough, skip[at : at + TOGETHER])
+
+    def _windows(self, centres: np.ndarray, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each query's windows begin and end on each array (queries x projections)."""
+        low, high = np.empty(centres.shape, np.int64), np.empty(centres.shape, np.int64)
+        for j, values in enumerate(self.values):
+            low[:, j] = np.searchsorted(values, centres[:, j] - widths)
+            high[:, j] = np.searchsorted(values, centres[:, j] + widths, "right")
+        return low, high
+
+    def _search(self, queries: np.ndarray, k: int, enough: int, skip: list[int | None]):
+        n, m = len(self.ids), len(self.values)
+        least = int(np.ceil(COLLISIONS * m))
+        norms = np.sqrt((queries**2).sum(axis=1))
+        centres = (queries * (self.largest / norms)[:, None]) @ self.directions[:, :-1].T
+        widths = np.full(len(queries), START * self.spread)
+        asked = [_Query(self, own) for own in skip]
+        low, high = self._windows(centres, np.zeros(len(queries)))
+        high = low.copy()
+        open_ = np.arange(len(queries))
+        while len(open_):
             # virtual rehashing: the windows grow, and what is new in them collides once more
-            to_low = np.clip(np.searchsorted(self.values, centre - width), *self.ends)
-            to_high = np.clip(np.searchsorted(self.values, centre + width, "right"), *self.ends)
-            starts, lengths = np.concatenate([to_low, high]), np.concatenate([low - to_low, to_high - high])
-            counts += np.bincount(self.of[W.ragged(starts, lengths)], minlength=n)
-            self.seen += int(lengths.sum())
-            low, high = to_low, to_high
-            whole = int((high - low).sum()) == len(self.values)
-            hits = np.flatnonzero(new if whole else new & (counts >= least))
-            if len(hits):
-                new[hits] = False
-                self.verified += len(hits)
-                found = np.concatenate([found, hits])
-                scores = np.concatenate([scores, (self.vectors[hits] * query).sum(axis=1)])
-                best = np.lexsort((found, -scores))[:k]  # ids are in order
-                found, scores = found[best], scores[best]
-            if whole:
-                return found, scores
-            if len(found) >= enough:
-                # in the space of one more component all vectors and queries are `largest` long
-                apart = np.sqrt(max(2 * self.largest**2 - 2 * scale * scores[enough - 1], 0.0))
-                if apart <= self.reach * width:
-                    return found, scores
-                width = min(width * GROWTH, max(apart / self.reach, width * (1 + 1e-9)))
-            else:
-                # collisions grow less than in proportion to the width, so this is no wider than it has to be
-                width *= max(GROWTH, least / max(int(np.partition(counts, n - min(enough, n))[n - min(enough, n)]), least / 4))
+            to_low, to_high = self._windows(centres[open_], widths[open_])
+            for i, q in enumerate(open_.tolist()):
+                x = asked[q]
+                x.grow(low[q], high[q], to_low[i], to_high[i])
+                x.verify(queries[q], k, least)
+                if x.whole:
+                    widths[q] = np.inf
+                elif len(x.found) >= enough:
+                    # in the space of one more component all vectors and queries are `largest` long
+                    apart = np.sqrt(max(2 * self.largest**2 - 2 * self.largest / norms[q] * x.scores[enough - 1], 0.0))
+                    wanted = apart / self.reach
+                    widths[q] = np.inf if wanted <= widths[q] else min(widths[q] * GROWTH, wanted * (1 + 1e-9))
+                else:
+                    # collisions grow less than in proportion to the width, so this is no wider than it has to be
+                    of = n - min(enough, n)
+                    widths[q] *= max(GROWTH, least / max(int(np.partition(x.counts, of)[of]), least / 4))
+            low[open_], high[open_] = to_low, to_high
+            open_ = open_[np.isfinite(widths[open_])]
+        for x in asked:
+            yield x.found, x.scores
+
+
+class _Query:
+    """What one query has counted and found."""
+
+    def __init__(self, index: SortedProjections, own: int | None):
+        self.index = index
+        self.counts = np.zeros(len(index.ids), np.int16)
+        self.new = np.ones(len(index.ids), bool)
+        if own is not None:
+            self.new[np.searchsorted(index.ids, own) : np.searchsorted(index.ids, own, "right")] = False
+        self.found, self.scores = np.zeros(0, np.int64), np.zeros(0)
+        self.whole = False
+
+    def grow(self, low, high, to_low, to_high) -> None:
+        index, n = self.index, len(self.index.ids)
+        entered = int((low - to_low).sum() + (to_high - high).sum())
+        index.seen += entered
+        if entered > index.of.size // 20:  # much is new: count the places that are in the windows, all at once
+            kind = index.places.dtype
+            np.subtract(index.places, to_low[:, None].astype(kind), out=index.offset)
+            np.less(index.offset, (to_high - to_low)[:, None].astype(kind), out=index.inside)
+            self.counts = np.add.reduce(index.inside.view(np.uint8), axis=0, dtype=np.int16)
+        elif entered:
+            rings = [part for of, a, b, c, d in zip(index.of, to_low.tolist(), low.tolist(), high.tolist(), to_high.tolist(), strict=True) for part in (of[a:b], of[c:d])]
+            self.counts = self.counts + np.bincount(np.concatenate(rings), minlength=n).astype(np.int16)
+        self.whole = int((to_high - to_low).sum()) == index.of.size
+
+    def verify(self, query: np.ndarray, k: int, least: int) -> None:
+        hits = np.flatnonzero(self.new if self.whole else self.counts >= least)
+        hits = hits[self.new[hits]]
+        if not len(hits):
+            return
+        self.new[hits] = False
+        self.index.verified += len(hits)
+        found = np.concatenate([self.found, hits])
+        scores = np.concatenate([self.scores, (self.index.vectors[hits] * query).sum(axis=1)])
+        best = np.lexsort((found, -scores))[:k]  # ids are in order
+        self.found, self.scores = found[best], scores[best]
 
 
 def _matrix(column) -> np.ndarray:
