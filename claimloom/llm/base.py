@@ -6,9 +6,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch. Texts run to megabytes, so batches stay small.
+#: Rows and bytes in an Arrow batch. Texts run to megabytes, so batches stay small.
 BATCH_ROWS = 500
+BATCH_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,15 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker holds at once."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bound what a Python worker is sent at once, unless the session has a tighter bound already."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        held = spark.conf.get(name, None)
+        digits = (held or "").lower().rstrip("b")
+        if not digits.lstrip("-").isdigit() or not 0 < int(digits) <= most:
+            spark.conf.set(name, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver share: spark.checkpoint.dir; a folder of its own where it is unset, as in tests."""
+    """The folder that all executors and the driver share: spark.checkpoint.dir. Where it is unset, as in tests, a local session gets a folder of its own; a cluster doesn't."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="claimloom-")
         spark.sparkContext.setCheckpointDir(at)
     return at
@@ -34,6 +41,31 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stratified(rows: DataFrame, strata: list[str], key: str, at_most: int, seed: int) -> tuple[DataFrame, dict[tuple, tuple[int, int]]]:
+    """A sample of about at_most rows in all, drawn by a hash of the key: of each stratum (what the columns strata hold; few values) an equal part, or all of a small one.
+
+    Returns it with, for each stratum, its number of rows and its threshold: 2**30 * the share that was drawn.
+    """
+    counts = {tuple(r[c] for c in strata): r["n"] for r in rows.groupBy(*strata).agg(F.count(F.lit(1)).alias("n")).collect()}
+    left, drawn = at_most, {}
+    for k, (stratum, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], str(x[0])))):  # what small strata leave goes to the others
+        part = min(n, left // (len(counts) - k))
+        left -= part
+        drawn[stratum] = (n, (1 << 30) * part // n)
+    spark = rows.sparkSession
+    if not drawn:
+        return rows.limit(0), drawn
+    limits = spark.createDataFrame([(*stratum, limit) for stratum, (_, limit) in drawn.items()], spark_schema(rows, strata))
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30))
+    return rows.join(F.broadcast(limits), strata).where(draw < F.col("__limit")).drop("__limit"), drawn  # a row a stratum
+
+
+def spark_schema(rows: DataFrame, columns: list[str]):
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    return StructType([rows.schema[c] for c in columns] + [StructField("__limit", LongType())])
+
+
 def keep(df: DataFrame, name: str = "kept") -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage is cut, and lost executors cost nothing."""
     path = fresh_path(df.sparkSession, name)

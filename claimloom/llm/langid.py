@@ -5,12 +5,13 @@ words as one blank). A text's vector is n-gram frequency (count / number of n-gr
 come from follow-the-regularised-leader (FTRL-proximal) with L1 and L2 penalties, which makes them sparse; a
 temperature fitted on labelled rows kept out of the training scales the scores into probabilities.
 
-The model is fitted on a sample of labelled rows: about `train_rows` of them, chosen by a hash of the id, at most; document frequencies
-are those of the sample. It has 2**BITS * classes weights whatever the corpus, and goes to the executors as a broadcast of that
+The weights are fitted on a sample of labelled rows, an equal part of each label, about `train_rows` in all at most; document
+frequencies are grouped sums over all labelled rows. The model has 2**BITS * classes weights whatever the corpus, and goes to the executors as a broadcast of that
 size. Prediction reads whole texts in one pass without a shuffle.
 
-Defined results: a null text, or one without a letter, is `und` with score 0; ties go to the language first in order; no
-labelled row leaves every text `und`; repeated rows are predicted alike; other columns take no part.
+Defined results: a null or empty text, or one without a letter, is `und` with score 0; a text of any length is read whole, in
+pieces; ties go to the language first in order; no labelled row leaves every text `und`; rows are predicted each for itself, repeated
+ones and those without an id too; other columns take no part, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm import words as W
-from claimloom.llm.base import small_batches
+from claimloom.llm.base import small_batches, stratified
 
 BITS = 16
 ORDERS = (1, 2, 3)
@@ -132,23 +133,37 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epochs: i
     return w[:-1], w[-1]
 
 
+def _document_frequencies(batches):
+    """How many texts of the task have each bucket."""
+    df = np.zeros(1 << BITS, np.int64)
+    for batch in batches:
+        for t in batch.column(0).to_pylist():
+            found = list(pieces(np.frombuffer(t.encode(), np.uint8)))
+            if found:
+                df[np.unique(np.concatenate(found))] += 1
+    on = np.flatnonzero(df)
+    yield pa.RecordBatch.from_arrays([pa.array(on.astype(np.int32)), pa.array(df[on])], ["bucket", "df"])
+
+
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", train_rows: int = 3000, calibration_share: float = 0.2, scale: float = 200.0) -> Model:
-    """Fit on at most about train_rows labelled rows, chosen by a hash of the key over all of them. Rows with a null text or label take no part."""
-    usable = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("text"), F.col(label).alias("label"))
-    n = usable.select("k").count()
-    share = min(1.0, train_rows / max(n, 1))
-    draw = F.pmod(F.xxhash64(F.lit(11), F.col("k").cast("string")), F.lit(1 << 30))
-    sample = usable.where(draw < int(share * (1 << 30)) + (share == 1.0))
-    found = sample.select("text", "label").mapInArrow(_vectors, "label string, at array<int>, share array<float>").toArrow()
+    """Rows with a null text or label take no part. Document frequencies are those of all rows.
+
+    The weights are fitted on about train_rows rows at most, an equal part of each label (all rows of a rare one), drawn by a
+    hash of the key; so every label is learned, however many rows the others have.
+    """
+    usable = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(key).cast("string").alias("__k"), F.col(text).cast("string").alias("t"), F.col(label).cast("string").alias("label"))
+    counts = usable.select("t").mapInArrow(_document_frequencies, "bucket int, df long").groupBy("bucket").agg(F.sum("df").alias("df")).toArrow()  # 2**BITS rows at most
+    df = np.zeros(1 << BITS)
+    df[counts.column("bucket").to_numpy()] = counts.column("df").to_numpy()
+    sample, strata = stratified(usable, ["label"], "__k", train_rows, 11)
+    total = sum(n for n, _ in strata.values())
+    found = sample.select("t", "label").mapInArrow(_vectors, "label string, at array<int>, share array<float>").toArrow()
     labels, at, xs = found.column("label").to_pylist(), [np.asarray(v, np.int32) for v in found.column("at").to_numpy()], [np.asarray(v, np.float64) for v in found.column("share").to_numpy()]
     classes = sorted(set(labels))
     if not classes:
         return Model([UNKNOWN], np.zeros((1 << BITS, 1), np.float32), np.zeros(1), 1.0)
     order = sorted(range(len(labels)), key=lambda i: (labels[i], at[i].tobytes(), xs[i].tobytes()))  # whatever the order they came in
-    df = np.zeros(1 << BITS)
-    for v in at:
-        df[v] += 1
-    idf = np.log((1 + len(at)) / (1 + df)) + 1
+    idf = np.log((1 + total) / (1 + df)) + 1
     rows = []
     for i in order:
         x = xs[i] * idf[at[i]] * scale

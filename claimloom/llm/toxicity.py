@@ -5,7 +5,8 @@ categories before it. For training, those probabilities are out of fold: made by
 
 Features are hashed words, and the words' first four and five bytes (2**BITS places, present or not); lower-cased A-Z. The
 models are logistic regressions fitted by follow-the-regularised-leader with an L1 penalty, so most places are zero. They are fitted on
-a sample of about `train_rows` labelled rows at most, chosen by a hash of the id. Prediction is one pass over whole texts.
+a sample of about `train_rows` labelled rows at most, chosen by a hash of the id within each combination of labels, so what can be
+learned of a rare category doesn't shrink as the tables grow. Prediction is one pass over whole texts.
 
 Defined results: a null or empty text has no features and gets the models' bias; labels that are null, or of ids without a
 text, take no part; no labels at all give probabilities 0; several labels of one id count each; repeated rows are
@@ -22,9 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm import words as W
-from claimloom.llm.base import small_batches
+from claimloom.llm.base import small_batches, stratified
 
-BITS = 18
+BITS = 20
 PREFIXES = (4, 5)
 
 
@@ -67,30 +68,47 @@ def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def ftrl(rows: list[np.ndarray], more: np.ndarray, y: np.ndarray, epochs: int = 4, alpha: float = 0.15, beta: float = 1.0, l1: float = 1.0, l2: float = 0.1, seed: int = 3) -> Linear:
-    """Logistic regression on present places and some further numbers, by FTRL-proximal. Further numbers and the bias have no L1 penalty."""
+BATCH = 32
+
+
+def ftrl(rows: list[np.ndarray], more: np.ndarray, y: np.ndarray, steps: int = 45_000, alpha: float = 0.5, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1, seed: int = 3) -> Linear:
+    """Logistic regression on present places and some further numbers, by FTRL-proximal over batches of BATCH rows, about `steps` rows in all, each row 4 to 15 times.
+
+    Further numbers and the bias have no L1 penalty. Places that one row alone has tell nothing of other rows, and are left out.
+    """
     size = 1 << BITS
     n_more = more.shape[1] + 1
     z, n = np.zeros(size + n_more), np.zeros(size + n_more)
+    penalty = np.full(size + n_more, l1)
+    penalty[size:] = 0
+    extra = np.column_stack([more, np.ones(len(rows))])
     free = np.arange(size, size + n_more)
+    owner, flat = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate([*rows, np.zeros(0, np.int64)])
+    shared = np.bincount(flat, minlength=size)[flat] > 1
+    owner, flat = owner[shared], flat[shared]
+    lengths = np.bincount(owner, minlength=len(rows))
+    first = np.cumsum(lengths) - lengths
 
-    def weights(at, penalty):
+    def weights(at):
         zz = z[at]
-        return np.where(np.abs(zz) <= penalty, 0.0, -(zz - np.sign(zz) * penalty) / ((beta + np.sqrt(n[at])) / alpha + l2))
+        return np.where(np.abs(zz) <= penalty[at], 0.0, -(zz - np.sign(zz) * penalty[at]) / ((beta + np.sqrt(n[at])) / alpha + l2))
 
     rng = np.random.default_rng(seed)
-    for _ in range(epochs):
-        for k in rng.permutation(len(rows)):
-            at = np.concatenate([rows[k], free])
-            x = np.ones(len(at))
-            x[len(rows[k]) : -1] = more[k]
-            w = np.concatenate([weights(rows[k], l1), weights(free, 0.0)])
-            g = (sigmoid(w @ x) - y[k]) * x
-            sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha
-            z[at] += g - sigma * w
-            n[at] += g * g
-    w = weights(free, 0.0)
-    return Linear(weights(np.arange(size), l1).astype(np.float32), w[:-1], float(w[-1]))
+    for _ in range(min(15, max(4, steps // max(len(rows), 1)))):
+        shuffled = rng.permutation(len(rows))
+        for low in range(0, len(rows), BATCH):
+            k = shuffled[low : low + BATCH]
+            row = np.repeat(np.arange(len(k)), lengths[k])
+            at, back = np.unique(flat[W.ragged(first[k], lengths[k])], return_inverse=True)
+            w, v = weights(at), weights(free)
+            logit = np.bincount(row, weights=w[back], minlength=len(k)) + extra[k] @ v
+            error = sigmoid(logit) - y[k]
+            for places, g, old in ((at, np.bincount(back, weights=error[row], minlength=len(at)), w), (free, extra[k].T @ error, v)):
+                sigma = (np.sqrt(n[places] + g * g) - np.sqrt(n[places])) / alpha
+                z[places] += g - sigma * old
+                n[places] += g * g
+    w = weights(free)
+    return Linear(weights(np.arange(size)).astype(np.float32), w[:-1], float(w[-1]))
 
 
 @dataclass
@@ -98,38 +116,43 @@ class Chain:
     categories: list[str]
     models: list[Linear] = field(default_factory=list)
 
-    def predict(self, at: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(self.categories))
-        for k, m in enumerate(self.models):
-            out[k] = sigmoid(m.logit(at, out[:k]))
-        return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], doc_id: str = "doc_id", text: str = "text", train_rows: int = 4000, folds: int = 3) -> Chain:
-    """categories: name and a Column (0 or 1) over the columns of labels, in the chain's order."""
+def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], doc_id: str = "doc_id", text: str = "text", train_rows: int = 8000, folds: int = 3) -> Chain:
+    """categories: name and a Column (0 or 1) over the columns of labels, in the chain's order.
+
+    About train_rows labelled rows at most are fitted on, an equal part of each combination of labels that occurs (all of a
+    rare one), so rare categories are learned however many rows there are; the models' biases are set right for it.
+    """
     names = list(categories)
-    wanted = labels.select(F.col(doc_id).cast("long").alias("k"), *[c.cast("int").alias(n) for n, c in categories.items()]).dropna()
-    n = wanted.count()
-    share = min(1.0, train_rows / max(n, 1))
-    draw = F.pmod(F.xxhash64(F.lit(5), F.col("k")), F.lit(1 << 30))
-    sample = wanted.where(draw < int(share * (1 << 30)) + (share == 1.0))
-    rows = docs.select(F.col(doc_id).cast("long").alias("k"), F.col(text).cast("string").alias("t")).where("t is not null").join(F.broadcast(sample), "k")  # about train_rows at most
-    found = rows.select("t", "k", *names).mapInArrow(_vectors, f"at array<int>, k long, {', '.join(f'{c} int' for c in names)}").toArrow()
+    marks = [f"__y{k}" for k in range(len(names))]
+    wanted = labels.select(F.col(doc_id).cast("long").alias("__k"), *[c.cast("int").alias(m) for m, c in zip(marks, categories.values(), strict=True)]).dropna()
+    sample, strata = stratified(wanted, marks, "__k", train_rows, 5)
+    rows = docs.select(F.col(doc_id).cast("long").alias("__k"), F.col(text).cast("string").alias("t")).where("t is not null").join(F.broadcast(sample), "__k")  # train_rows at most, about
+    found = rows.select("t", "__k", *marks).mapInArrow(_vectors, f"at array<int>, k long, {', '.join(f'{m} int' for m in marks)}").toArrow()
     chain = Chain(names)
     if not found.num_rows:
         return chain
-    order = np.argsort(found.column("k").to_numpy(), kind="stable")
     vectors = [np.asarray(v, np.int64) for v in found.column("at").to_numpy()]
+    keys = found.column("k").to_numpy()
+    order = sorted(range(len(keys)), key=lambda i: (int(keys[i]), [found.column(m)[i].as_py() for m in marks], vectors[i].tobytes()))
     rows = [vectors[i] for i in order]
     fold = np.arange(len(rows)) % folds
     more = np.zeros((len(rows), 0))
-    for c in names:
-        y = found.column(c).to_numpy()[order].astype(float)
-        chain.models.append(ftrl(rows, more, y))
+    for k, c in enumerate(names):
+        y = found.column(marks[k]).to_numpy()[order].astype(float)
+        # of the rows with and without the category, other shares were drawn: the log odds are off by the logarithm of their ratio
+        share = [sum(n * limit for s, (n, limit) in strata.items() if s[k] == v) / max(sum(n for s, (n, _) in strata.items() if s[k] == v), 1) for v in (0, 1)]
+        shift = float(np.log(share[0] / share[1])) if min(share) > 0 else 0.0
+
+        def corrected(m: Linear, shift: float = shift) -> Linear:
+            return Linear(m.weights, m.more, m.bias + shift)
+
+        chain.models.append(corrected(ftrl(rows, more, y)))
         if c != names[-1]:
             out = np.zeros(len(rows))
             for f in range(folds):
-                m = ftrl([r for r, g in zip(rows, fold, strict=True) if g != f], more[fold != f], y[fold != f])
+                m = corrected(ftrl([r for r, g in zip(rows, fold, strict=True) if g != f], more[fold != f], y[fold != f]))
                 for i in np.flatnonzero(fold == f):
                     out[i] = sigmoid(m.logit(rows[i], more[i]))
             more = np.column_stack([more, out])
@@ -146,8 +169,9 @@ def _predict(shared):
             at, text = places(batch.column(1))
             on = used[at]
             at, text = _distinct(at[on], text[on])
-            first = np.searchsorted(text, np.arange(batch.num_rows + 1))
-            p = np.array([chain.predict(at[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]).reshape(batch.num_rows, -1)
+            p = np.zeros((batch.num_rows, len(chain.categories)))
+            for k, m in enumerate(chain.models):
+                p[:, k] = sigmoid(np.bincount(text, weights=m.weights[at], minlength=batch.num_rows) + p[:, :k] @ m.more + m.bias)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, k]) for k in range(p.shape[1]))], ["doc_id", *[f"p_{c}" for c in chain.categories]])
 
     return run
