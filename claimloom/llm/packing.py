@@ -3,9 +3,10 @@
 Texts are tokenized once. Their token ids are the terms of a BM25 index whose document frequencies and mean length are those
 of all texts (a table of the vocabulary's size, so it goes to the executors as it is).
 
-Texts are routed first: about one text a window is drawn as a seed, by a hash. The seeds' SEED_TERMS rarest terms that other texts
-share are an index that goes to the executors; every text of the table, in whatever file, is scored against all seeds by
-BM25 over those terms, and goes to the best. Texts are sorted by seed, seeds by their terms, so related texts lie together.
+Texts are routed first: at most ROUTES texts are drawn as seeds, by a hash. The seeds' SEED_TERMS rarest terms that other texts
+share are an index of bounded size that goes to the executors; every text of the table, in whatever file, is scored against all seeds by
+BM25 over those terms. Texts are sorted by their best seed, then by their second best, and so on (PREFIX of them), so related texts
+lie together however many there are; a text costs the same at any size of the table. Seeds are numbered in the order of their terms.
 
 The index is sharded in that order: each task builds the inverted index of SHARD_DOCS texts at a time (fewer when they are
 long), takes the first unused one as seed, ranks the unused others by BM25 with the seed as query, and fills the window with
@@ -16,7 +17,8 @@ routed again with what the others left, and packed in a second pass. What is lef
 are powers of two, which need no padding. So no sequence has any.
 
 Defined results: a null or empty text has the end token only; texts of any length are cut over as many windows as they
-need; ties go to the text first in its shard; repeated rows are packed each for itself; an empty table gives no sequence.
+need; ties go to the text first in its shard; repeated rows, and rows without an id, are packed each for itself; further
+columns are not read, whatever their names; an empty table gives no sequence.
 """
 
 from __future__ import annotations
@@ -34,11 +36,14 @@ from claimloom.llm.base import forget, keep, small_batches
 SHARD_DOCS = 512
 SHARD_TOKENS = 1 << 20
 SEED_TERMS = 8
+#: Seeds that texts are routed by, at most, and how many of a text's best ones it is sorted by.
+ROUTES = 2048
+PREFIX = 3
 #: Cells (texts times seeds) that are scored at once.
-CELLS = 1 << 21
+CELLS = 1 << 20
 K1, B = 1.2, 0.75
 
-ROUTED = "doc_id long, start long, doc_tokens long, ids binary, seed int, far float"
+ROUTED = "doc_id long, start long, doc_tokens long, ids binary, " + ", ".join(f"seed{k} int" for k in range(PREFIX))
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -235,37 +240,41 @@ class Seeds:
         self.seed = np.repeat(np.arange(self.n), lengths)[order].astype(np.int32)
         self.first = np.searchsorted(term[order], np.arange(len(rank) + 1))
 
-    def best(self, values: np.ndarray, counts: np.ndarray, idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
-        """Each text's best seed of all, the first of equal ones, and its score; a text that shares no term goes where its rarest term would lie."""
+    def best(self, values: np.ndarray, counts: np.ndarray, idf: np.ndarray, mean: float) -> np.ndarray:
+        """Each text's PREFIX best seeds of all, best first, the first of equal ones; in place of seeds it shares no term with, the one where its rarest term would lie."""
         text, term, tf = _terms(values, counts, len(idf))
         rarest = np.full(len(counts), len(idf))
         np.minimum.at(rarest, text, self.rank[term])
-        best, score = np.minimum(np.searchsorted(self.heads, rarest), max(self.n - 1, 0)), np.zeros(len(counts))
-        if not self.n:
-            return best, score
-        weight = idf[term] * tf * (K1 + 1) / (tf + (K1 * (1 - B + B * counts / max(mean, 1.0)))[text])
+        best = np.repeat(np.minimum(np.searchsorted(self.heads, rarest), max(self.n - 1, 0))[:, None], PREFIX, axis=1)
+        listed = self.first[term + 1] > self.first[term]  # the terms that some seed has
+        text, term, tf = text[listed], term[listed], tf[listed]
+        if not len(text):
+            return best
+        weight = (idf[term] * tf * (K1 + 1) / (tf + (K1 * (1 - B + B * counts / max(mean, 1.0)))[text])).astype(np.float32)
         order = np.argsort(text, kind="stable")
         text, term, weight = text[order], term[order], weight[order]
         step = max(1, CELLS // self.n)
         for at in range(0, len(counts), step):
             a, b = np.searchsorted(text, [at, at + step])
             n = self.first[term[a:b] + 1] - self.first[term[a:b]]
-            cells = np.repeat(text[a:b] - at, n) * self.n + self.seed[W.ragged(self.first[term[a:b]], n)]
+            cells = np.repeat((text[a:b] - at) * self.n, n) + self.seed[W.ragged(self.first[term[a:b]], n)]
             rows = min(step, len(counts) - at)
             found = np.bincount(cells, weights=np.repeat(weight[a:b], n), minlength=rows * self.n).reshape(rows, self.n)
-            top = found.argmax(axis=1)
-            value = found[np.arange(rows), top]
-            best[at : at + rows] = np.where(value > 0, top, best[at : at + rows])
-            score[at : at + rows] = value
-        return best, score
+            each = np.arange(rows)
+            for k in range(min(PREFIX, self.n)):
+                top = found.argmax(axis=1)
+                on = found[each, top] > 0
+                best[at : at + rows, k][on] = top[on]
+                found[each, top] = 0
+        return best
 
 
 def _route(shared_seeds, idf, mean: float, wide: bool):
     def run(batches):
         seeds: Seeds = shared_seeds.value
         for batch in batches:
-            best, score = seeds.best(*_ids(batch.column(3), wide), idf.value, mean)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best.astype(np.int32)), pa.array(-score.astype(np.float32))], ["doc_id", "start", "doc_tokens", "ids", "seed", "far"])
+            best = seeds.best(*_ids(batch.column(3), wide), idf.value, mean).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.ascontiguousarray(best[:, k])) for k in range(PREFIX))], ["doc_id", "start", "doc_tokens", "ids", *[f"seed{k}" for k in range(PREFIX)]])
 
     return run
 
@@ -357,11 +366,14 @@ def _pack(idf, mean: float, window: int, wide: bool, with_ids: bool, last: bool)
         table = idf.value
         sequence_id = TaskContext.get().partitionId() << 40 | last << 39
         held: list[tuple[np.ndarray, ...]] = []
+        held_ids: list[pa.Array] = []
 
         def shard():
             nonlocal sequence_id
-            docs, starts, totals, counts, values = (np.concatenate(x) for x in zip(*held, strict=True))
+            starts, totals, counts, values = (np.concatenate(x) for x in zip(*held, strict=True))
+            docs = pa.concat_arrays(held_ids)  # some may be null
             held.clear()
+            held_ids.clear()
             first = np.cumsum(counts) - counts
             rows: list[tuple] = []
 
@@ -369,7 +381,7 @@ def _pack(idf, mean: float, window: int, wide: bool, with_ids: bool, last: bool)
                 offset = 0
                 for text, start, length in sequence:
                     ids = values[first[text] + start : first[text] + start + length].astype("<u4").tobytes()
-                    rows.append((int(docs[text]), int(starts[text]) + start, length, zlib.crc32(ids), int(totals[text]), number, offset, ids if ids_too else None))
+                    rows.append((text, int(starts[text]) + start, length, zlib.crc32(ids), int(totals[text]), number, offset, ids if ids_too else None))
                     offset += length
 
             rest: list[tuple[int, int, int]] = []
@@ -378,18 +390,19 @@ def _pack(idf, mean: float, window: int, wide: bool, with_ids: bool, last: bool)
                 sequence_id += 1
             add(rest, None, True)
             cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:7]), pa.array(cols[7], pa.binary())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
+            return pa.RecordBatch.from_arrays([docs.take(pa.array(cols[0], pa.int64())), *(pa.array(c, pa.int64()) for c in cols[1:7]), pa.array(cols[7], pa.binary())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
         waiting, tokens = 0, 0
         for batch in batches:
             values, counts = _ids(batch.column(3), wide)
-            docs, starts, totals = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            starts, totals = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
             ends = np.cumsum(counts)
             at = 0
             while at < len(counts):
                 done = int(ends[at - 1]) if at else 0
                 to = min(at + SHARD_DOCS - waiting, max(at + 1, int(np.searchsorted(ends, done + SHARD_TOKENS - tokens, "right"))))
-                held.append((docs[at:to], starts[at:to], totals[at:to], counts[at:to], values[done : int(ends[to - 1])]))
+                held_ids.append(batch.column(0).slice(at, to - at))
+                held.append((starts[at:to], totals[at:to], counts[at:to], values[done : int(ends[to - 1])]))
                 waiting, tokens, at = waiting + to - at, tokens + int(ends[to - 1]) - done, to
                 if waiting >= SHARD_DOCS or tokens >= SHARD_TOKENS or at < len(counts):
                     yield shard()
@@ -420,18 +433,21 @@ def pack(docs: DataFrame, path: str, window: int = 4096, end: int = 2, doc_id: s
     ranks, shared = spark.sparkContext.broadcast(rank), int((df > 1).sum())
     mean = (total or 0) / max(n, 1)
 
-    def one_pass(texts: DataFrame, size: int, wide: bool, last: bool) -> DataFrame:
-        share = min(1.0, size / window / max(texts.count(), 1))
-        drawn = texts.where(F.pmod(F.xxhash64(F.lit(13), "doc_id", "start"), F.lit(1 << 30)) < int(share * (1 << 30)))
-        terms = drawn.select("ids").mapInArrow(_rarest(ranks, shared, wide), "terms array<int>").toArrow().column("terms").to_pylist()
-        seeds = spark.sparkContext.broadcast(Seeds(terms, rank))  # SEED_TERMS terms a window
-        routed = keep(texts.mapInArrow(_route(seeds, idf, mean, wide), ROUTED), "routed")
-        by = ("seed", "far", "doc_id", "start")
-        return routed.repartitionByRange(*by).sortWithinPartitions(*by).select("doc_id", "start", "doc_tokens", "ids").mapInArrow(_pack(idf, mean, window, wide, with_ids, last), PIECES)
-
-    texts = tokens.select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n").alias("doc_tokens"), "ids")
-    packed = keep(one_pass(texts, total or 0, wide, False), "packed")
+    def routed(texts: DataFrame, wide: bool) -> DataFrame:
+        """The texts with their seeds, in the shared folder."""
+        share = min(1.0, ROUTES / max(texts.count(), 1))
+        drawn = texts.where(F.pmod(F.xxhash64(F.lit(13), "doc_id", "start"), F.lit(1 << 30)) < int(share * (1 << 30)) + (share == 1.0))
+        terms = drawn.select("ids").mapInArrow(_rarest(ranks, shared, wide), "terms array<int>").toArrow().column("terms").to_pylist()  # ROUTES * SEED_TERMS numbers, about
+        seeds = spark.sparkContext.broadcast(Seeds(terms, rank))
+        return keep(texts.mapInArrow(_route(seeds, idf, mean, wide), ROUTED), "routed")
+
+    def packed(texts: DataFrame, wide: bool, last: bool) -> DataFrame:
+        by = (*[f"seed{k}" for k in range(PREFIX)], "doc_id", "start")
+        return texts.repartitionByRange(*by).sortWithinPartitions(*by).select("doc_id", "start", "doc_tokens", "ids").mapInArrow(_pack(idf, mean, window, wide, with_ids, last), PIECES)
+
+    texts = routed(tokens.select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n").alias("doc_tokens"), "ids"), wide)
     forget(tokens)
-    left = packed.where("sequence_id is null").select("doc_id", "start", "doc_tokens", "ids")
-    n_left = packed.where("sequence_id is null").agg(F.sum("length")).first()[0] or 0
-    return packed.where("sequence_id is not null").unionAll(one_pass(left, n_left, True, True))
+    first = keep(packed(texts, wide, False), "packed")
+    forget(texts)
+    left = routed(first.where("sequence_id is null").select("doc_id", "start", "doc_tokens", "ids"), True)
+    return first.where("sequence_id is not null").unionAll(packed(left, True, True))

@@ -237,7 +237,7 @@ def test_secret_models_tell_random_strings(spark):
     assert sum(r["y"] == r["found"] for r in rows) >= 190
 
 
-def test_packing(docs, empty):
+def test_packing(spark, docs, empty):
     path = tokenizer_path()
     encoder = packing.Encoder(path)
     rows = packing.pack(docs, path, window=256).collect()
@@ -260,6 +260,12 @@ def test_packing(docs, empty):
             at += r["length"]
         assert at <= 256 and at & (at - 1) == 0
     assert packing.pack(empty, path).count() == 0
+    odd = spark.createDataFrame([(None, "one two"), (None, None), (3, "x " * 3000), (3, "x " * 3000)], "doc_id long, text string")
+    rows = packing.pack(odd, path, window=256, with_ids=False).collect()
+    two = len(encoder.encode(pa.array(["one two"]))[0])
+    none = [r for r in rows if r["doc_id"] is None]
+    assert {r["doc_tokens"] for r in none} == {1, two} and sum(r["length"] for r in none) == 1 + two
+    assert sum(r["length"] for r in rows if r["doc_id"] == 3) == 2 * len(encoder.encode(pa.array(["x " * 3000]))[0])
 
 
 def test_tokens_are_the_tokenizers():
