@@ -19,10 +19,14 @@ head, that with the most tokens in common with others, and links join texts into
 * Texts that aren't near the head are paired with the others of the list that belong to another component, if enough of
   their shingles occur in any other of these texts.
 
-So a large group of near copies costs a multiple of its size, and no link between components is lost.
+Pairs of one component needn't be found. So in both cases components meet first, by their labels, within the bounds of their
+texts, and then the texts of two labels that met. A large group of near copies, or several that are alike but not linked, cost
+a multiple of their size, and no link between components is lost.
 
 Defined results: an empty or null text has an empty set and is linked with nothing; fewer words than a shingle has make
-one shingle; repeated rows need ids of their own, and are copies then; an empty table gives an empty result.
+one shingle; texts of any length are read whole. Rows that share an id get a row each: those of equal text are copies;
+of unlike texts the one whose set has the smallest digest is linked for the id. A row without an id is linked with its exact copies only, and
+has their component (null, and kept, if it has none). Further columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,6 +43,8 @@ from claimloom.llm.base import forget, keep, small_batches
 
 COORDINATES = 48
 MATCHES = 24
+#: Members of a head that are compared with it in one go.
+PART = 2000
 
 _rng = np.random.default_rng(48)
 _MULTIPLY = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -100,23 +106,31 @@ def _count_matches(least: int):
 
 
 def _compare(size: int, percent: int):
-    """Columns a, b, text_a, text_b: the pairs with the sizes of their full sets, whether those are alike, and what is in one of them only."""
+    """Columns a, part, b (null for the head's own row), text; sorted, each head before its members.
+
+    A row for each member: the sizes of the full sets, whether those are alike, and what is in one of them only. A head is held while its
+    members pass by, so its text is sent once a part.
+    """
 
     def run(batches):
+        head, own, last = None, None, None
         for batch in batches:
-            a, b = (c.to_numpy() for c in (batch.column(0), batch.column(1)))
-            sets: dict[int, np.ndarray] = {}
-            for ids, texts in ((a, batch.column(2)), (b, batch.column(3))):
-                _, at = np.unique(ids, return_index=True)
-                at = np.array([k for k in at.tolist() if ids[k] not in sets], np.int64)
-                values, counts = shingle_sets(texts.take(pa.array(at)), size)
-                for k, part in zip(at.tolist(), np.split(values, np.cumsum(counts)[:-1]) if len(at) else [], strict=True):
-                    sets[int(ids[k])] = part
-            apart = [np.setxor1d(sets[int(x)], sets[int(y)], assume_unique=True) for x, y in zip(a, b, strict=True)]
-            n_a, n_b, d = (np.array(x, np.int64) for x in ([len(sets[int(x)]) for x in a], [len(sets[int(y)]) for y in b], [len(x) for x in apart]))
+            values, counts = shingle_sets(batch.column(3), size)
+            sets = np.split(values, np.cumsum(counts)[:-1]) if batch.num_rows else []
+            rows, apart = [], []
+            for k, (a, part, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+                if b is None:
+                    if head != (a, part):  # an id that stands for several texts counts by the first
+                        head, own, last = (a, part), sets[k].copy(), None
+                elif head == (a, part) and b != last:
+                    last = b
+                    apart.append(np.setxor1d(own, sets[k], assume_unique=True))
+                    rows.append((a, b, len(own), len(sets[k])))
+            a, b, n_a, n_b = np.array(rows, np.int64).reshape(-1, 4).T
+            d = np.array([len(x) for x in apart], np.int64)
             linked = d * (100 + percent) <= (n_a + n_b) * (100 - percent)
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(d)]).astype(np.int32), np.concatenate([*apart, np.zeros(0, np.uint64)]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_a), pa.array(n_b), pa.array(linked), lists], ["a", "b", "n_a", "n_b", "linked", "apart"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x)) for x in (a, b, n_a, n_b)), pa.array(linked), lists], ["a", "b", "n_a", "n_b", "linked", "apart"])
 
     return run
 
@@ -168,10 +182,13 @@ def links(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     signed = keep(texts.mapInArrow(_sign(size), "doc_id long, n long, digest binary, sig array<int>"), "signed")
     groups = signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest", "rep")
-    members = keep(signed.join(keep(groups, "groups"), "digest", "left").select("doc_id", "n", "sig", F.coalesce("rep", "doc_id").alias("rep")), "members")
+    joined = signed.join(keep(groups, "groups"), "digest", "left").select("doc_id", "n", "digest", "sig", F.coalesce("rep", "doc_id").alias("rep"))
+    members = keep(joined.select("doc_id", "n", "rep"), "members")
+    # a member for each set; ids are distinct here, whatever rows there are
+    one = F.min_by(F.struct("n", "sig"), "digest").alias("one")
+    reps = keep(joined.where("n > 0 and doc_id = rep").groupBy("doc_id").agg(one).select("doc_id", "one.n", "one.sig"), "reps")
     forget(signed)
 
-    reps = members.where("n > 0 and doc_id = rep").select("doc_id", "n", "sig")
     posts = reps.select("doc_id", F.posexplode("sig").alias("k", "v")).select("doc_id", F.xxhash64("k", "v").alias("token"))
     common = keep(posts.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "common")
     useful = posts.join(common, "token").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t")).where(F.size("t") >= MATCHES)
@@ -186,7 +203,13 @@ def links(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_
         pairs = keep(pairs.distinct(), "pairs")
         both = pairs.join(sigs.toDF("a", "sig_a"), "a").join(sigs.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
         near = keep(both.mapInArrow(_count_matches(MATCHES), "a long, b long"), "near")
-        full = near.join(bodies.toDF("a", "text_a"), "a").join(bodies.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
+        # a head's members are dealt to parts of about PART; each part gets the head's text once
+        parts = F.ceil(F.col("k") / PART)
+        dealt = near.join(near.groupBy("a").agg(F.count(F.lit(1)).alias("k")), "a").select("a", F.pmod(F.xxhash64("b"), parts).alias("part"), "b")
+        dealt = keep(dealt, "dealt")
+        heads = dealt.select("a", "part").distinct().join(bodies.toDF("a", "text"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
+        full = dealt.join(bodies.toDF("b", "text"), "b").select("a", "part", "b", "text").unionAll(heads)
+        full = full.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
         return keep(full.mapInArrow(_compare(size, percent), "a long, b long, n_a long, n_b long, linked boolean, apart array<long>"), "compared")
 
     heads = posted.groupBy("token").agg(F.max_by(F.struct("doc_id", "n"), F.struct("common", -F.col("doc_id"))).alias("head"), F.count(F.lit(1)).alias("k")).where("k > 1")
@@ -206,10 +229,17 @@ def links(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_
     lone = keep(shared_sizes(bodies.join(rows.select("doc_id").distinct(), "doc_id", "left_semi"), size), "lone")
     rows = rows.join(lone, "doc_id", "left").withColumn("core", F.col("n") - F.coalesce("lone", F.lit(0))).where(100 * F.col("core") >= percent * F.col("n")).drop("lone")
     rows = keep(rows, "rows")
+    # groups of texts under one token that have one label meet as groups first, so that texts of one label never meet each other
+    ranges = [F.min("n").alias("n_low"), F.max("n").alias("n_high"), F.max("core").alias("core_high")]
+    sides = keep(rows.groupBy("token", "label").agg(F.max(~F.col("near")).alias("open"), *ranges), "sides")
+    other = sides.select("token", *[F.col(c).alias(f"{c}_f") for c in ("label", "open", "n_low", "n_high", "core_high")]).where("open_f").drop("open_f")
+    may = (100 * F.col("n_high") >= percent * F.col("n_low_f")) & (100 * F.col("n_high_f") >= percent * F.col("n_low"))
+    may &= (100 + percent) * F.least("core_high", "core_high_f") >= percent * (F.col("n_low") + F.col("n_low_f"))
+    sides = keep(sides.join(other, "token").where((F.col("label") != F.col("label_f")) & may).select("token", "label", "label_f"), "sides")
     far = rows.where("not near").select("token", *[F.col(c).alias(f"{c}_f") for c in ("doc_id", "n", "label", "core")])
     once = F.col("near") | (F.col("doc_id_f") < F.col("doc_id"))
     enough = (100 + percent) * F.least("core", "core_f") >= percent * (F.col("n") + F.col("n_f"))
-    met = rows.join(far, "token").where((F.col("label") != F.col("label_f")) & once & enough & _alike("n", "n_f", percent))
+    met = sides.join(far, ["token", "label_f"]).join(rows, ["token", "label"]).where(once & enough & _alike("n", "n_f", percent))
     pairs = pairs.unionByName(met.select(F.least("doc_id", "doc_id_f").alias("a"), F.greatest("doc_id", "doc_id_f").alias("b")))
     more = compared(pairs).where("linked").select("a", "b")
     if not more.isEmpty():
@@ -243,10 +273,17 @@ def _by_differences(star: DataFrame, labels: DataFrame, percent: int) -> DataFra
     places = whole.withColumn("needs", needs).select("a", "b", "n", "d", "linked", "label", "needs", (F.col("d") - F.size("t")).alias("lone"), F.posexplode("t").alias("k", "x"))
     places = places.select("a", "b", "n", "d", "linked", "label", F.col("x.t").alias("t"), (F.col("lone") + F.col("k")).alias("at"), "needs").where("at <= d - needs").drop("needs")
     places = keep(places, "places")
+    # texts of one label never meet: labels meet first, where the bounds of their texts allow it
+    ranges = [F.min("n").alias("n_low"), F.max("n").alias("n_high"), F.min("d").alias("d_low"), F.max(F.col("d") - F.col("at")).alias("rest")]
+    sides = keep(places.groupBy("a", "t", "label").agg(F.max(~F.col("linked")).alias("open"), *ranges), "sides")
+    other = sides.select("a", "t", *[F.col(c).alias(f"{c}_x") for c in ("label", "open", "n_low", "n_high", "d_low", "rest")]).where("open_x").drop("open_x")
+    may = 2 * more * F.least("rest", "rest_x") >= more * (F.col("d_low") + F.col("d_low_x")) - less * (F.col("n_high") + F.col("n_high_x"))
+    may &= (100 * F.col("n_high") >= percent * F.col("n_low_x")) & (100 * F.col("n_high_x") >= percent * F.col("n_low"))
+    sides = keep(sides.join(other, ["a", "t"]).where((F.col("label") != F.col("label_x")) & may).select("a", "t", "label", "label_x"), "sides")
     x = places.where("not linked").select("a", "t", *[F.col(c).alias(f"{c}_x") for c in ("b", "n", "d", "label", "at")])
     enough = 2 * more * F.least(F.col("d") - F.col("at"), F.col("d_x") - F.col("at_x")) >= more * (F.col("d") + F.col("d_x")) - less * (F.col("n") + F.col("n_x"))
     once = F.col("linked") | (F.col("b_x") < F.col("b"))
-    met = places.join(x, ["a", "t"]).where((F.col("label") != F.col("label_x")) & once & enough & _alike("n", "n_x", percent))
+    met = sides.join(x, ["a", "t", "label_x"]).join(places, ["a", "t", "label"]).where(once & enough & _alike("n", "n_x", percent))
     return met.select(F.least("b", "b_x").alias("a"), F.greatest("b", "b_x").alias("b"))
 
 
@@ -254,10 +291,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, **names)
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach), kept (doc_id = component_id)."""
     members, labels = links(docs, size, percent, **names)
     out = members.select("doc_id", "n", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def first_of_each(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that are the first of their component, with all their columns; rows with an empty or null text stay."""
     gone = keep(near_duplicates(docs, size, percent, doc_id=doc_id, text=text).where("not kept").select(F.col("doc_id").alias("__gone")), "gone")
-    return docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    return docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")  # rows without an id stay

@@ -90,9 +90,31 @@ def test_near_duplicates(docs, empty):
             break
     assert {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in rows.items()} == {i: (len(s), label[i], label[i] == i) for i, s in sets.items()}
     assert minhash.near_duplicates(empty, 4).count() == 0
+    odd = docs.where("doc_id in (2, 20, 21)").unionByName(docs.where("doc_id in (20, 21)")).unionByName(docs.where("doc_id in (0, 21)").withColumn("doc_id", F.lit(None).cast("long")))
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["component_id"], r["kept"]) for r in minhash.near_duplicates(odd, 4).collect() if r["doc_id"] is not None or r["n_shingles"])
+    assert [g[:3] for g in got if not g[0]] == [(False, 2, 2), (False, 20, 20), (False, 20, 20), (False, 21, got[3][2]), (False, 21, got[3][2])]
+    assert got[-1][0] and got[-1][2] == 21 or got[-1][2] == 20
     assert minhash.first_of_each(docs).columns == docs.columns
 
 
+def test_groups_that_are_alike_but_not_linked(spark):
+    """Two templates of similarity 0.75, each with many near copies: the groups stay apart, and one text between them joins two of them."""
+    r = random.Random(12)
+    one = [f"t{k}" for k in range(200)]
+    two = [f"u{k}" if k % 33 == 0 else w for k, w in enumerate(one)]
+    rows = []
+    for k in range(300):
+        t = list(one if k % 2 else two)
+        t[r.randrange(200)] = f"own{k}"
+        rows.append((k, " ".join(t)))
+    labels = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()}
+    assert set(labels.values()) == {0, 1} and all(labels[k] == k % 2 for k in labels)
+    between = [f"u{k}" if k % 66 == 0 else w for k, w in enumerate(one)]
+    rows.append((300, " ".join(between)))
+    labels = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()}
+    assert set(labels.values()) == {0}
+
+
 def test_substrings(docs, empty):
     words = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in corpus()}
     seen = {}
