@@ -37,6 +37,13 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its file system named, as Spark resolves it, so that Python workers open the same one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toString()
+    return "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -14,7 +14,7 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = warc.read_records(warc.write(table(spark, sf_dir, "pages"), warc.new_folder(spark)))
+    records = warc.read_chunks(warc.write(table(spark, sf_dir, "pages"), warc.new_folder(spark))).where("last")
     response = F.col("record_type") == "response"
     # a response's figures are those of the payload that was read back; a revisit has none, and states its response's
     return records.select(

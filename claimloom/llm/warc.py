@@ -9,8 +9,9 @@ row a record. read_chunks() streams archives back into the chunk table; read_rec
 Archives are gzip members of one record each, as the format recommends, so that each record can be read by its offset.
 
 Defined results: a null payload is empty; of records with equal payloads of at least `least` bytes the one with the smallest
-id is a response and the others are revisits of it, smaller payloads are all responses; ids are distinct; a null URL is
-left out of the headers; an empty table makes no archive.
+id is a response and the others are revisits of it, smaller payloads are all responses. Rows that repeat an id are records of their
+own, and if it is the smallest of its payload all of them are responses; a row without an id is a response, with a null id when it
+is read back. A null URL is left out of the headers; further columns are not read; an empty table makes no archive.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm.base import fresh_path, keep, small_batches
+from claimloom.llm.base import fresh_path, keep, qualified, small_batches
 
 CHUNK = 1 << 16
 INDEX = "record_id long, archive string, at long, bytes long"
@@ -36,34 +37,103 @@ def _store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def decide(pages: DataFrame, record_id: str = "page_id", payload: str = "html", least: int = 0) -> DataFrame:
-    """record_id, sha1 (hex), refers_to (null for responses)."""
-    body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
-    digests = keep(pages.select(F.col(record_id).cast("long").alias("record_id"), F.sha1(body).alias("sha1"), (F.octet_length(body) >= least).alias("long_enough")), "digests")
-    firsts = keep(digests.where("long_enough").groupBy("sha1").agg(F.min("record_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha1", "first"), "firsts")
-    return digests.join(firsts, "sha1", "left").select("record_id", "sha1", F.when(F.col("long_enough") & (F.col("first") < F.col("record_id")), F.col("first")).alias("refers_to"))
+def _text(digest) -> str:
+    return base64.b32encode(digest.digest()).decode()
 
 
-def chunk_table(pages: DataFrame, decisions: DataFrame, record_id: str = "page_id", url: str = "url", payload: str = "html", chunk: int = CHUNK) -> DataFrame:
-    """record_id, url, sha1, refers_to, n_bytes, chunk, body. A revisit has one row with an empty body; so has an empty payload."""
-    body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
-    rows = pages.select(F.col(record_id).cast("long").alias("record_id"), F.col(url).cast("string").alias("url"), body.alias("body")).join(decisions, "record_id")
-    n = F.octet_length("body").cast("long")
-    chunks = F.when(F.col("refers_to").isNull(), F.greatest(F.ceil(n / chunk), F.lit(1))).otherwise(F.lit(1))
-    rows = rows.select("record_id", "url", "sha1", "refers_to", n.alias("n_bytes"), "body", F.explode(F.sequence(F.lit(0), chunks.cast("int") - 1)).alias("chunk"))
-    part = F.when(F.col("refers_to").isNull(), F.substring("body", F.col("chunk") * chunk + 1, F.lit(chunk))).otherwise(F.lit(b""))
-    return rows.select("record_id", "url", "sha1", "refers_to", "n_bytes", "chunk", part.alias("body"))
+def _payloads(column):
+    """Each payload of an Arrow array of binaries as a view, without a copy; nulls are empty."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    offsets = memoryview(offsets).cast("q")[column.offset : column.offset + len(column) + 1].tolist() if len(column) else []
+    whole = memoryview(data) if data is not None else memoryview(b"")
+    for begin, end in zip(offsets, offsets[1:]):
+        yield whole[begin:end]
+
+
+def _stamp(chunk: int, bodies: bool):
+    """Columns record_id, url, body: adds n_bytes and digest (base32), worked out chunk by chunk."""
+
+    def run(batches):
+        for batch in batches:
+            sizes, digests = [], []
+            for payload in _payloads(batch.column(2)):
+                digest = hashlib.sha1()
+                for at in range(0, len(payload), chunk):
+                    digest.update(payload[at : at + chunk])
+                sizes.append(len(payload))
+                digests.append(_text(digest))
+            kept = batch.columns if bodies else batch.columns[:1]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(sizes, pa.int64()), pa.array(digests, pa.string())], [*batch.schema.names[: len(kept)], "n_bytes", "digest"])
+
+    return run
+
+
+def _rows(pages: DataFrame, record_id: str, url: str, payload: str) -> DataFrame:
+    return pages.select(F.col(record_id).cast("long").alias("record_id"), F.col(url).cast("string").alias("url"), F.col(payload).cast("binary").alias("body"))
+
+
+def decide(pages: DataFrame, record_id: str = "page_id", payload: str = "html", least: int = 0, chunk: int = CHUNK) -> DataFrame:
+    """digest, first: the digests (base32 SHA-1) of payloads of at least `least` bytes that several records have, and the smallest id of those."""
+    rows = _rows(pages.withColumn("__url", F.lit(None).cast("string")), record_id, "__url", payload)
+    digests = rows.mapInArrow(_stamp(chunk, False), "record_id long, n_bytes long, digest string").where(F.col("n_bytes") >= least)
+    return keep(digests.groupBy("digest").agg(F.min("record_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first"), "firsts")
+
+
+def _split(chunk: int):
+    """Columns record_id, url, body, n_bytes, digest, refers_to: the chunk table's rows, in batches of a bounded size."""
+    schema = pa.schema([("record_id", pa.int64()), ("url", pa.string()), ("refers_to", pa.int64()), ("n_bytes", pa.int64()), ("digest", pa.string()), ("chunk", pa.int32()), ("last", pa.bool_()), ("body", pa.binary()), ("upto", pa.int64()), ("digest_upto", pa.string())])
+
+    def run(batches):
+        rows: list[tuple] = []
+        held = 0
+
+        def batch_of():
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+        for batch in batches:
+            ids, urls, sizes, digests, refers = (batch.column(k).to_pylist() for k in (0, 1, 3, 4, 5))
+            for k, payload in enumerate(_payloads(batch.column(2))):
+                payload = payload if refers[k] is None else payload[:0]
+                running = hashlib.sha1()
+                count = max(1, -(-len(payload) // chunk))
+                for c in range(count):
+                    part = payload[c * chunk : (c + 1) * chunk]
+                    running.update(part)
+                    rows.append((ids[k], urls[k], refers[k], sizes[k], digests[k], c, c == count - 1, bytes(part), min(len(payload), (c + 1) * chunk), _text(running)))
+                    held += len(part) + 200
+                    if held > 1 << 22:
+                        yield batch_of()
+                        rows, held = [], 0
+        if rows:
+            yield batch_of()
+
+    return run
+
+
+CHUNKS = "record_id long, url string, refers_to long, n_bytes long, digest string, chunk int, last boolean, body binary, upto long, digest_upto string"
+
+
+def chunk_table(pages: DataFrame, firsts: DataFrame, record_id: str = "page_id", url: str = "url", payload: str = "html", chunk: int = CHUNK) -> DataFrame:
+    """A row for each chunk of each record: its number and bytes, and how many bytes (upto) and what SHA-1 (digest_upto, base32) the chunks make so far.
+
+    n_bytes and digest are the whole payload's. A revisit (refers_to isn't null) has one row with an empty body; so has an empty
+    payload. A record's rows follow each other in the order of chunks, in one partition.
+    """
+    stamped = _rows(pages, record_id, url, payload).mapInArrow(_stamp(chunk, True), "record_id long, url string, body binary, n_bytes long, digest string")
+    decided = stamped.join(firsts, "digest", "left")
+    decided = decided.select("record_id", "url", "body", "n_bytes", "digest", F.when(F.col("first") < F.col("record_id"), F.col("first")).alias("refers_to"))
+    return decided.mapInArrow(_split(chunk), CHUNKS)
 
 
 def _head(row: dict) -> bytes:
-    digest = base64.b32encode(bytes.fromhex(row["sha1"])).decode()
     revisit = row["refers_to"] is not None
     lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:record:{row['record_id']}>", "WARC-Date: 1970-01-01T00:00:00Z"]
     if row["url"] is not None:
         lines.append("WARC-Target-URI: " + " ".join(row["url"].split()))
     if revisit:
         lines += [f"WARC-Refers-To: <urn:record:{row['refers_to']}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
-    lines += [f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Bytes: {row['n_bytes']}", "Content-Type: text/html", f"Content-Length: {0 if revisit else row['n_bytes']}", "", ""]
+    lines += [f"WARC-Payload-Digest: sha1:{row['digest']}", f"WARC-Payload-Bytes: {row['n_bytes']}", "Content-Type: text/html", f"Content-Length: {0 if revisit else row['n_bytes']}", "", ""]
     return "\r\n".join(lines).encode()
 
 
@@ -72,7 +142,7 @@ def _writer(folder: str):
         out = pack = None
         place = 0
         done: list[tuple] = []
-        current, began = None, 0
+        current, began = None, 0  # the record's last row so far
         name = f"{folder}/{uuid.uuid4().hex}.warc.gz"
 
         def put(data: bytes):
@@ -81,10 +151,12 @@ def _writer(folder: str):
                 out.write(data)
                 place += len(data)
 
-        def end():
+        def end(row):
+            if row["refers_to"] is None and (row["upto"], row["digest_upto"]) != (row["n_bytes"], row["digest"]):
+                raise ValueError("a record's chunks don't make its payload")
             put(pack.compress(b"\r\n\r\n"))
             put(pack.flush())
-            done.append((current, name, began, place - began))
+            done.append((row["record_id"], name, began, place - began))
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -94,12 +166,13 @@ def _writer(folder: str):
                     out = store.open_output_stream(f"{path}/{name.rpartition('/')[2]}", compression=None)
                 if row["chunk"] == 0:
                     if current is not None:
-                        end()
-                    current, began, pack = row["record_id"], place, zlib.compressobj(3, zlib.DEFLATED, 31)
+                        end(current)
+                    began, pack = place, zlib.compressobj(3, zlib.DEFLATED, 31)
                     put(pack.compress(_head(row)))
                 put(pack.compress(row["body"]))
+                current = {k: v for k, v in row.items() if k != "body"}
         if current is not None:
-            end()
+            end(current)
             out.close()
         if done:
             ids, names, ats, sizes = zip(*done, strict=True)
@@ -111,7 +184,9 @@ def _writer(folder: str):
 def write(pages: DataFrame, folder: str, record_id: str = "page_id", url: str = "url", payload: str = "html", least: int = 0, chunk: int = CHUNK) -> DataFrame:
     """Write the archives into a folder given as a URI; returns their index: record_id, archive, at, bytes. A task that runs again writes another file; the index names those that count."""
     small_batches(pages.sparkSession)
-    chunks = chunk_table(pages, decide(pages, record_id, payload, least), record_id, url, payload, chunk)
+    folder = qualified(pages.sparkSession, folder)
+    # payloads that are too short to be revisited have no first
+    chunks = chunk_table(pages, decide(pages, record_id, payload, least, chunk), record_id, url, payload, chunk)
     return keep(chunks.mapInArrow(_writer(folder), INDEX), "index")
 
 
@@ -150,7 +225,8 @@ def _records(archive: str, index: list[tuple[int, int]], size: int):
 
 
 def _number(urn: str | None) -> int | None:
-    return None if urn is None else int(urn.strip("<>").rpartition(":")[2])
+    tail = None if urn is None else urn.strip("<>").rpartition(":")[2]
+    return None if tail in (None, "None") else int(tail)
 
 
 def _reader(size: int, bodies: bool):
@@ -167,22 +243,20 @@ def _reader(size: int, bodies: bool):
                 for fields, piece in _records(group["archive"], [(x["at"], x["bytes"]) for x in sorted(group["records"], key=lambda x: x["at"])], size):
                     if piece is None:
                         if row is not None:
-                            rows.append(row | {"last": True, "digest": base64.b32encode(digest.digest()).decode()})
-                        digest, n = hashlib.sha1(), 0
+                            rows.append(row | {"last": True, "digest": _text(digest)})
+                        digest, chunk = hashlib.sha1(), 0
                         row = {"record_id": _number(fields["WARC-Record-ID"]), "record_type": fields["WARC-Type"], "refers_to": _number(fields.get("WARC-Refers-To")), "stated_bytes": int(fields["WARC-Payload-Bytes"]), "stated_digest": fields["WARC-Payload-Digest"].rpartition(":")[2], "chunk": 0, "body": b"" if bodies else None, "n_bytes": 0}
-                        fresh = True
                     else:
+                        if row["n_bytes"] and bodies:
+                            rows.append(row | {"last": False, "digest": _text(digest)})
+                            chunk += 1
                         digest.update(piece)
-                        n += len(piece)
-                        if not fresh and bodies:
-                            rows.append(row | {"last": False, "digest": None})
-                        row = row | {"n_bytes": n} | ({"chunk": row["chunk"] + (not fresh), "body": piece} if bodies else {})
-                        fresh = False
+                        row = row | {"n_bytes": row["n_bytes"] + len(piece)} | ({"chunk": chunk, "body": piece} if bodies else {})
                     if sum(len(r["body"] or b"") for r in rows[-64:]) > 1 << 22 or len(rows) >= 2000:
                         yield batch_of(rows)
                         rows = []
                 if row is not None:
-                    rows.append(row | {"last": True, "digest": base64.b32encode(digest.digest()).decode()})
+                    rows.append(row | {"last": True, "digest": _text(digest)})
         if rows:
             yield batch_of(rows)
 
@@ -200,7 +274,7 @@ def _blocks(index: DataFrame, block: int) -> DataFrame:
 
 
 def read_chunks(index: DataFrame, chunk: int = CHUNK, block: int = 8 << 20) -> DataFrame:
-    """The chunk table: a row for each chunk of each record; n_bytes and, on the last one, digest (base32 SHA-1) cover the chunks so far."""
+    """The chunk table: a row for each chunk of each record; n_bytes and digest (base32 SHA-1) cover the chunks so far."""
     return _blocks(index, block).mapInArrow(_reader(chunk, True), READ)
 
 

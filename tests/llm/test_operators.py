@@ -213,6 +213,13 @@ def test_warc(spark, tmp_path):
         assert origin != i or (r["n_bytes"], r["digest"]) == (len(body), digest)
     chunks = warc.read_chunks(index, chunk=777).where("record_id = 4").orderBy("chunk").collect()
     assert b"".join(c["body"] for c in chunks) == big.encode() and max(len(c["body"]) for c in chunks) <= 777 and [c["last"] for c in chunks].count(True) == 1
+    upto = [hashlib.sha1(b"".join(c["body"] for c in chunks[: k + 1])).digest() for k in range(len(chunks))]
+    assert [base64.b32decode(c["digest"]) for c in chunks] == upto
+    table = warc.chunk_table(pages, warc.decide(pages), chunk=1000).where("record_id = 4").orderBy("chunk").collect()
+    assert b"".join(c["body"] for c in table) == big.encode() and table[-1]["digest_upto"] == table[-1]["digest"] and table[0]["upto"] == 1000
+    odd = spark.createDataFrame([(5, "u", "same"), (5, "u", "same"), (7, None, "same"), (None, "u", "same"), (None, "u", None), (9, "u", "")], "page_id long, url string, html string")
+    got = [(r["record_id"], r["record_type"], r["refers_to"], r["n_bytes"]) for r in warc.read_chunks(warc.write(odd, f"{tmp_path}/o")).where("last").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(5, "response", None, 4), (5, "response", None, 4), (7, "revisit", 5, 0), (None, "response", None, 4), (None, "response", None, 0), (9, "response", None, 0)]))
     assert warc.read_records(warc.write(pages.where("false"), f"file://{tmp_path}/e")).count() == 0
     assert {r["record_type"] for r in warc.read_records(warc.write(pages, f"file://{tmp_path}/l", least=10**9)).collect()} == {"response"}
 
