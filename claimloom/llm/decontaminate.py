@@ -6,12 +6,14 @@ windows are joined on that shingle; then come the bounds on position (the window
 length, and the comparison of all the window's words (as 64-bit hashes) with the document's.
 
 Documents are read once, by a scan over Arrow buffers that keeps only places whose shingle may occur in the benchmark: a
-filter of a fixed size (2**FILTER_BITS places, two probes) tells, so what is broadcast doesn't grow with the benchmark.
+filter (two probes; 2**22 to 2**28 places, 32 MB at most) tells. It has eight places or more a shingle up to 2**25 shingles of the benchmark;
+beyond, more places of documents pass it, and the joins do the rest.
 A benchmark with more windows than `broadcast_rows` is joined by a shuffle.
 
-Defined results: a null or empty text has no words, no hits and is not contaminated; an empty benchmark hits nothing;
-equal windows of several items count for each of them; repeated rows of one id count as one text each when ids are
-distinct, as they must be; further columns of the inputs are not read.
+Defined results: a null or empty text has no words, no hits and is not contaminated; texts of any length are read whole; an
+empty benchmark hits nothing, and items without an id or words are left out; equal windows of several items count for each of them;
+rows are judged each for itself, repeated ones and those without an id too; further columns of the inputs are not read; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from claimloom.llm import words as W
 from claimloom.llm.base import keep, small_batches
 
 SHINGLE = 5
-FILTER_BITS = 22
-_PROBES = (np.uint64(0), np.uint64(64 - FILTER_BITS))
+#: The filter has 2**bits places: as many as keep it from filling up, within these bounds.
+FILTER_BITS = 22, 28
 
 
 def _windows(window: int):
@@ -61,12 +63,16 @@ def benchmark_windows(items: DataFrame, item_id: str = "item_id", text: str = "t
     return items.select(F.col(item_id).cast("long"), F.col(text)).mapInArrow(_windows(window), "item_id long, window int, words array<long>, shingle long, place int")
 
 
-def _probe(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64((1 << FILTER_BITS) - 1)
-    return tuple(((h >> shift) & mask).astype(np.int64) for shift in _PROBES)
+def _shifts(bits: int) -> tuple[int, int]:
+    return 0, 64 - bits
 
 
-def _places(table, sizes: list[int], window: int):
+def _probe(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    mask = np.uint64((1 << bits) - 1)
+    return tuple(((h >> np.uint64(shift)) & mask).astype(np.int64) for shift in _shifts(bits))
+
+
+def _places(table, bits: int, sizes: list[int], window: int):
     """For each document its words' number, and the places whose shingle passes the filter, with the words around them."""
 
     def run(batches):
@@ -77,7 +83,7 @@ def _places(table, sizes: list[int], window: int):
             at, gram = [], []
             for size in sizes:
                 grams = W.ngrams(hashes, size)
-                a, b = _probe(grams)
+                a, b = _probe(grams, bits)
                 hit = np.flatnonzero(held[a] & held[b])
                 doc = np.searchsorted(first, hit, "right") - 1
                 hit = hit[hit + size <= first[doc + 1]]
@@ -91,7 +97,7 @@ def _places(table, sizes: list[int], window: int):
             around = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(high - low)]).astype(np.int32), hashes[W.ragged(low, high - low)].view(np.int64))
             each = pa.StructArray.from_arrays([pa.array((at - first[doc]).astype(np.int32)), pa.array(gram.view(np.int64)), pa.array((low - first[doc]).astype(np.int32)), around], ["at", "shingle", "low", "around"])
             found = pa.ListArray.from_arrays(np.searchsorted(at, first).astype(np.int32), each)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first)), found], ["doc_id", "n_words", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(first)), found], ["doc_id", "text_hash", "n_words", "found"])
 
     return run
 
@@ -103,21 +109,25 @@ def covered(spans: Column) -> Column:
 
 
 def occurrences(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 13, broadcast_rows: int = 50_000) -> DataFrame:
-    """A row for each document: doc_id, n_words, hits array<struct<item_id, start, stop>> (words; null if none)."""
+    """A row for each document: doc_id, text_hash (xxhash64), n_words, hits array<struct<item_id, start, stop>> (words; null if none)."""
     spark = docs.sparkSession
     small_batches(spark)
     windows = keep(benchmark_windows(items, window=window), "windows")
     sizes = sorted(r[0] for r in windows.select(F.least(F.size("words"), F.lit(SHINGLE)).alias("n")).distinct().collect())
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    mask = (1 << FILTER_BITS) - 1
-    probes = F.explode(F.array(*[F.shiftrightunsigned("shingle", int(s)).bitwiseAND(F.lit(mask)) for s in _PROBES])).alias("p")
+    n = windows.count()
+    bits = min(max(FILTER_BITS[0], int(8 * n).bit_length()), FILTER_BITS[1])
+    held = np.zeros(1 << bits, bool)
+    mask = (1 << bits) - 1
+    probes = F.explode(F.array(*[F.shiftrightunsigned("shingle", s).bitwiseAND(F.lit(mask)) for s in _shifts(bits)])).alias("p")
     # a word of 64 places a row, however many windows there are
     for row in windows.select(probes).select(F.shiftright("p", 6).alias("w"), (F.col("p") % 64).cast("int").alias("b")).distinct().groupBy("w").agg(F.collect_list("b").alias("b")).toLocalIterator():
-        bits[np.array(row["b"], np.int64) + (row["w"] << 6)] = True
-    table = spark.sparkContext.broadcast(np.packbits(bits).tobytes())
-    read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    places = keep(read.mapInArrow(_places(table, sizes, window), "doc_id long, n_words long, found array<struct<at:int,shingle:long,low:int,around:array<long>>>"), "places")
-    found = places.where("size(found) > 0").select("doc_id", "n_words", F.explode("found").alias("f")).select("doc_id", "n_words", "f.*")
+        held[np.array(row["b"], np.int64) + (row["w"] << 6)] = True
+    table = spark.sparkContext.broadcast(np.packbits(held).tobytes())
+    read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    schema = "doc_id long, text_hash long, n_words long, found array<struct<at:int,shingle:long,low:int,around:array<long>>>"
+    # once written, rows have numbers of their own that stay: ids may be null or repeated
+    places = keep(read.mapInArrow(_places(table, bits, sizes, window), schema).withColumn("row", F.monotonically_increasing_id()), "places")
+    found = places.where("size(found) > 0").select("row", "n_words", F.explode("found").alias("f")).select("row", "n_words", "f.*")
 
     seen = found.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
     rarest = F.min_by(F.struct("shingle", "place"), F.struct("n", "shingle", "place"))
@@ -133,21 +143,23 @@ def occurrences(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     length = F.size("words")
     fits = (start >= 0) & (start + length <= F.col("n_words"))
     same = F.slice("around", start - F.col("low") + 1, length) == F.col("words")
-    hits = found.join(prefix, "shingle").where(fits).where(same).select("doc_id", F.struct("item_id", start.alias("start"), (start + length).alias("stop")).alias("hit"))
-    by_doc = hits.groupBy("doc_id").agg(F.collect_set("hit").alias("hits"))
-    return places.select("doc_id", "n_words").join(by_doc, "doc_id", "left")
+    hits = found.join(prefix, "shingle").where(fits).where(same).select("row", F.struct("item_id", start.alias("start"), (start + length).alias("stop")).alias("hit"))
+    by_doc = hits.groupBy("row").agg(F.collect_set("hit").alias("hits"))
+    return places.select("row", "doc_id", "text_hash", "n_words").join(by_doc, "row", "left").drop("row")
 
 
 def report(docs: DataFrame, items: DataFrame, window: int = 13, least_share: int = 20, **names) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and least_share * n_hit >= n_words)."""
+    """doc_id, text_hash, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and least_share * n_hit >= n_words)."""
     hits = F.coalesce("hits", F.array().cast("array<struct<item_id:long,start:int,stop:int>>"))
     ids = F.array_sort(F.array_distinct(F.transform(hits, lambda h: h["item_id"].cast("string"))))
     n_hit = covered(F.transform(hits, lambda h: F.struct(h["start"].alias("start"), h["stop"].alias("stop"))))
-    out = occurrences(docs, items, window=window, **names).select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"))
+    out = occurrences(docs, items, window=window, **names).select("doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (least_share * F.col("n_hit") >= F.col("n_words")))
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = 13, least_share: int = 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that aren't contaminated, with all their columns."""
-    gone = keep(report(docs, items, window, least_share, doc_id=doc_id, text=text).where("contaminated").select(F.col("doc_id").alias("__gone")), "gone")
-    return docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    found = report(docs, items, window, least_share, doc_id=doc_id, text=text)
+    gone = keep(found.where("contaminated").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash")).distinct(), "gone")
+    # ids may be null or repeated: a row goes if its text does
+    return docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("__gone")) & (F.xxhash64(F.col(text).cast("string")) == F.col("__hash")), "left_anti")

@@ -188,8 +188,13 @@ def test_decontamination(spark, docs, empty):
                     hit |= set(range(k, k + n))
                     found |= windows[tuple(w[k : k + n])]
         sha = hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
-        assert tuple(rows[i][1:]) == (len(w), len(hit), len(found), sha, bool(hit) and 20 * len(hit) >= len(w)), i
+        assert tuple(rows[i][2:]) == (len(w), len(hit), len(found), sha, bool(hit) and 20 * len(hit) >= len(w)), i
     assert decontaminate.report(empty, bench).count() == 0
+    odd = docs.where("doc_id in (5, 6)").unionByName(docs.where("doc_id = 5")).unionByName(docs.where("doc_id in (1, 5, 6)").withColumn("doc_id", F.lit(None).cast("long"))).unionByName(docs.where("doc_id = 40").withColumn("doc_id", F.lit(5).cast("long")))
+    got = sorted(str((r["doc_id"], r["n_words"], r["n_hit"])) for r in decontaminate.report(odd, bench).collect())
+    want = [(5, 2, 2)] * 2 + [(6, rows[6]["n_words"], rows[6]["n_hit"]), (None, 0, 0), (None, 2, 2), (None, rows[6]["n_words"], rows[6]["n_hit"]), (5, rows[40]["n_words"], rows[40]["n_hit"])]
+    assert got == sorted(map(str, want))
+    assert {(r["doc_id"], r["text"]) for r in decontaminate.clean(odd, bench).collect()} == {(i, t) for i, t in [(6, corpus()[6][1]), (None, ""), (None, corpus()[6][1]), (5, corpus()[40][1])]}
     assert not decontaminate.report(docs, bench.where("false")).where("contaminated").count()
     assert decontaminate.clean(docs, bench).columns == docs.columns
 
