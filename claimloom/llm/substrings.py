@@ -5,8 +5,8 @@ fingerprints of windows: hashes of those of their sub-windows of SPAN words that
 Equal windows have equal minimisers in equal places, so a window can only repeat if its minimiser does; and as
 neighbouring windows share minimisers, the index is about a tenth of the words' number.
 
-The index is a folder of immutable runs, sorted by fingerprint: (fingerprint, n). Each batch of texts is merge-joined with
-the runs so far; what it finds there, or twice within itself, is a candidate. The batch then becomes a run, and compact()
+The index is a folder of immutable runs, bucketed and sorted by fingerprint: (fingerprint, n). Each batch of texts is merge-joined with
+each of the runs so far, bucket by bucket; what it finds there, or twice within itself, is a candidate. The batch then becomes a run, and compact()
 merges runs once there are several.
 
 An index that is given has a second kind of runs, sorted too: the hashes of all windows of the texts it took in. A candidate window
@@ -19,11 +19,13 @@ a fingerprint has several different units are single windows counted, once for e
 costs as much as one text, and nothing is paired up.
 
 Defined results: a null or empty text has no words, nothing is removed from it, its kept text is empty; fewer than
-`window` words are kept whole; repeated rows are copies of each other if their ids are distinct; further columns are not read.
+`window` words are kept whole; texts of any length are read whole; repeated rows are copies of each other, whether they share an id, have
+none, or ids of their own; further columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import uuid
 
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.llm import words as W
-from claimloom.llm.base import fresh_path, keep, small_batches
+from claimloom.llm.base import forget, fresh_path, keep, small_batches
 
 SPAN = 18
 RUN = "fingerprint long, n long"
@@ -91,7 +93,7 @@ def _first_pass(window: int):
             text, value = np.concatenate([text, u["text"][order][twice]]), np.concatenate([value, u["fingerprint"][order][twice]])
             order = np.argsort(text, kind="stable")
             lists = pa.ListArray.from_arrays(np.searchsorted(text[order], np.arange(batch.num_rows + 1)).astype(np.int32), value[order].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(u["first"])), pa.array(whole, pa.string()), lists], ["doc_id", "n_words", "whole", "fingerprints"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(u["first"])), pa.array(whole, pa.string()), lists], ["doc", "n_words", "whole", "fingerprints"])
 
     return run
 
@@ -109,8 +111,7 @@ def _candidates(window: int):
             text, start, n = u["text"][on], u["start"][on], u["n"][on]
             windows = W.ngrams(u["hashes"], window)[W.ragged(start, n)].view(np.int64)
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), windows)
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[text]), pa.array(start - u["first"][text]), pa.array(u["fingerprint"][on].view(np.int64)), pa.array(u["unit"][on].view(np.int64)), lists], ["doc_id", "start", "fingerprint", "unit", "windows"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array(start - u["first"][text]), pa.array(u["fingerprint"][on].view(np.int64)), pa.array(u["unit"][on].view(np.int64)), lists], ["doc", "start", "fingerprint", "unit", "windows"])
 
     return run
 
@@ -132,52 +133,73 @@ def _trim(window: int):
 
     def run(batches):
         for batch in batches:
-            ids, n_words, removed, kept = [], [], [], []
-            for doc, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            removed, kept = [], []
+            for text, spans in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
                 parts = text.encode().split()
                 depth = np.zeros(len(parts) + 1, np.int64)
                 start, n = np.array([s["start"] for s in spans], np.int64), np.array([s["n"] for s in spans], np.int64)
                 np.add.at(depth, start, 1)
                 np.add.at(depth, start + n - 1 + window, -1)
                 gone = np.cumsum(depth)[:-1] > 0
-                ids.append(doc)
-                n_words.append(len(parts))
                 removed.append(int(gone.sum()))
                 kept.append(b" ".join([parts[k] for k in np.flatnonzero(~gone).tolist()]).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc", "n_removed", "kept"])
 
     return run
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of fingerprints, and of windows, in a folder that Spark reads. runs, windows: paths of runs from before."""
+    """Immutable runs of fingerprints, and of windows, in a folder that Spark reads; runs, windows: paths of runs from before, with the `buckets` they were written with.
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, runs: tuple[str, ...] = (), windows: tuple[str, ...] = ()):
+    A run is a table bucketed and sorted by fingerprint (or window), so a batch is merge-joined with it without a shuffle of the run.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, runs: tuple[str, ...] = (), windows: tuple[str, ...] = (), buckets: int | None = None):
         self.spark = spark
         self.folder = folder or fresh_path(spark, "fingerprints")
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs = list(runs)
         self.windows = list(windows)
 
-    def _write(self, counts: DataFrame, by: str = "fingerprint") -> str:
+    @staticmethod
+    def _name(path: str) -> str:
+        return "claimloom_run_" + path.rstrip("/").rpartition("/")[2]
+
+    def _write(self, rows: DataFrame, by: str = "fingerprint") -> str:
         path = f"{self.folder}/{uuid.uuid4().hex}"
-        counts.sortWithinPartitions(by).write.parquet(path)
+        rows.repartition(self.buckets, by).write.bucketBy(self.buckets, by).sortBy(by).option("path", path).saveAsTable(self._name(path))
         return path
 
+    def _read(self, path: str, schema: str = RUN, by: str = "fingerprint") -> DataFrame:
+        name = self._name(path)
+        if not self.spark.catalog.tableExists(name):  # a run of another session
+            self.spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+        return self.spark.table(name)
+
+    def _known(self, rows: DataFrame, runs: list[str], schema: str, by: str) -> DataFrame:
+        """Those of the rows that are in a run, once for each."""
+        found = rows.limit(0)
+        for path in runs:
+            found = found.unionAll(rows.join(self._read(path, schema, by), by, "left_semi"))
+        return found
+
+    def _merged(self, runs: list[str], schema: str, by: str) -> DataFrame:
+        return functools.reduce(DataFrame.unionAll, [self._read(path, schema, by) for path in runs])
+
     def read(self) -> DataFrame:
-        return self.spark.read.schema(RUN).parquet(*self.runs)
+        return self._merged(self.runs, RUN, "fingerprint")
 
     def add(self, fingerprints: DataFrame) -> DataFrame:
         """Take in a batch's fingerprints (a column of that name, a row for each occurrence). Returns those of them that were in the runs before, or are in the batch twice."""
         new = self._write(fingerprints.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")))
-        batch = self.spark.read.schema(RUN).parquet(new)
-        found = batch.where("n > 1").select("fingerprint")
-        if self.runs:
-            found = found.unionAll(batch.where("n = 1").join(self.read(), "fingerprint", "left_semi").select("fingerprint"))
+        batch = self._read(new)
+        found = batch.where("n > 1").select("fingerprint").unionAll(self._known(batch.where("n = 1").select("fingerprint"), self.runs, RUN, "fingerprint"))
         self.runs.append(new)
         return found
 
-    def read_windows(self) -> DataFrame:
-        return self.spark.read.schema(WINDOW_RUN).parquet(*self.windows)
+    def known_windows(self, windows: DataFrame) -> DataFrame:
+        """Those of the windows (w, each once) that an earlier call took in."""
+        return self._known(windows.repartition(self.buckets, "w"), self.windows, WINDOW_RUN, "w").distinct()
 
     def add_windows(self, windows: DataFrame) -> None:
         """Take in the windows (w) of a call's texts."""
@@ -186,7 +208,7 @@ class FingerprintIndex:
     def compact(self, at_least: int = 4) -> None:
         """Merge the runs of a kind into one once there are so many."""
         if len(self.windows) >= at_least:
-            self.windows = [self._write(self.read_windows().distinct(), "w")]
+            self.windows = [self._write(self._merged(self.windows, WINDOW_RUN, "w").distinct(), "w")]
         if len(self.runs) >= at_least:
             self.runs = [self._write(self.read().groupBy("fingerprint").agg(F.sum("n").alias("n")))]
 
@@ -201,39 +223,41 @@ def trim(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: in
     small_batches(spark)
     lasting = index is not None
     index = index if lasting else FingerprintIndex(spark)
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    per_doc = keep(texts.mapInArrow(_first_pass(window), "doc_id long, n_words long, whole string, fingerprints array<long>"), "per_doc")
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    # ids may be null or repeated: a text is known by its id and a hash of what it says
+    texts = docs.select(F.struct(F.col(doc_id).cast("long").alias("id"), F.xxhash64(body).alias("hash")).alias("doc"), body.alias("text"))
+    doc = "doc struct<id:long,hash:long>"
+    per_doc = keep(texts.mapInArrow(_first_pass(window), f"{doc}, n_words long, whole string, fingerprints array<long>"), "per_doc")
     found = []
     for k in range(batches):
-        part = per_doc if batches == 1 else per_doc.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k)
+        part = per_doc if batches == 1 else per_doc.where(F.pmod(F.xxhash64("doc"), F.lit(batches)) == k)
         found.append(index.add(part.select(F.explode("fingerprints").alias("fingerprint"))))
         index.compact()
-    repeated = found[0]
-    for f in found[1:]:
-        repeated = repeated.unionAll(f)
-    repeated = keep(repeated.distinct(), "repeated")
-    owners = keep(per_doc.select("doc_id", F.explode(F.array_distinct("fingerprints")).alias("fingerprint")).join(repeated, "fingerprint"), "owners")
-    owners = owners.groupBy("doc_id").agg(F.collect_list("fingerprint").alias("repeated"))
-    suspects = keep(texts.join(owners, "doc_id"), "suspects")
-
-    units = keep(suspects.mapInArrow(_candidates(window), "doc_id long, start long, fingerprint long, unit long, windows array<long>"), "units")
+    repeated = keep(functools.reduce(DataFrame.unionAll, found).distinct(), "repeated")
+    owners = keep(per_doc.select("doc", F.explode(F.array_distinct("fingerprints")).alias("fingerprint")).join(repeated, "fingerprint"), "owners")
+    repeated_of = owners.groupBy("doc").agg(F.collect_set("fingerprint").alias("repeated"))
+    suspects = keep(texts.join(repeated_of, "doc"), "suspects")
+    forget(repeated, owners)
+
+    units = keep(suspects.mapInArrow(_candidates(window), f"{doc}, start long, fingerprint long, unit long, windows array<long>"), "units")
     kinds = keep(units.groupBy("fingerprint", "unit").agg(F.count(F.lit(1)).alias("n"), F.first("windows").alias("windows")), "kinds")
     mixed = keep(kinds.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint"), "mixed")
     twice = kinds.where("n > 1").select(F.col("unit").alias("u"))
-    whole = units.select("doc_id", "start", F.size("windows").alias("n"), "unit").join(twice, F.col("unit") == F.col("u"), "left_semi").select("doc_id", "start", "n")
+    whole = units.select("doc", "start", F.size("windows").alias("n"), "unit").join(twice, F.col("unit") == F.col("u"), "left_semi").select("doc", "start", "n")
     # where units differ, windows count once for each different unit
     shared = kinds.join(mixed, "fingerprint", "left_semi").select(F.explode("windows").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("w")
     shared = keep(shared, "shared")
-    single = units.join(mixed, "fingerprint", "left_semi").select("doc_id", "start", F.posexplode("windows").alias("at", "w"))
-    single = keep(single, "single").join(shared, "w", "left_semi").select("doc_id", (F.col("start") + F.col("at")).alias("start"), F.lit(1).alias("n"))
+    single = units.join(mixed, "fingerprint", "left_semi").select("doc", "start", F.posexplode("windows").alias("at", "w"))
+    single = single.join(shared, "w", "left_semi").select("doc", (F.col("start") + F.col("at")).alias("start"), F.lit(1).alias("n"))
     if index.windows:
-        past = keep(kinds.select(F.explode("windows").alias("w")).distinct().join(index.read_windows(), "w", "left_semi"), "past")
-        earlier = units.select("doc_id", "start", F.posexplode("windows").alias("at", "w")).join(past, "w", "left_semi")
-        single = single.unionAll(earlier.select("doc_id", (F.col("start") + F.col("at")).alias("start"), F.lit(1).alias("n")))
+        past = keep(index.known_windows(kinds.select(F.explode("windows").alias("w")).distinct()), "past")
+        earlier = units.select("doc", "start", F.posexplode("windows").alias("at", "w")).join(past, "w", "left_semi")
+        single = single.unionAll(earlier.select("doc", (F.col("start") + F.col("at")).alias("start"), F.lit(1).alias("n")))
     if lasting:
         index.add_windows(texts.select("text").mapInArrow(_windows(window), WINDOW_RUN))
         index.compact()
-    spans = whole.unionAll(single).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    done = suspects.select("doc_id", "text").join(spans, "doc_id").mapInArrow(_trim(window), "doc_id long, n_words long, n_removed long, kept string")
-    done = done.select("doc_id", "n_removed", "kept", F.sha2("kept", 256).alias("trimmed"))
-    return per_doc.select("doc_id", "n_words", "whole").join(done, "doc_id", "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), "kept", F.coalesce("trimmed", "whole").alias("kept_sha256"))
+    spans = whole.unionAll(single).groupBy("doc").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+    done = suspects.select("doc", "text").dropDuplicates(["doc"]).join(spans, "doc").mapInArrow(_trim(window), f"{doc}, n_removed long, kept string")
+    done = done.select("doc", "n_removed", "kept", F.sha2("kept", 256).alias("trimmed"))
+    out = per_doc.select("doc", "n_words", "whole").join(done, "doc", "left")
+    return out.select(F.col("doc.id").alias("doc_id"), "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), "kept", F.coalesce("trimmed", "whole").alias("kept_sha256"))

@@ -131,6 +131,9 @@ def test_substrings(docs, empty):
             kept = " ".join(x for x, g in zip(w, gone) if not g)
             assert (rows[i]["n_words"], rows[i]["n_removed"], rows[i]["kept_sha256"]) == (len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest())
     assert substrings.trim(empty).count() == 0
+    odd = docs.where("doc_id in (6, 7)").unionByName(docs.where("doc_id = 6")).unionByName(docs.where("doc_id in (1, 7)").withColumn("doc_id", F.lit(None).cast("long")))
+    got = sorted((r["n_words"], r["n_removed"], r["doc_id"] is None) for r in substrings.trim(odd).collect())
+    assert got == [(0, 0, True), (119, 119, False), (119, 119, True), (3000, 3000, False), (3000, 3000, False)]
 
 
 def test_fingerprint_index(spark):
@@ -163,6 +166,11 @@ def test_substrings_of_earlier_calls(spark):
         if call is calls[1]:
             assert rows[2]["n_removed"] == 35 and rows[3]["n_removed"] == 0
     assert len(index.runs) < 4 and len(index.windows) == 1  # compacted
+    for path in (*index.runs, *index.windows):  # another session knows the paths alone
+        spark.sql(f"DROP TABLE {index._name(path)}")
+    again = substrings.FingerprintIndex(spark, index.folder, tuple(index.runs), tuple(index.windows), index.buckets)
+    rows = substrings.trim(spark.createDataFrame([(9, "a b " + passage + " c")], "doc_id long, text string"), index=again).collect()
+    assert [(r["n_words"], r["n_removed"]) for r in rows] == [(38, 35)]
 
 
 def test_decontamination(spark, docs, empty):
