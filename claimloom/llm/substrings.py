@@ -184,7 +184,8 @@ class FingerprintIndex:
         return found
 
     def _merged(self, runs: list[str], schema: str, by: str) -> DataFrame:
-        return functools.reduce(DataFrame.unionAll, [self._read(path, schema, by) for path in runs])
+        """All rows of the runs. They are dealt anew: Spark may take a union for bucketed though it reads its parts otherwise."""
+        return functools.reduce(DataFrame.unionAll, [self._read(path, schema, by) for path in runs]).repartition(self.buckets, by)
 
     def read(self) -> DataFrame:
         return self._merged(self.runs, RUN, "fingerprint")
@@ -199,7 +200,7 @@ class FingerprintIndex:
 
     def known_windows(self, windows: DataFrame) -> DataFrame:
         """Those of the windows (w, each once) that an earlier call took in."""
-        return self._known(windows.repartition(self.buckets, "w"), self.windows, WINDOW_RUN, "w").distinct()
+        return self._known(windows.repartition(self.buckets, "w"), self.windows, WINDOW_RUN, "w").repartition("w").distinct()
 
     def add_windows(self, windows: DataFrame) -> None:
         """Take in the windows (w) of a call's texts."""
@@ -233,7 +234,7 @@ def trim(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: in
         part = per_doc if batches == 1 else per_doc.where(F.pmod(F.xxhash64("doc"), F.lit(batches)) == k)
         found.append(index.add(part.select(F.explode("fingerprints").alias("fingerprint"))))
         index.compact()
-    repeated = keep(functools.reduce(DataFrame.unionAll, found).distinct(), "repeated")
+    repeated = keep(functools.reduce(DataFrame.unionAll, found).repartition("fingerprint").distinct(), "repeated")
     owners = keep(per_doc.select("doc", F.explode(F.array_distinct("fingerprints")).alias("fingerprint")).join(repeated, "fingerprint"), "owners")
     repeated_of = owners.groupBy("doc").agg(F.collect_set("fingerprint").alias("repeated"))
     suspects = keep(texts.join(repeated_of, "doc"), "suspects")
