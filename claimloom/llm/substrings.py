@@ -178,29 +178,29 @@ class FingerprintIndex:
 
     def _known(self, rows: DataFrame, runs: list[str], schema: str, by: str) -> DataFrame:
         """Those of the rows that are in a run, once for each."""
-        found = rows.limit(0)
+        found = self.spark.createDataFrame([], rows.schema)
         for path in runs:
             found = found.unionAll(rows.join(self._read(path, schema, by), by, "left_semi"))
         return found
 
-    def _merged(self, runs: list[str], schema: str, by: str) -> DataFrame:
-        """All rows of the runs. They are dealt anew: Spark may take a union for bucketed though it reads its parts otherwise."""
-        return functools.reduce(DataFrame.unionAll, [self._read(path, schema, by) for path in runs]).repartition(self.buckets, by)
+    def _merged(self, runs: list[str], schema: str) -> DataFrame:
+        """All rows of the runs, read as plain files: a union of bucketed scans keeps their partitioning in the plan, but not when it runs (Spark 4.1)."""
+        return self.spark.read.schema(schema).parquet(*runs)
 
     def read(self) -> DataFrame:
-        return self._merged(self.runs, RUN, "fingerprint")
+        return self._merged(self.runs, RUN)
 
     def add(self, fingerprints: DataFrame) -> DataFrame:
         """Take in a batch's fingerprints (a column of that name, a row for each occurrence). Returns those of them that were in the runs before, or are in the batch twice."""
         new = self._write(fingerprints.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")))
         batch = self._read(new)
-        found = batch.where("n > 1").select("fingerprint").unionAll(self._known(batch.where("n = 1").select("fingerprint"), self.runs, RUN, "fingerprint"))
+        found = self._merged([new], RUN).where("n > 1").select("fingerprint").unionAll(self._known(batch.where("n = 1").select("fingerprint"), self.runs, RUN, "fingerprint"))
         self.runs.append(new)
         return found
 
     def known_windows(self, windows: DataFrame) -> DataFrame:
         """Those of the windows (w, each once) that an earlier call took in."""
-        return self._known(windows.repartition(self.buckets, "w"), self.windows, WINDOW_RUN, "w").repartition("w").distinct()
+        return self._known(windows.repartition(self.buckets, "w"), self.windows, WINDOW_RUN, "w").distinct()
 
     def add_windows(self, windows: DataFrame) -> None:
         """Take in the windows (w) of a call's texts."""
@@ -209,7 +209,7 @@ class FingerprintIndex:
     def compact(self, at_least: int = 4) -> None:
         """Merge the runs of a kind into one once there are so many."""
         if len(self.windows) >= at_least:
-            self.windows = [self._write(self._merged(self.windows, WINDOW_RUN, "w").distinct(), "w")]
+            self.windows = [self._write(self._merged(self.windows, WINDOW_RUN).distinct(), "w")]
         if len(self.runs) >= at_least:
             self.runs = [self._write(self.read().groupBy("fingerprint").agg(F.sum("n").alias("n")))]
 
@@ -234,7 +234,7 @@ def trim(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: in
         part = per_doc if batches == 1 else per_doc.where(F.pmod(F.xxhash64("doc"), F.lit(batches)) == k)
         found.append(index.add(part.select(F.explode("fingerprints").alias("fingerprint"))))
         index.compact()
-    repeated = keep(functools.reduce(DataFrame.unionAll, found).repartition("fingerprint").distinct(), "repeated")
+    repeated = keep(functools.reduce(DataFrame.unionAll, found).distinct(), "repeated")
     owners = keep(per_doc.select("doc", F.explode(F.array_distinct("fingerprints")).alias("fingerprint")).join(repeated, "fingerprint"), "owners")
     repeated_of = owners.groupBy("doc").agg(F.collect_set("fingerprint").alias("repeated"))
     suspects = keep(texts.join(repeated_of, "doc"), "suspects")
