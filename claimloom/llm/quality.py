@@ -1,15 +1,18 @@
 """Quality by hierarchical empirical Bayes: a text's own evidence, combined with what is known of its path and host.
 
 A logistic regression on a few figures of the text (shares of capitals, punctuation, digits and repeated words, lengths) gives the
-document's evidence. Hosts, and paths within hosts, get posteriors: Beta distributions whose mean shrinks to the level above,
+document's evidence. Hosts, and paths within hosts (any two columns or expressions; a table without paths may give another column
+for them, as the query does with the language), get posteriors: Beta distributions whose mean shrinks to the level above,
 path to host to all documents. How much is estimated from the spread between sites (method of moments). Counts of labelled
 rows are grouped sums; sites with few of them stay near the level above. A document's log-odds are those of its own
-evidence plus what its path's posterior differs from the global mean.
+evidence plus what its path's posterior differs from the global mean. A labelled document's own labels are left out of the posteriors it is scored with.
 
 The regression is fitted on about `train_rows` labelled rows at most, chosen by a hash of the id; site counts take all of them.
 
-Defined results: a null or empty text has figures of zero; a null host or path is a site of its own; sites without
-labels have the posterior of the level above; no labels at all give evidence 0.5; repeated rows are scored alike.
+Defined results: a null or empty text has figures of zero; texts of any length are read whole; a null host or path is a site of its
+own; sites without labels have the posterior of the level above; no labels at all give evidence 0.5. Rows that share an id are scored each
+for itself, and the id's labels count for each of them (and are left out for each); several labels of one id all count; a row without an id has no labels; further columns are
+not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -135,21 +138,30 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: st
     paths = keep(known.groupBy("host", "path").agg(F.sum("y").alias("good"), F.count(F.lit(1)).alias("n")), "paths")
     total = paths.agg(F.sum("good"), F.sum("n")).first()
     mean = ((total[0] or 0) + 1) / ((total[1] or 0) + 2)
-    hosts = paths.groupBy("host").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
-    of_all = concentration(hosts, F.lit(mean))
-    hosts = hosts.select("host", ((F.col("good") + of_all * mean) / (F.col("n") + of_all)).alias("host_mean"))
-    paths = paths.join(hosts, "host")
-    of_host = concentration(paths, F.col("host_mean"))
-    sites = keep(paths.select("host", "path", ((F.col("good") + of_host * F.col("host_mean")) / (F.col("n") + of_host)).alias("site")), "sites")
+    hosts = paths.groupBy("host").agg(F.sum("good").alias("host_good"), F.sum("n").alias("host_n"))
+    of_all = concentration(hosts.select(F.col("host_good").alias("good"), F.col("host_n").alias("n")), F.lit(mean))
+
+    def shrunk(good: Column, n: Column, centre: Column, weight: float) -> Column:
+        return (good + weight * centre) / (n + weight)
+
     levels = keep(hosts, "hosts")
+    of_host = concentration(paths.join(levels, "host").withColumn("host_mean", shrunk(F.col("host_good"), F.col("host_n"), F.lit(mean), of_all)), F.col("host_mean"))
+    sites = paths.withColumnsRenamed({"good": "site_good", "n": "site_n"})
     if sites.count() <= broadcast_rows:
         sites, levels = F.broadcast(sites), F.broadcast(levels)
 
     def logit(p):
         return F.log(p / (1 - p))
 
+    # what a document's own labels add to its site is taken off again, so that no label speaks for its own document
+    own = known.groupBy("doc_id").agg(F.sum("y").alias("own_good"), F.count(F.lit(1)).alias("own_n"))
     odds = evidence.logit(F.col("x"))
-    site = F.coalesce("site", "host_mean", F.lit(mean))
-    out = scored.join(sites, ["host", "path"], "left").join(levels, "host", "left")
-    out = out.select("doc_id", (1 / (1 + F.exp(-odds))).alias("p_text"), site.alias("p_site"), (1 / (1 + F.exp(-(odds + logit(site) - logit(F.lit(mean)))))).alias("score"))
+    out = scored.join(sites, ["host", "path"], "left").join(levels, "host", "left").join(own, "doc_id", "left")
+
+    def others(name: str) -> Column:
+        return F.coalesce(name, F.lit(0)) - F.coalesce(f"own_{name.rpartition('_')[2]}", F.lit(0))
+
+    host_mean = shrunk(others("host_good"), others("host_n"), F.lit(mean), of_all)
+    out = out.select("doc_id", (1 / (1 + F.exp(-odds))).alias("p_text"), shrunk(others("site_good"), others("site_n"), host_mean, of_host).alias("p_site"), odds.alias("odds"))
+    out = out.withColumn("score", 1 / (1 + F.exp(-(F.col("odds") + logit(F.col("p_site")) - logit(F.lit(mean)))))).drop("odds")
     return out.withColumn("keep", F.col("score") >= threshold)

@@ -375,6 +375,24 @@ def test_languages(spark):
     assert {i: r["lang_pred"] for i, r in und.items() if i != 902} == {900: "und", 901: "und", 903: "und"} and und[902]["lang_pred"] == "aa"
     assert all(0 <= r["score"] <= 1 for r in rows)
     assert langid.accept(docs, model).columns == docs.columns and langid.accept(docs, model).count() == 301
+    # brute force: an n-gram model of its own, text by text
+    def grams(t):
+        t = re.sub("[^a-z\x80-\U0010ffff]+", " ", lower(t)).encode()
+        return [t[i : i + n] for n in langid.ORDERS for i in range(len(t) - n + 1)]
+
+    for r in held[:5]:
+        t, n = r["text"], 0
+        total = np.zeros(3)
+        for g in grams(t):
+            total += model.weights[langid.features(np.frombuffer(g, np.uint8))[len(g) - 1][0]]
+            n += 1
+        z = (total / n + model.bias) / model.temperature
+        p = np.exp(z - z.max())
+        assert abs(p.max() / p.sum() - r["score"]) < 1e-5 and model.classes[int(p.argmax())] == r["lang_pred"]
+    odd = langid.predict(docs.where("doc_id < 2").select(F.lit(None).cast("long").alias("doc_id"), F.repeat("text", 5000).alias("text"), "score"), model)
+    assert {(r["doc_id"], r["lang_pred"]) for r in odd.collect()} == {(None, "aa"), (None, "bb")} and langid.predict(docs.where("false"), model).count() == 0
+    rare = docs.where("lang = 'aa' or doc_id = 1")
+    assert langid.fit(rare, train_rows=20).classes == ["aa", "bb"]
     none = langid.fit(docs.where("lang is null"))
     assert {r["lang_pred"] for r in langid.predict(docs, none).collect()} == {"und"}
 
@@ -399,6 +417,18 @@ def test_toxicity(spark):
     got = {x["doc_id"]: x for x in toxicity.predict(docs, chain).collect()}
     right = sum((got[k]["p_toxic"] >= 0.5) == (k % 3 == 0) for k in range(300, 400))
     assert right >= 97 and got[1000]["p_toxic"] < 0.5
+    assert toxicity.predict(docs.where("false"), chain).count() == 0
+    more = spark.createDataFrame([(7, "x " * 200_000 + "nasty vile", "p"), (7, "x " * 200_000 + "nasty vile", "p"), (None, "nasty", "p")], "doc_id long, text string, p_toxic string")
+    odd = toxicity.predict(more, chain).collect()
+    assert len(odd) == 3 and odd[0] == odd[1] and odd[2]["doc_id"] is None
+    # brute force: the chain's sums, word by word
+    for k in (0, 7, 1001):
+        text = dict(rows)[k]
+        words = set(re.findall("[a-z0-9]+", (text or "").lower()))
+        at = np.unique(np.concatenate([toxicity.places(pa.array([w]))[0] for w in words] + [np.zeros(0, np.int64)]))
+        junk = 1 / (1 + np.exp(-(chain.models[0].weights[at].sum() + chain.models[0].bias)))
+        bad = 1 / (1 + np.exp(-(chain.models[1].weights[at].sum() + chain.models[1].more[0] * junk + chain.models[1].bias)))
+        assert abs(got[k]["p_junk"] - junk) < 1e-5 and abs(got[k]["p_toxic"] - bad) < 1e-5
     nothing = toxicity.fit(docs, marks.where("false"), {"toxic": F.col("toxic") == 1})
     assert {x["p_toxic"] for x in toxicity.predict(docs, nothing).collect()} == {0.0}
 
@@ -419,6 +449,13 @@ def test_quality(spark):
         got = {x["doc_id"]: x for x in quality.score(docs, marks, broadcast_rows=at_once).collect()}
         assert len(got) == 601 and sum(got[k]["keep"] == (k % 4 != 0) for k in range(400, 600)) >= 198
     assert quality.score(docs, marks.where("false")).count() == 601
+    assert quality.score(docs.where("false"), marks).count() == 0
+    twice = quality.score(docs.unionByName(docs), marks).collect()
+    assert len(twice) == 1202 and all(x["p_text"] > 0 for x in twice)
+    # of two sites with one label each, a document's own label says nothing of it, the other documents' say all
+    pair = spark.createDataFrame([(1, "a b", "h", "p"), (2, "a b", "h", "p"), (3, "a b", "k", "p"), (4, "a b", "k", "p")], "doc_id long, text string, source string, lang string")
+    got = {x["doc_id"]: x["p_site"] for x in quality.score(pair, spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")).collect()}
+    assert got[1] == got[3] and got[2] > got[1] > got[4]
     sites = spark.createDataFrame([(9, 10), (1, 10), (10, 10), (0, 10)], "good long, n long")
     even = spark.createDataFrame([(5, 10), (5, 10), (5, 10)], "good long, n long")
     assert quality.concentration(sites, F.lit(0.5)) < 2 and quality.concentration(even, F.lit(0.5)) == 1e6
