@@ -81,8 +81,8 @@ def _first_pass(window: int):
 
     def run(batches):
         for batch in batches:
-            u = _units(batch.column(1), window)
-            whole = [hashlib.sha256(b" ".join((t or "").encode().split())).hexdigest() for t in batch.column(1).to_pylist()]
+            u = _units(batch.column(2), window)
+            whole = [hashlib.sha256(b" ".join((t or "").encode().split())).hexdigest() for t in batch.column(2).to_pylist()]
             order = np.lexsort((u["fingerprint"], u["text"]))
             text, value = u["text"][order], u["fingerprint"][order]
             new = np.ones(len(text), bool)
@@ -93,7 +93,7 @@ def _first_pass(window: int):
             text, value = np.concatenate([text, u["text"][order][twice]]), np.concatenate([value, u["fingerprint"][order][twice]])
             order = np.argsort(text, kind="stable")
             lists = pa.ListArray.from_arrays(np.searchsorted(text[order], np.arange(batch.num_rows + 1)).astype(np.int32), value[order].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(u["first"])), pa.array(whole, pa.string()), lists], ["doc", "n_words", "whole", "fingerprints"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(u["first"])), pa.array(whole, pa.string()), lists], ["doc", "doc_id", "n_words", "whole", "fingerprints"])
 
     return run
 
@@ -160,6 +160,7 @@ class FingerprintIndex:
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs = list(runs)
         self.windows = list(windows)
+        self.merged: list[tuple[str, str, str]] = []  # runs that compact() has replaced; frames from before may still read them
 
     @staticmethod
     def _name(path: str) -> str:
@@ -206,12 +207,21 @@ class FingerprintIndex:
         """Take in the windows (w) of a call's texts."""
         self.windows.append(self._write(windows.distinct(), "w"))
 
+    def drop(self) -> None:
+        """Delete all runs, those replaced too."""
+        for path, schema, by in [*self.merged, *((p, RUN, "fingerprint") for p in self.runs), *((p, WINDOW_RUN, "w") for p in self.windows)]:
+            forget(self._read(path, schema, by))
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._name(path)}")
+        self.runs, self.windows, self.merged = [], [], []
+
     def compact(self, at_least: int = 4) -> None:
         """Merge the runs of a kind into one once there are so many."""
         if len(self.windows) >= at_least:
-            self.windows = [self._write(self._merged(self.windows, WINDOW_RUN).distinct(), "w")]
+            old, self.windows = self.windows, [self._write(self._merged(self.windows, WINDOW_RUN).distinct(), "w")]
+            self.merged += [(path, WINDOW_RUN, "w") for path in old]
         if len(self.runs) >= at_least:
-            self.runs = [self._write(self.read().groupBy("fingerprint").agg(F.sum("n").alias("n")))]
+            old, self.runs = self.runs, [self._write(self.read().groupBy("fingerprint").agg(F.sum("n").alias("n")))]
+            self.merged += [(path, RUN, "fingerprint") for path in old]
 
 
 def trim(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 35, batches: int = 2, index: FingerprintIndex | None = None) -> DataFrame:
@@ -225,10 +235,10 @@ def trim(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: in
     lasting = index is not None
     index = index if lasting else FingerprintIndex(spark)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    # ids may be null or repeated: a text is known by its id and a hash of what it says
-    texts = docs.select(F.struct(F.col(doc_id).cast("long").alias("id"), F.xxhash64(body).alias("hash")).alias("doc"), body.alias("text"))
-    doc = "doc struct<id:long,hash:long>"
-    per_doc = keep(texts.mapInArrow(_first_pass(window), f"{doc}, n_words long, whole string, fingerprints array<long>"), "per_doc")
+    # ids may be null or repeated: a text is known by a hash of its id and what it says
+    texts = docs.select(F.xxhash64(F.col(doc_id).cast("long"), body).alias("doc"), F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"))
+    doc = "doc long"
+    per_doc = keep(texts.mapInArrow(_first_pass(window), f"{doc}, doc_id long, n_words long, whole string, fingerprints array<long>"), "per_doc")
     found = []
     for k in range(batches):
         part = per_doc if batches == 1 else per_doc.where(F.pmod(F.xxhash64("doc"), F.lit(batches)) == k)
@@ -237,18 +247,23 @@ def trim(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: in
     repeated = keep(functools.reduce(DataFrame.unionAll, found).distinct(), "repeated")
     owners = keep(per_doc.select("doc", F.explode(F.array_distinct("fingerprints")).alias("fingerprint")).join(repeated, "fingerprint"), "owners")
     repeated_of = owners.groupBy("doc").agg(F.collect_set("fingerprint").alias("repeated"))
-    suspects = keep(texts.join(repeated_of, "doc"), "suspects")
-    forget(repeated, owners)
+    known = keep(per_doc.drop("fingerprints"), "known")
+    forget(per_doc, repeated)
+    if not lasting:
+        index.drop()
+    suspects = keep(texts.drop("doc_id").join(repeated_of, "doc"), "suspects")
+    forget(owners)
 
     units = keep(suspects.mapInArrow(_candidates(window), f"{doc}, start long, fingerprint long, unit long, windows array<long>"), "units")
-    kinds = keep(units.groupBy("fingerprint", "unit").agg(F.count(F.lit(1)).alias("n"), F.first("windows").alias("windows")), "kinds")
+    kinds = keep(units.groupBy("fingerprint", "unit").agg(F.count(F.lit(1)).alias("n"), F.first("windows").alias("windows"), F.min("doc").alias("doc"), F.min("start").alias("start")), "kinds")
     mixed = keep(kinds.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint"), "mixed")
     twice = kinds.where("n > 1").select(F.col("unit").alias("u"))
     whole = units.select("doc", "start", F.size("windows").alias("n"), "unit").join(twice, F.col("unit") == F.col("u"), "left_semi").select("doc", "start", "n")
     # where units differ, windows count once for each different unit
     shared = kinds.join(mixed, "fingerprint", "left_semi").select(F.explode("windows").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("w")
     shared = keep(shared, "shared")
-    single = units.join(mixed, "fingerprint", "left_semi").select("doc", "start", F.posexplode("windows").alias("at", "w"))
+    # a unit that occurs twice is repeated as a whole; of one that occurs once, kinds knows the place
+    single = kinds.where("n = 1").join(mixed, "fingerprint", "left_semi").select("doc", "start", F.posexplode("windows").alias("at", "w"))
     single = single.join(shared, "w", "left_semi").select("doc", (F.col("start") + F.col("at")).alias("start"), F.lit(1).alias("n"))
     if index.windows:
         past = keep(index.known_windows(kinds.select(F.explode("windows").alias("w")).distinct()), "past")
@@ -260,5 +275,4 @@ def trim(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: in
     spans = whole.unionAll(single).groupBy("doc").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
     done = suspects.select("doc", "text").dropDuplicates(["doc"]).join(spans, "doc").mapInArrow(_trim(window), f"{doc}, n_removed long, kept string")
     done = done.select("doc", "n_removed", "kept", F.sha2("kept", 256).alias("trimmed"))
-    out = per_doc.select("doc", "n_words", "whole").join(done, "doc", "left")
-    return out.select(F.col("doc.id").alias("doc_id"), "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), "kept", F.coalesce("trimmed", "whole").alias("kept_sha256"))
+    return known.join(done, "doc", "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), "kept", F.coalesce("trimmed", "whole").alias("kept_sha256"))
