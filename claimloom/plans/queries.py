@@ -220,24 +220,37 @@ def ambiguous_paths(spark, sf_dir):
 
 
 @query(
-    f"""WITH RECURSIVE facts AS ({G.FACTS_SQL}), e AS (SELECT {G.norm("subject")} AS u, {G.norm("object")} AS v FROM facts WHERE relation <> 'part_of'),
-    labelled AS (SELECT n_name AS hub FROM nation), roots AS (SELECT DISTINCT u AS node, v AS hub FROM e WHERE v IN (SELECT {G.norm("n_name")} FROM nation)),
-    o AS (SELECT e.u AS node, r.hub FROM e JOIN roots r ON e.v = r.node), p AS (SELECT u AS node, v AS hub FROM e WHERE u LIKE 'part%'),
-    members AS (SELECT node, hub FROM roots UNION SELECT node, hub FROM o UNION SELECT hub, hub FROM roots UNION SELECT node, hub FROM p UNION SELECT hub, hub FROM p),
+    f"""WITH facts AS ({G.FACTS_SQL}), e AS (SELECT {G.norm("subject")} AS u, relation, {G.norm("object")} AS v FROM facts),
+    n AS (SELECT DISTINCT u AS node, v AS hub FROM e WHERE relation = 'part_of'), c AS (SELECT DISTINCT e.u AS node, n.hub FROM e JOIN n ON e.v = n.node WHERE relation = 'located_in'),
+    o AS (SELECT DISTINCT e.u AS node, c.hub FROM e JOIN c ON e.v = c.node WHERE relation = 'placed_by'), p AS (SELECT DISTINCT u AS node, v AS hub FROM e WHERE relation = 'made_by'),
+    members AS (SELECT * FROM n UNION SELECT hub, hub FROM n UNION SELECT * FROM c UNION SELECT * FROM o UNION SELECT * FROM p UNION SELECT hub, hub FROM p),
     least AS (SELECT hub, min(node) AS component FROM members GROUP BY hub)
     SELECT node, component FROM members JOIN least USING (hub)"""
 )
 def connected_components(spark, sf_dir):
-    return P.components(_facts(spark, sf_dir).where("relation <> 'part_of'")).select("node", "component")
+    return P.components(_facts(spark, sf_dir)).select("node", "component")
 
 
 @query(
     f"""WITH facts AS ({G.FACTS_SQL}), e AS (SELECT {G.norm("subject")} AS u, {G.norm_relation("relation")} AS r, {G.norm("object")} AS v FROM facts), n AS (SELECT u AS node FROM e UNION SELECT v FROM e)
     SELECT (SELECT count(*) FROM n)::BIGINT AS nodes, count(*)::BIGINT AS edges, count(DISTINCT r)::BIGINT AS relations, (count(*) - count(DISTINCT (u, r, v)))::BIGINT AS duplicates,
-      (SELECT count(*) FROM n WHERE node NOT IN (SELECT v FROM e))::BIGINT AS sources, (SELECT count(*) FROM n WHERE node NOT IN (SELECT u FROM e))::BIGINT AS sinks FROM e"""
+      (SELECT count(*) FROM n WHERE node NOT IN (SELECT v FROM e))::BIGINT AS sources, (SELECT count(*) FROM n WHERE node NOT IN (SELECT u FROM e))::BIGINT AS sinks,
+      (SELECT count(*) FROM n WHERE node NOT IN (SELECT u FROM e WHERE u <> v UNION SELECT v FROM e WHERE u <> v))::BIGINT AS isolated, (SELECT max(k) FROM (SELECT count(DISTINCT v) AS k FROM e GROUP BY u))::BIGINT AS fan_out,
+      count(DISTINCT v) FILTER (r IN ('part_of', 'made_by'))::BIGINT AS components FROM e"""
 )
 def graph_metrics(spark, sf_dir):
-    return P.graph_metrics(_facts(spark, sf_dir)).drop("execution_id", "components")
+    return P.graph_metrics(_facts(spark, sf_dir)).drop("execution_id")
+
+
+@query(
+    """WITH n AS (SELECT n_regionkey AS k, n_nationkey FROM nation), c AS (SELECT k, c_custkey AS key FROM customer JOIN n ON c_nationkey = n_nationkey), s AS (SELECT k FROM supplier JOIN n ON s_nationkey = n_nationkey),
+    o AS (SELECT k FROM orders JOIN c ON o_custkey = key), x AS (SELECT k, 1 AS d FROM n UNION ALL SELECT k, 2 FROM c UNION ALL SELECT k, 2 FROM s UNION ALL SELECT k, 3 FROM o)
+    SELECT r_name AS root, count(*) FILTER (d = 1)::BIGINT AS fan_out, count(*)::BIGINT AS reached, max(d)::INT AS hops, avg(d)::DOUBLE AS mean_hops, 0::BIGINT AS branches FROM x JOIN region ON k = r_regionkey GROUP BY r_name"""
+)
+def root_metrics(spark, sf_dir):
+    facts = _facts(spark, sf_dir)
+    back = facts.select("execution_id", "ord", F.col("object").alias("subject"), "relation", F.col("subject").alias("object"))
+    return P.root_metrics(back, _table(spark, sf_dir, "region").select(F.lit("all").alias("execution_id"), F.col("r_name").alias("root"))).drop("execution_id")
 
 
 # ordered sequences: events as iterations, their types as answers
@@ -368,7 +381,7 @@ def target_satisfaction(spark, sf_dir):
 
 
 @query(
-    f"""WITH facts AS ({G.FACTS_SQL}), new AS (SELECT ord, regexp_replace('The ' || lower(subject), '^The ', CASE WHEN ord % 2 = 0 THEN 'the ' ELSE '' END) AS subject, relation, CASE WHEN ord % 3 = 0 THEN object || ' annex' ELSE upper(object) END AS object FROM facts WHERE relation <> 'placed_by'),
+    f"""WITH facts AS ({G.FACTS_SQL}), new AS (SELECT ord, regexp_replace('The ' || lower(subject), '^The ', CASE WHEN ord % 2 = 0 THEN 'the ' ELSE '' END) AS subject, relation, CASE WHEN ord % 3 = 0 THEN object || ' annex' ELSE upper(object) END AS object FROM facts),
     k AS (SELECT trim(regexp_replace({G.norm("subject")}, '^the ', '')) AS ks, {G.norm_relation("relation")} AS kr, {G.norm("object")} AS ko FROM facts),
     n AS (SELECT *, trim(regexp_replace({G.norm("subject")}, '^the ', '')) AS ks, {G.norm_relation("relation")} AS kr, {G.norm("object")} AS ko FROM new),
     fresh AS (SELECT *, row_number() OVER (PARTITION BY ks, kr, ko ORDER BY ord) AS rn FROM n ANTI JOIN k USING (ks, kr, ko))
@@ -376,7 +389,7 @@ def target_satisfaction(spark, sf_dir):
 )
 def working_merge(spark, sf_dir):
     facts = _facts(spark, sf_dir)
-    new = facts.where("relation <> 'placed_by'").withColumn("subject", F.concat(F.when(F.col("ord") % 2 == 0, "the ").otherwise(""), F.lower("subject")))
+    new = facts.withColumn("subject", F.concat(F.when(F.col("ord") % 2 == 0, "the ").otherwise(""), F.lower("subject")))
     new = new.withColumn("object", F.when(F.col("ord") % 3 == 0, F.concat("object", F.lit(" annex"))).otherwise(F.upper("object")))
     return M.merge(facts, new)[1].select("ord", "subject", "relation", "object")
 

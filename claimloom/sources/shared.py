@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, written as Parquet to spark.checkpoint.dir and read back; in a folder of its own where that is unset, as in tests."""
+    """The rows, written as Parquet to spark.checkpoint.dir and read back; where that is unset, as in tests, a local session gets a folder of its own, a cluster doesn't."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="claimloom-")
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
