@@ -54,6 +54,20 @@ def test_components_and_metrics(spark):
     assert paths.components(facts).select("component").distinct().count() == 2
     row = paths.graph_metrics(facts).first()
     assert (row["nodes"], row["edges"], row["duplicates"], row["components"], row["sources"], row["sinks"]) == (6, 5, 1, 2, 2, 2)
+    assert (row["isolated"], row["fan_out"]) == (0, 1)
+    loops = facts_of(spark, [("A", "is", "A"), ("B", "to", "C"), ("B", "to", "D"), ("D", "to", "E")])
+    assert tuple(paths.graph_metrics(loops).select("isolated", "fan_out", "components").first()) == (1, 2, 2)
+    far = paths.root_metrics(loops, spark.createDataFrame([("e", "B")], "execution_id string, root string")).first()
+    assert (far["fan_out"], far["reached"], far["hops"], far["branches"]) == (2, 3, 2, 0) and abs(far["mean_hops"] - 4 / 3) < 1e-9
+
+
+def test_paths_through_a_lattice_are_counted_not_listed(spark):
+    steps = [(f"n{k}{a}", "to", f"n{k + 1}{b}") for k in range(7) for a in "abcdef" for b in "abcdef"]
+    graph = facts_of(spark, [("start", "to", f"n0{a}") for a in "abcdef"] + steps + [(f"n7{a}", "to", "goal") for a in "abcdef"] + [("start", "to", "side"), ("side", "to", "end"), ("SIDE", "To", "end")])
+    pairs = spark.createDataFrame([(1, "e", "start", "goal"), (2, "e", "start", "end"), (3, "e", "goal", "start"), (4, "e", "start", "start")], "search int, execution_id string, start string, goal string")
+    rows = {r["search"]: r for r in paths.shortest_paths(pairs, paths.edges(graph)).collect()}
+    assert set(rows) == {1, 2} and (rows[1]["n_paths"], rows[1]["length"], rows[1]["path"]) == (6**8, 9, None)
+    assert (rows[2]["n_paths"], rows[2]["nodes"]) == (1, ["start", "side", "end"])
 
 
 def test_merge(spark):
