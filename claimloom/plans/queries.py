@@ -592,3 +592,63 @@ def iterate_batch(spark, sf_dir):
 
     results, _ = iterate.run(asked, contexts, facts, answers, extract, revise, with_paths=False)
     return results.select("sub_question_id", "stop_reason", "iteration")
+
+
+@query(
+    f"""WITH e AS ({_EVENTS}) SELECT sub_question_id, arg_min(event_id % 5, iteration)::BIGINT AS supported_before, arg_min(event_id % 3, iteration)::BIGINT AS contradicted_before, arg_min(event_id % 2, iteration)::BIGINT AS no_evidence_before,
+    CASE WHEN count(*) > 1 THEN arg_max(event_id % 5, iteration) END::BIGINT AS supported_after, CASE WHEN count(*) > 1 THEN arg_max(event_id % 3, iteration) END::BIGINT AS contradicted_after, CASE WHEN count(*) > 1 THEN arg_max(event_id % 2, iteration) END::BIGINT AS no_evidence_after
+    FROM e GROUP BY sub_question_id"""
+)
+def before_after_metrics(spark, sf_dir):
+    from claimloom.operators import iteration
+
+    rows = _numbered(_iterations(spark, sf_dir))
+    counts = {n: (F.col("event_id") % k).cast("long") for n, k in (("supported", 5), ("contradicted", 3), ("no_evidence", 2))}
+    return iteration.before_after(rows.withColumns(counts), ["sub_question_id"])
+
+
+@query(
+    """WITH x AS (SELECT user_id % 7 AS execution_id, event_type, count(*) AS n, sum(event_id % 5) AS s FROM events GROUP BY ALL), t AS (SELECT execution_id, sum(n)::BIGINT AS questions, sum(s)::BIGINT AS supported FROM x GROUP BY execution_id)
+    SELECT execution_id::BIGINT AS execution_id, questions, supported, event_type AS stop_reason, n::BIGINT AS n FROM x JOIN t USING (execution_id)"""
+)
+def stop_reason_rollup(spark, sf_dir):
+    from claimloom.operators import iteration
+
+    rows = _table(spark, sf_dir, "events").select((F.col("user_id") % 7).cast("long").alias("execution_id"), F.col("event_type").alias("stop_reason"), (F.col("event_id") % 5).cast("long").alias("supported"))
+    out = iteration.rollup(rows, ["execution_id"], ("supported",))
+    return out.select("execution_id", "questions", "supported", F.explode("stop_reasons").alias("stop_reason", "n"))
+
+
+def _asked_about_customers(spark, sf_dir):
+    """An execution for each customer: where it is, as a fact; a claim about it, and the question's target. By the key: every third claim names another nation, every third is of another relation."""
+    t = lambda n: _table(spark, sf_dir, n)
+    rows = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").cast("string").alias("execution_id"), (F.col("c_custkey") % 3).alias("k"), "c_name", "n_name", "c_mktsegment")
+    facts = rows.select("execution_id", F.lit(0).cast("long").alias("ord"), F.col("c_name").alias("subject"), F.lit("located_in").alias("relation"), F.col("n_name").alias("object"), F.lit(None).cast("string").alias("evidence"))
+    facts = facts.unionAll(rows.select("execution_id", F.lit(1).cast("long"), "c_name", F.lit("trades_in"), "c_mktsegment", F.lit(None).cast("string")))
+    own = ["execution_id", F.lit(1).alias("sub_question_id")]
+    relation = F.when(F.col("k") == 0, "situated_in").when(F.col("k") == 1, "located_in").otherwise("painted_by")
+    claims = rows.select(*own, F.lit(0).alias("iteration"), F.lit(0).cast("long").alias("ord"), F.col("c_name").alias("subject"), relation.alias("relation"), F.when(F.col("k") == 1, "Atlantis").otherwise(F.col("n_name")).alias("object"), F.lit(None).cast("string").alias("source_sentence"))
+    targets = rows.select(*own, F.concat(F.lit("Where is "), "c_name", F.lit("?")).alias("question"), F.lit("location_containment").alias("intent"), F.col("c_name").alias("primary_subject"), F.lit("located_in").alias("canonical_relation"))
+    return claims, facts, targets
+
+
+@query(
+    """SELECT c_custkey::VARCHAR AS execution_id, CASE c_custkey % 3 WHEN 0 THEN 'SUPPORTED' WHEN 1 THEN 'CONTRADICTED' ELSE 'NO_EVIDENCE' END AS label,
+    CASE c_custkey % 3 WHEN 0 THEN 0 ELSE -1 END::BIGINT AS matched_ord, CASE c_custkey % 3 WHEN 1 THEN n_name END AS conflicting_object,
+    CASE c_custkey % 3 WHEN 0 THEN 'Claim matches KGc fact after relation-family normalization.' WHEN 1 THEN 'Claim object ''Atlantis'' conflicts with KGc fact ''' || n_name || ''' for relation family ''location_containment''.' ELSE 'KGc has no matching fact for this claim in the question-scoped frame.' END AS reason
+    FROM customer JOIN nation ON c_nationkey = n_nationkey"""
+)
+def frame_compare(spark, sf_dir):
+    """Claims compared within the frame of their question: relations of one family count as one."""
+    out = C.compare_for_targets(*_asked_about_customers(spark, sf_dir))
+    return out.select("execution_id", "label", F.coalesce("matched_fact.ord", F.lit(-1)).alias("matched_ord"), "conflicting_object", "reason")
+
+
+@query("SELECT c_custkey::VARCHAR AS execution_id, c_name AS root FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def question_roots(spark, sf_dir):
+    """The entity each question starts from: the one it mentions that is farthest from the claim's subject."""
+    t = lambda n: _table(spark, sf_dir, n)
+    rows = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).withColumn("execution_id", F.col("c_custkey").cast("string"))
+    facts = rows.select("execution_id", F.posexplode(F.array(F.struct(F.col("c_name").alias("s"), F.lit("located_in").alias("r"), F.col("n_name").alias("o")), F.struct(F.col("n_name").alias("s"), F.lit("part_of").alias("r"), F.col("r_name").alias("o")))).alias("ord", "f")).select("execution_id", F.col("ord").cast("long").alias("ord"), F.col("f.s").alias("subject"), F.col("f.r").alias("relation"), F.col("f.o").alias("object"))
+    asked = rows.select("execution_id", F.lit(1).alias("search"), F.concat(F.lit("what lies beyond "), F.lower("n_name"), F.lit(" for "), F.lower("c_name"), F.lit("?")).alias("question"), F.col("n_name").alias("subject"), F.col("r_name").alias("object"), F.lit(None).cast("string").alias("primary_subject"))
+    return P.roots(asked, facts).select("execution_id", "root")

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from claimloom.functions.text import rendered
 
-FACTS = "execution_id string, subject string, relation string, object string, provenance string, stage string, evidence string, created_order long, sub_question_id int, evidence_spans array<string>"
+FACTS = "execution_id string, subject string, relation string, object string, provenance string, stage string, evidence string, created_order long, sub_question_id int, evidence_spans array<string>, extraction_scope string"
 CLAIMS = "execution_id string, example_id string, sub_question_id int, iteration int, stage string, ord long, subject string, relation string, object string, label string, reason string, conflicting_fact string"
-FACT_KEY = ["execution_id", "subject", "relation", "object", "provenance", "stage"]
+FACT_KEY = ["execution_id", "subject", "relation", "object", "provenance", "stage", "extraction_scope"]
 BAD = ("CONTRADICTED", "NO_EVIDENCE", "NOT_ENOUGH_INFO")
 
 
@@ -116,6 +116,13 @@ class Store:
         return gone
 
 
+    def delete_all(self) -> None:
+        """Remove every execution."""
+        for name in ("facts", "claims"):
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def redacted(events: DataFrame, column: str = "data", fragments: tuple[str, ...] = ("password", "secret", "token", "api_key", "authorization")) -> DataFrame:
     """A map column whose values are hidden where the key has one of the fragments."""
     pattern = "(?i)" + "|".join(fragments)
