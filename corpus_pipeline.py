@@ -1,6 +1,10 @@
 """From documents to token sequences: language, near copies, benchmark passages, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on every row its predecessor kept; all but the last return the columns of documents.
+
+Defined results: texts of any length are worked through whole; rows without an id are rows like others, but near_dedup keeps them; rows that repeat
+an id and text stay or go together; an empty table gives an empty one. language lets go of null and empty texts, and of those without a letter; the
+stages after it take them as the operators say: as no copies, not contaminated, without secrets, and as an end token alone.
 """
 
 from __future__ import annotations
@@ -41,7 +45,7 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("near_dedup", near_dedup), ("decontaminate", clean_of_benchmarks), ("secrets", without_secrets), ("packing", sequences)]
 
-#: The classifier, MinHash and the tokenizer are beyond SQL; the stages are tested against brute force.
+#: The classifier, MinHash and the tokenizer are beyond SQL; the stages and run() are tested against brute force in tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 
