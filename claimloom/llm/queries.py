@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import decontaminate, langid, minhash, neighbours, packing, quality, secrets, substrings, toxicity, warc
-from claimloom.llm.base import table
+from claimloom.llm import decontaminate, langid, minhash, neighbours, packing, pieces, quality, secrets, substrings, toxicity, warc
+from claimloom.llm.base import small_batches, table
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,16 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.trim(table(spark, sf_dir, "documents"), batches=4).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_warc_round_trip, op3_secret_scan, op4_decontaminate, op5_packing, op6_toxicity, op7_language_id, op8_nearest_neighbours, op9_site_quality, op10_substring_dedup)}
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    path = tokenizer_path("piece_bpe_32k.model")
+    encoded = table(spark, sf_dir, "documents").select("doc_id", pieces.encode("text", path).alias("ids"))
+    decoded = encoded.withColumn("decoded", pieces.decode("ids", path))
+    joined = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_warc_round_trip, op3_secret_scan, op4_decontaminate, op5_packing, op6_toxicity, op7_language_id, op8_nearest_neighbours, op9_site_quality, op10_substring_dedup, op12_sentencepiece)}
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 #: Where SQL can say it; the others are tested against brute force in tests/llm.
