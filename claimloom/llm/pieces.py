@@ -82,6 +82,42 @@ def read_model(path: str) -> tuple[list[tuple[str, float, int]], dict]:
     return pieces, settings
 
 
+class Known:
+    """What units of text turn into: sorted hashes, and where in a pool a unit's ids are. It is emptied when it holds more than CACHED units."""
+
+    def __init__(self):
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.filled = np.zeros(1 << 16, np.int32), 0
+
+    def lacks(self, values: np.ndarray) -> np.ndarray:
+        """Which of the sorted hashes aren't there. Call it before add() and ids()."""
+        if len(self.keys) > CACHED:
+            self.forget()
+        if not len(self.keys):
+            return np.ones(len(values), bool)
+        return self.keys[np.minimum(np.searchsorted(self.keys, values), len(self.keys) - 1)] != values
+
+    def add(self, values: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        """Put in sorted hashes that aren't there, with all their ids and how many each has."""
+        if self.filled + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.filled], np.zeros(max(len(self.pool), len(ids)), np.int32)])
+        self.pool[self.filled : self.filled + len(ids)] = ids
+        to = np.searchsorted(self.keys, values)
+        self.keys = np.insert(self.keys, to, values)
+        self.at = np.insert(self.at, to, self.filled + np.cumsum(n) - n)
+        self.n = np.insert(self.n, to, n)
+        self.filled += len(ids)
+
+    def ids(self, values: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the units values[back], one unit after the other, and how many each has."""
+        place = np.searchsorted(self.keys, values)[back]
+        n = self.n[place]
+        return self.pool[W.ragged(self.at[place], n)], n
+
+
 class Pieces:
     def __init__(self, path: str):
         pieces, s = read_model(path)
@@ -131,12 +167,7 @@ class Pieces:
         self.n_bytes = np.array([len(x) for x in surface], np.int64)
         self.first_byte = np.cumsum(self.n_bytes) - self.n_bytes
         self.bytes = np.frombuffer(b"".join(surface), np.uint8)
-        self.forget()
-
-    def forget(self) -> None:
-        """Empty the cache: sorted hashes, and where in the pool a word's ids are."""
-        self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool, self.filled = np.zeros(1 << 16, np.int32), 0
+        self.known = Known()
 
     def _pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The symbol that two symbols merge to, or the last one, which ranks behind all."""
@@ -241,14 +272,7 @@ class Pieces:
         ids = np.repeat(symbols, width).astype(np.int32)
         ids[W.ragged((np.cumsum(width) - width)[other], width[other])] = self.byte_id[np.frombuffer(b"".join(raw), np.uint8)]
         n = np.bincount(which, weights=width, minlength=len(counts)).astype(np.int64)
-        if self.filled + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.filled], np.zeros(max(len(self.pool), len(ids)), np.int32)])
-        self.pool[self.filled : self.filled + len(ids)] = ids
-        to = np.searchsorted(self.keys, values)
-        self.keys = np.insert(self.keys, to, values)
-        self.at = np.insert(self.at, to, self.filled + np.cumsum(n) - n)
-        self.n = np.insert(self.n, to, n)
-        self.filled += len(ids)
+        self.known.add(values, ids, n)
 
     def _stretch(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a stretch of bytes, and how many come before each of the places starts, at which texts begin."""
@@ -266,17 +290,11 @@ class Pieces:
         np.cumsum(self.value[chars] * power[: len(chars)], out=total[1:])
         keys = W.mix((total[begin + counts] - total[begin]) * inverse[begin] + counts.astype(np.uint64))
         values, first, back = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.keys) > CACHED:
-            self.forget()
-        new = np.ones(len(values), bool)
-        if len(self.keys):
-            new = self.keys[np.minimum(np.searchsorted(self.keys, values), len(self.keys) - 1)] != values
+        new = self.known.lacks(values)
         if new.any():
             self._learn(values[new], chars, begin[first[new]], counts[first[new]])
-        known = np.searchsorted(self.keys, values)[back]
-        n = self.n[known]
-        upto = np.r_[0, np.cumsum(n)]
-        return self.pool[W.ragged(self.at[known], n)], upto[np.searchsorted(begin, at)]
+        ids, n = self.known.ids(values, back)
+        return ids, np.r_[0, np.cumsum(n)][np.searchsorted(begin, at)]
 
     def encode(self, texts: pa.Array, end: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids one after the other, and their numbers; with end, each text's end id too."""

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import decontaminate, langid, minhash, neighbours, packing, pieces, quality, secrets, substrings, toxicity, warc
-from claimloom.llm.base import small_batches, table
+from claimloom.llm import alignment, decontaminate, langid, minhash, neighbours, packing, pieces, quality, secrets, substrings, toxicity, warc
+from claimloom.llm.base import keep, small_batches, table
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +77,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.trim(table(spark, sf_dir, "documents"), batches=4).drop("kept")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    return alignment.rate(keep(found.withColumn("groups_sha256", digest).drop("groups"), "aligned"))
+
+
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     path = tokenizer_path("piece_bpe_32k.model")
@@ -86,7 +92,7 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_warc_round_trip, op3_secret_scan, op4_decontaminate, op5_packing, op6_toxicity, op7_language_id, op8_nearest_neighbours, op9_site_quality, op10_substring_dedup, op12_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_warc_round_trip, op3_secret_scan, op4_decontaminate, op5_packing, op6_toxicity, op7_language_id, op8_nearest_neighbours, op9_site_quality, op10_substring_dedup, op11_token_alignment, op12_sentencepiece)}
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 #: Where SQL can say it; the others are tested against brute force in tests/llm.
