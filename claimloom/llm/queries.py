@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import alignment, decontaminate, langid, minhash, neighbours, packing, pieces, quality, secrets, substrings, toxicity, warc
+from claimloom.llm import alignment, decontaminate, langid, minhash, neighbours, packing, phrases, pieces, quality, secrets, substrings, toxicity, warc
 from claimloom.llm.base import keep, small_batches, table
 
 
@@ -92,7 +92,11 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_warc_round_trip, op3_secret_scan, op4_decontaminate, op5_packing, op6_toxicity, op7_language_id, op8_nearest_neighbours, op9_site_quality, op10_substring_dedup, op11_token_alignment, op12_sentencepiece)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_warc_round_trip, op3_secret_scan, op4_decontaminate, op5_packing, op6_toxicity, op7_language_id, op8_nearest_neighbours, op9_site_quality, op10_substring_dedup, op11_token_alignment, op12_sentencepiece, op13_collocations)}
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 #: Where SQL can say it; the others are tested against brute force in tests/llm.
@@ -126,4 +130,14 @@ rep AS (SELECT t FROM win GROUP BY t HAVING count(*) > 1),
 gone AS (SELECT doc_id, list(DISTINCT p) AS g FROM (SELECT doc_id, unnest(range(k, k + 35)) AS p FROM win SEMI JOIN rep USING (t)) GROUP BY doc_id),
 kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d) AS a ANTI JOIN (SELECT doc_id, unnest(g) AS p FROM gone) AS b USING (doc_id, p) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(g), 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op13_collocations": rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents),
+f AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS t, count(*)::HUGEINT AS a FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m) GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT *, string_split(t, ' ') AS w FROM f WHERE m > 1),
+cut AS (SELECT c.*, k, l.a AS l, r.a AS r, (2000000 * c.a) // (l.a + r.a) AS score FROM (SELECT *, unnest(range(1, m)) AS k FROM c) AS c
+  JOIN f AS l ON l.lang = c.lang AND l.t = array_to_string(c.w[1:k], ' ') JOIN f AS r ON r.lang = c.lang AND r.t = array_to_string(c.w[k + 1:c.m], ' ')),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, t ORDER BY score, k) = 1),
+inner_runs AS (SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS t, max(a) AS longer FROM (SELECT *, unnest(range(1, m - s + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS s) WHERE s < m) GROUP BY ALL),
+ranked AS (SELECT best.*, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, best.t) AS rank FROM best LEFT JOIN inner_runs USING (lang, t) WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT lang, rank::BIGINT AS rank, t AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked JOIN (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang) USING (lang) WHERE rank <= 2000""",
 }
