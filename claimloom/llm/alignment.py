@@ -30,7 +30,7 @@ from claimloom.llm import words as W
 from claimloom.llm.base import keep, small_batches
 from claimloom.llm.pieces import Known, lists, pieces
 
-BLOCK = 6 << 20
+BLOCK = 2 << 20
 LANE = 32
 #: Links of one group that are listed at once; in larger groups equal ids are counted first.
 LISTED = 1 << 12
@@ -46,10 +46,17 @@ def byte_alphabet() -> dict[str, int]:
 class ByteLevel:
     """A byte-level BPE tokenizer, with a cache of what stretches of text turn into.
 
-    The tokenizer's pattern never matches across a place where a space follows something that is no white space, so texts
-    are cut there and equal stretches are tokenized once.
+    The tokenizer's pattern never matches across a place where white space follows something else, nor where ASCII letters, digits and
+    punctuation other than apostrophes meet, so texts are cut there and equal stretches are tokenized once.
     """
 
+    KINDS = np.zeros(256, np.uint8)  # 1: letters, 2: digits, 3: punctuation, 4: an apostrophe, 5: white space
+    KINDS[33:127] = 3
+    KINDS[[*range(65, 91), *range(97, 123)]] = 1
+    KINDS[48:58] = 2
+    KINDS[39] = 4
+    KINDS[[*range(9, 14), 32]] = 5
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -81,10 +88,11 @@ class ByteLevel:
         """Ids of texts that lie in data one after the other, from the places starts on, and how many each has."""
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        kind = self.KINDS[data]
         # white space beyond ASCII ends in a byte from 0x80 up, but never in one after 0xC3 (Latin letters)
-        solid = (data[:-1] > 32) & (data[:-1] < 127)
+        solid = (kind[:-1] > 0) & (kind[:-1] < 5)
         solid[1:] |= (data[:-2] == 0xC3) & (data[1:-1] >= 0x80)
-        begins = np.r_[True, (data[1:] == 32) & solid]
+        begins = np.r_[True, (kind[1:] == 5) & solid | (kind[:-1] != kind[1:]) & (np.minimum(kind[:-1], kind[1:]) > 0) & (np.maximum(kind[:-1], kind[1:]) < 4)]
         begins[starts] = True
         begin = np.flatnonzero(begins)
         end = np.r_[begin[1:], len(data)]
@@ -93,7 +101,7 @@ class ByteLevel:
         if new.any():
             at = first[new]
             strings = [data[b:e].tobytes().decode() for b, e in zip(begin[at].tolist(), end[at].tolist(), strict=True)]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+            found = [e.ids for k in range(0, len(strings), 4096) for e in self.tokenizer.encode_batch_fast(strings[k : k + 4096], add_special_tokens=False)]
             self.known.add(values[new], np.array([i for x in found for i in x], np.int32), np.array([len(x) for x in found], np.int64))
         ids, n = self.known.ids(values, back)
         upto = np.r_[0, np.cumsum(n)][np.searchsorted(begin, starts)]

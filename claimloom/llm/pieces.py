@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from claimloom.llm import words as W
 
 MARK = 0x2581
-STRETCH = 1 << 22
+STRETCH = 1 << 20
 LONG = 4096
 #: Words in a worker's cache; it is emptied when it has more.
 CACHED = 1 << 20
