@@ -118,6 +118,13 @@ def in_family(relation: Column, intent: Column) -> Column:
     return ~_known(intent) | (_by_intent(FAMILIES, intent, rel) & ~rel.isin(list(PRESIDENT_PROXIES)) & ~_by_intent(EXCLUDED, intent, rel))
 
 
+def members(intent: Column) -> Column:
+    """The normalized relations that answer an intent, null for one without a family: those for which in_family() holds."""
+    answers = {i: [r for r in dict.fromkeys(found) if r not in PRESIDENT_PROXIES and r not in EXCLUDED.get(i, ())] for i, found in FAMILIES.items()}
+    table = F.create_map(*[x for i, found in answers.items() for x in (F.lit(i), F.array(*[F.lit(r) for r in found]))])
+    return F.try_element_at(table, intent)
+
+
 def slot_of(relation: Column) -> Column:
     """The slot of a relation, null if none."""
     rel = normalize_relation(relation)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from claimloom.functions import registry as R
 from claimloom.functions import values as V
 from claimloom.functions.text import evidence_or_triple, is_negated, normalize, normalize_relation, normalize_subject, strip
+from claimloom.operators.asof import SINCE, answering, lookup, there
 from claimloom.sources.schemas import CONTRADICTED, NO_EVIDENCE, SUPPORTED
 
 #: Fixed value: what a rewritten claim's source sentence begins with.
@@ -52,18 +53,16 @@ def is_first_stage_pair(claim_subject: Column | str, fact_subject: Column | str)
     return (a == b) | (first & b.rlike("first stage|s ic|sic stage|saturn v"))
 
 
-def compare(claims: DataFrame, facts: DataFrame, keys: tuple[str, ...] = ("execution_id",)) -> DataFrame:
-    """Claims with label, reason, evidence, conflicting_object, conflicting_fact and matched_fact; one row for each claim."""
+def compare(claims: DataFrame, facts: DataFrame, keys: tuple[str, ...] = ("execution_id",), at: str = "sub_question_id") -> DataFrame:
+    """Claims with label, reason, evidence, conflicting_object, conflicting_fact and matched_fact; one row for each claim. at: the claims' number, for facts with `since`."""
     keys = list(keys)
     c = with_norms(claims)
     f = with_norms(facts).withColumn("fact", fact_struct(facts))
-    exact = f.groupBy(*keys, "s", "r", "o").agg(F.max_by("fact", "ord").alias("exact"))
-    related = f.groupBy(*keys, "s", "r").agg(F.min_by("fact", "ord").alias("related"))
+    out = lookup(c, f, [*keys, "s", "r", "o"], at, exact=F.max_by("fact", "ord"))
+    out = lookup(out, f, [*keys, "s", "r"], at, related=F.min_by("fact", "ord"))
     # a triple's relations of either polarity; the claim's own relation would have matched before
-    opposed = f.groupBy(*keys, "s", "o", _negated("r").alias("neg")).agg(F.min_by("fact", "ord").alias("opposed"))
-    out = c.join(exact, [*keys, "s", "r", "o"], "left").join(related, [*keys, "s", "r"], "left")
-    out = out.withColumn("neg", ~_negated("r")).join(opposed, [*keys, "s", "o", "neg"], "left")
-    out = _engine_conflicts(out, f, keys, claims.columns)
+    out = lookup(out.withColumn("neg", ~_negated("r")), f.withColumn("neg", _negated("r")), [*keys, "s", "o", "neg"], at, opposed=F.min_by("fact", "ord"))
+    out = _engine_conflicts(out, f, keys, claims.columns, at)
     e, q, p, g = (F.col(n) for n in ("exact", "related", "opposed", "engine"))
     other = F.coalesce(q, p, g)
     same_words = strip("relation") == strip(e["relation"])
@@ -92,13 +91,13 @@ def compare(claims: DataFrame, facts: DataFrame, keys: tuple[str, ...] = ("execu
     )
 
 
-def _engine_conflicts(out: DataFrame, f: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+def _engine_conflicts(out: DataFrame, f: DataFrame, keys: list[str], columns: list[str], at: str) -> DataFrame:
     """Adds engine: the first fact by which another engine drives the claim's stage. Only claims about engines meet facts about engines."""
     power = list(R.ENGINE_POWER)
     asks = F.col("exact").isNull() & F.col("related").isNull() & F.col("opposed").isNull() & F.col("r").isin(power) & is_engine("object")
     left = out.where(asks).select(*columns, "o").withColumn("__claim", F.struct(*columns))
-    right = f.where(F.col("r").isin(power)).select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("subject").alias("__subject"), F.col("o").alias("__o"), F.col("ord").alias("__ord"), F.col("fact").alias("__fact"))
-    on = F.lit(True)
+    right = f.where(F.col("r").isin(power)).select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("subject").alias("__subject"), F.col("o").alias("__o"), F.col("ord").alias("__ord"), F.col("fact").alias("__fact"), *([F.col(SINCE).alias("__since")] if SINCE in f.columns else []))
+    on = there(f, at, "__since")
     for k in keys:
         on = on & (F.col(k) == F.col(f"__{k}"))
     met = left.join(right, on & is_first_stage_pair("subject", "__subject") & (F.col("o") != F.col("__o")))
@@ -138,12 +137,12 @@ def claim_frames(claims: DataFrame) -> DataFrame:
     return claims.withColumns({"frame_subject": subject, "frame_relation": canonical_for(F.col("relation"), F.col("intent"), F.col("canonical_relation")), "alias": normalize_subject("subject") != normalize_subject(subject)})
 
 
-def fact_frames(facts: DataFrame, targets: DataFrame, keys: tuple[str, ...] = ("execution_id",), target_keys: tuple[str, ...] = ("execution_id", "sub_question_id")) -> DataFrame:
+def fact_frames(facts: DataFrame, targets: DataFrame, keys: tuple[str, ...] = ("execution_id",), target_keys: tuple[str, ...] = ("execution_id", "sub_question_id"), at: str = "sub_question_id") -> DataFrame:
     """A row for each target and fact that answers it, and another where a participant's share of a mission stands for the mission's.
 
     target keys, frame_ord, frame_subject, frame_relation, raw relation and object, projected, alias, fact. Of frames with equal normalized triples the first stays.
     """
-    joined = facts.withColumn("fact", fact_struct(facts)).join(targets, list(keys)).where(R.in_family(F.col("relation"), F.col("intent")))
+    joined = answering(facts.withColumn("fact", fact_struct(facts)), targets, keys, at)
     relation = canonical_for(F.col("relation"), F.col("intent"), F.col("canonical_relation"))
     subject = canonical_subject(F.col("subject"), F.col("primary_subject"), F.col("question"))
     evidence = F.col("evidence") if "evidence" in facts.columns else F.lit("")

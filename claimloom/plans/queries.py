@@ -527,7 +527,7 @@ def derive_facts(spark, sf_dir):
     return derive.bootstrap(targets, c)
 
 
-_LADDER_INPUT = """WITH f AS (SELECT range AS id, range % 3 AS iteration, (range // 3) % 2 AS a, (range // 6) % 3 AS p, (range // 18) % 3 AS g, (range // 54) % 3 AS supported, (range // 162) % 2 AS contradicted, (range // 324) % 2 AS no_evidence, (range // 648) % 2 AS irrelevant, (range // 1296) % 3 AS path FROM range(3888)),
+_LADDER_INPUT = """WITH f AS (SELECT range AS id, range % 3 AS iteration, (range // 3) % 2 AS a, (range // 6) % 3 AS p, (range // 18) % 3 AS g, (range // 54) % 3 AS supported, (range // 162) % 2 AS contradicted, (range // 324) % 2 AS no_evidence, (range // 648) % 2 AS irrelevant, (range // 1296) % 3 AS path FROM (SELECT event_id AS range FROM events)),
 i AS (SELECT *, a = 1 AS quiet, p > 0 AS again, p = 2 AS quiet_before, iteration = 2 AS last, supported + contradicted + no_evidence AS claims, irrelevant = 0 AS satisfied, (p = 1 AND a = 0) OR (p = 2 AND a = 1) OR (p > 0 AND g = 0) AS same FROM f),
 c AS (SELECT *, claims > 0 AND contradicted = 0 AND no_evidence = 0 AS clean FROM i)
 """
@@ -541,10 +541,10 @@ c AS (SELECT *, claims > 0 AND contradicted = 0 AND no_evidence = 0 AS clean FRO
     CASE WHEN claims = 0 AND quiet AND quiet_before THEN 'repeated_abstention' WHEN claims = 0 AND quiet AND iteration > 0 THEN 'abstention_after_revision' WHEN claims = 0 AND quiet AND NOT again THEN 'initial_abstention' WHEN clean AND satisfied AND path = 2 THEN 'incomplete_evidence_path' END AS sub_reason FROM c"""
 )
 def stop_ladder(spark, sf_dir):
-    """All combinations of the ladder's inputs."""
+    """The ladder's inputs from the events' numbers, which go through all their combinations."""
     from claimloom.operators import iteration
 
-    flags = spark.range(3 * 2 * 3 * 3 * 3 * 2 * 2 * 2 * 3)
+    flags = _table(spark, sf_dir, "events").select(F.col("event_id").alias("id"))
     at, rest = [], F.col("id")
     for n in (3, 2, 3, 3, 3, 2, 2, 2, 3):
         at.append((rest % n).cast("int"))
@@ -652,3 +652,82 @@ def question_roots(spark, sf_dir):
     facts = rows.select("execution_id", F.posexplode(F.array(F.struct(F.col("c_name").alias("s"), F.lit("located_in").alias("r"), F.col("n_name").alias("o")), F.struct(F.col("n_name").alias("s"), F.lit("part_of").alias("r"), F.col("r_name").alias("o")))).alias("ord", "f")).select("execution_id", F.col("ord").cast("long").alias("ord"), F.col("f.s").alias("subject"), F.col("f.r").alias("relation"), F.col("f.o").alias("object"))
     asked = rows.select("execution_id", F.lit(1).alias("search"), F.concat(F.lit("what lies beyond "), F.lower("n_name"), F.lit(" for "), F.lower("c_name"), F.lit("?")).alias("question"), F.col("n_name").alias("subject"), F.col("r_name").alias("object"), F.lit(None).cast("string").alias("primary_subject"))
     return P.roots(asked, facts).select("execution_id", "root")
+
+
+@query(
+    """SELECT c_custkey::VARCHAR AS execution_id, (c_custkey % 2 + 1)::INT AS since, (2 - c_custkey % 2)::INT AS asked_at, CASE c_custkey % 2 WHEN 0 THEN 'SUPPORTED' ELSE 'NO_EVIDENCE' END AS label, count(o_orderkey)::BIGINT + 1 - c_custkey % 2 AS facts_seen
+    FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey"""
+)
+def sequential_questions(spark, sf_dir):
+    """An execution for each customer with its orders as facts, and two questions: for one a fact is derived from the context, and the other is answered with it. By the key one is asked first or the other, and that decides whether the claim finds the fact."""
+    from claimloom.operators import asof
+    from claimloom.plans import iterate
+
+    c = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("execution_id"), (F.col("c_custkey") % 2).cast("int").alias("k"), "c_custkey", "c_name")
+    orders = _table(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
+    facts = orders.select("execution_id", F.col("o_orderkey").cast("long").alias("ord"), F.concat(F.lit("Order#"), "o_orderkey").alias("subject"), F.lit("placed_by").alias("relation"), F.col("c_name").alias("object"), F.lit(None).cast("string").alias("evidence"))
+    patient, stage = F.concat(F.lit("Patient C"), "execution_id"), F.concat(F.lit("stage "), (1 + F.col("c_custkey") % 4).cast("string"))
+    derives, leans = F.col("k") + 1, F.lit(2) - F.col("k")
+    asked = c.select("execution_id", derives.alias("sub_question_id"), F.concat(F.lit("What stage of kidney disease does "), patient, F.lit(" have?")).alias("question"))
+    asked = asked.unionByName(c.select("execution_id", leans.alias("sub_question_id"), F.concat(F.lit("Is it known what "), patient, F.lit(" has?")).alias("question")))
+    contexts = c.select("execution_id", F.concat(patient, F.lit(" has CKD "), stage, F.lit(".")).alias("context"))
+    _, grown = iterate.grow(asked, contexts, facts)
+    claims = c.select("execution_id", leans.alias("sub_question_id"), F.lit(0).alias("iteration"), F.lit(0).cast("long").alias("ord"), patient.alias("subject"), F.lit("has_ckd_stage").alias("relation"), stage.alias("object"), F.lit(None).cast("string").alias("source_sentence"))
+    judged = C.compare(claims, grown).select("execution_id", F.col("sub_question_id").alias("asked_at"), "label")
+    seen = grown.join(claims.select("execution_id", "sub_question_id"), "execution_id").groupBy("execution_id").agg(F.count_if(asof.there(grown, "sub_question_id")).alias("facts_seen"), F.max("since").alias("since"))
+    return judged.join(seen, "execution_id").select("execution_id", "since", "asked_at", "label", "facts_seen")
+
+
+@query(
+    """SELECT c_custkey::VARCHAR AS execution_id, CASE WHEN c_custkey % 3 = 2 THEN 'STALLED' WHEN c_custkey % 4 = 3 THEN 'UNRESOLVED_TARGET_NOT_SATISFIED' ELSE 'RESOLVED' END AS stop_reason,
+    CASE WHEN c_custkey % 3 <> 2 AND c_custkey % 4 = 3 THEN 'incomplete_evidence_path' END AS sub_reason, CASE WHEN c_custkey % 3 = 2 THEN 1 WHEN c_custkey % 4 = 3 THEN 2 ELSE c_custkey % 3 END::INT AS iteration FROM customer"""
+)
+def iterate_with_paths(spark, sf_dir):
+    """The region of every customer's nation, asked in an execution each, with evidence paths from the customer on: a model that is right, right after a correction, or never, and for every fourth customer no fact says where it is, so the path has a gap."""
+    from claimloom.plans import iterate
+
+    t = lambda n: _table(spark, sf_dir, n)
+    rows = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = rows.select(F.col("c_custkey").cast("string").alias("execution_id"), F.lit(1).alias("sub_question_id"), "c_custkey", "c_name", "c_mktsegment", "n_name", "r_name")
+    orders = t("orders").join(rows.select("execution_id", "c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
+
+    def fact(df, at, subject, relation, obj):
+        return df.select("execution_id", F.lit(at).cast("long").alias("ord") if isinstance(at, int) else at.cast("long").alias("ord"), subject.alias("subject"), F.lit(relation).alias("relation"), F.col(obj).alias("object"), F.lit(None).cast("string").alias("evidence"))
+
+    facts = fact(rows, 0, F.col("c_name"), "trades_in", "c_mktsegment").unionAll(fact(rows.where("c_custkey % 4 <> 3"), 1, F.col("c_name"), "located_in", "n_name")).unionAll(fact(rows, 2, F.col("n_name"), "part_of", "r_name"))
+    facts = facts.unionAll(fact(orders, F.col("o_orderkey") + 3, F.concat(F.lit("Order#"), "o_orderkey"), "placed_by", "c_name"))
+    own = ["execution_id", "sub_question_id"]
+    asked = rows.select(*own, F.concat(F.lit("Which region contains the nation of "), "c_name", F.lit("?")).alias("question"))
+    answers = rows.select(*own, F.when(F.col("c_custkey") % 3 == 0, F.col("r_name")).otherwise("Atlantis").alias("answer"))
+    contexts = rows.select("execution_id", F.lit("Nations are parts of regions.").alias("context"))
+
+    def extract(asked):
+        return asked.select(*own, "iteration", "answer").join(rows.select(*own, "n_name"), own).select(*own, "iteration", F.lit(0).cast("long").alias("ord"), F.col("n_name").alias("subject"), F.lit("part_of").alias("relation"), F.col("answer").alias("object"), F.col("answer").alias("source_sentence"))
+
+    def revise(ask):
+        return ask.select(*own, "answer").join(rows.select(*own, "c_custkey", "r_name"), own).select(*own, F.when(F.col("c_custkey") % 3 == 1, F.col("r_name")).otherwise(F.col("answer")).alias("answer"))
+
+    results, _ = iterate.run(asked, contexts, facts, answers, extract, revise)
+    return results.select("execution_id", "stop_reason", "sub_reason", "iteration")
+
+
+_TOKENS = r"regexp_extract_all(lower({}), '[a-z0-9]+|[\p{{L}}\p{{N}}]')"
+_WORDS = "regexp_extract_all(lower({}), '[a-z0-9]+')"
+
+
+@query(
+    rf"""WITH b AS (SELECT item_id, {_WORDS.format("text")} AS t FROM benchmark), e AS (SELECT 'item ' || item_id AS entity, array_to_string(t[1:k], ' ') AS key, k AS n FROM (SELECT item_id, t, unnest([3, 4, 5]) AS k FROM b) WHERE len(t) >= k
+    UNION SELECT c_name, array_to_string({_WORDS.format("c_name")}, ' '), len({_WORDS.format("c_name")}) FROM customer UNION SELECT p_name, array_to_string({_WORDS.format("p_name")}, ' '), len({_WORDS.format("p_name")}) FROM part),
+    d AS (SELECT doc_id, {_TOKENS.format("text")} AS t FROM documents), g AS (SELECT doc_id, n, i, array_to_string(t[i:i + n - 1], ' ') AS key FROM (SELECT doc_id, t, n, unnest(range(1, len(t) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM e) WHERE len(t) >= n))
+    SELECT doc_id, entity, count(*)::BIGINT AS n_places, min(i - 1)::INT AS first_at, count(DISTINCT key)::INT AS n_aliases FROM g JOIN e USING (key, n) GROUP BY ALL"""
+)
+def alias_mentions(spark, sf_dir):
+    """Customers, parts and benchmark items (by their first three, four and five words) in all documents."""
+    from claimloom.operators import aliases
+
+    items = _table(spark, sf_dir, "benchmark").select(F.concat(F.lit("item "), "item_id").alias("entity"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)).alias("t"))
+    starts = items.select("entity", "t", F.explode(F.array(*[F.lit(k) for k in (3, 4, 5)])).alias("k")).where("size(t) >= k").select("entity", F.array_join(F.slice("t", F.lit(1), F.col("k")), " ").alias("alias"), F.col("k").alias("ord"))
+    named = _table(spark, sf_dir, "customer").select(F.col("c_name").alias("entity")).union(_table(spark, sf_dir, "part").select("p_name")).distinct()
+    names = aliases.expanded(named).unionByName(aliases.expanded(items.select("entity"), starts).where("alias <> entity"))
+    found = aliases.mentioned(_table(spark, sf_dir, "documents"), names, "doc_id")
+    return found.select("doc_id", "entity", "n_places", "first_at", F.size("aliases").alias("n_aliases"))

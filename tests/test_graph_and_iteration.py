@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimloom.operators import iteration, merge, paths, reports
+from claimloom.operators.compare import compare, compare_for_targets
 from claimloom.plans import iterate
 from claimloom.sources.schemas import FACTS
 from claimloom.sources.store import Store
@@ -171,3 +172,72 @@ def test_loop(spark):
     assert got == {1: ("RESOLVED", 0, "Pad 39A"), 2: ("RESOLVED", 1, "Rocket Beta"), 3: ("STALLED", 1, "red")}
     assert history.count() == 5
     assert json.loads("[]") == []
+
+
+CASE = "Patient A has CKD stage 3b. The A1c was 8.2%. The patient is allergic to penicillin."
+
+
+def _order_matters(spark, first, second):
+    """Two questions, first the one and then the other; both are answered with a claim about the stage, which only the context states."""
+    asked = spark.createDataFrame([("e", first, "What stage of kidney disease does Patient A have?"), ("e", second, "Is it known what Patient A has?")], "execution_id string, sub_question_id int, question string")
+    contexts = spark.createDataFrame([("e", CASE)], "execution_id string, context string")
+    facts = facts_of(spark, [("Patient A", "lives_in", "Ohio")])
+    return asked, contexts, facts
+
+
+def test_questions_see_what_earlier_ones_derived(spark):
+    labels = {}
+    for first, second in ((1, 2), (2, 1)):
+        asked, contexts, facts = _order_matters(spark, first, second)
+        _, grown = iterate.grow(asked, contexts, facts)
+        derived = [(r["relation"], r["object"], r["since"]) for r in grown.where("since is not null").collect()]
+        assert [d[2] for d in derived] == [first]
+        claims = grown.where("since is not null").select("execution_id", F.lit(second).alias("sub_question_id"), F.lit(0).alias("iteration"), F.lit(0).cast("long").alias("ord"), "subject", "relation", "object", F.lit(None).cast("string").alias("source_sentence"))
+        labels[first] = compare(claims, grown).first()["label"]
+    assert labels == {1: "SUPPORTED", 2: "NO_EVIDENCE"}
+
+
+def _visible(facts, at):
+    """The facts that a question sees, as a table without `since`."""
+    return facts.where(F.coalesce("since", F.lit(0)) <= at).drop("since")
+
+
+def test_as_of_lookups_are_those_over_what_is_there(spark):
+    """Every operator with `since` gives what it gives on the facts that are there alone."""
+    import random
+
+    from claimloom.operators import align as A
+    from claimloom.operators import paths, questions
+
+    r = random.Random(2)
+    names = ["a", "b", "c", "d"]
+    rows = [("e", k, r.choice(names), r.choice(["located_in", "not_located_in", "born_in", "launched_by"]), r.choice(names + ["Saturn V rocket"]), None, None if k < 6 else k - 4) for k in range(16)]
+    facts = spark.createDataFrame(rows, "execution_id string, ord long, subject string, relation string, object string, evidence string, since int").cache()
+    claims = spark.createDataFrame([("e", q, 0, k, r.choice(names), r.choice(["located_in", "born_in", "launched_by"]), r.choice(names + ["Saturn V rocket"]), None) for q in (1, 5, 9, 20) for k in range(12)], "execution_id string, sub_question_id int, iteration int, ord long, subject string, relation string, object string, source_sentence string").cache()
+    targets = spark.createDataFrame([("e", q, f"Where is {r.choice(names)} located?") for q in (1, 5, 9, 20)], "execution_id string, sub_question_id int, question string").cache()
+    ends = spark.createDataFrame([("e", q, "c", "a", "located_in", "d", f"what links {r.choice(names)} to {r.choice(names)}?", None) for q in (1, 5, 9, 20)], "execution_id string, search int, root string, subject string, relation string, object string, question string, primary_subject string").cache()
+    whole = {
+        "compare": lambda c, f, t, p: compare(c, f),
+        "align": lambda c, f, t, p: A.align(c, f),
+        "targets": lambda c, f, t, p: questions.targets(t, f),
+        "frames": lambda c, f, t, p: compare_for_targets(c, f, questions.targets(t, f)),
+        "roots": lambda c, f, t, p: paths.roots(p, f),
+        "paths": lambda c, f, t, p: paths.evidence_paths(p, f),
+    }
+    for name, run in whole.items():
+        got = sorted(str(x.asDict(True)) for x in run(claims, facts, targets, ends).collect())
+        want = []
+        for q in (1, 5, 9, 20):
+            want += [str(x.asDict(True)) for x in run(claims.where(F.col("sub_question_id") == q), _visible(facts, q), targets.where(F.col("sub_question_id") == q), ends.where(F.col("search") == q)).collect()]
+        assert got == sorted(want), name
+
+
+def test_answers_are_found_without_pairing_an_execution(spark):
+    """20,000 facts and 500 questions of one execution: only answers become rows."""
+    from claimloom.operators.asof import answering
+
+    facts = spark.range(20_000).select(F.lit("e").alias("execution_id"), F.col("id").alias("ord"), F.lit("s").alias("subject"), F.when(F.col("id") % 2000 == 0, "situated_in").otherwise(F.concat(F.lit("r"), "id")).alias("relation"), F.lit("o").alias("object"))
+    targets = spark.range(500).select(F.lit("e").alias("execution_id"), F.col("id").cast("int").alias("sub_question_id"), F.lit("location_containment").alias("intent"))
+    out = answering(facts, targets)
+    assert out.count() == 10 * 500
+    assert "CartesianProduct" not in out._jdf.queryExecution().executedPlan().toString() and "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
