@@ -35,7 +35,7 @@ BREAKS = b".,;:!?\n\x0b\x0c\r"
 WORD = W.WordClass(lambda b: b not in b" \t" + BREAKS, fold=True)
 _BREAK = np.array([b in BREAKS for b in range(256)])
 DEPTH = 4
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: Rows that a group has at most by the count of different suffixes in blocks, but for half as many.
 BUDGET = 1 << 20
 DICTIONARY = 1 << 18
@@ -305,12 +305,15 @@ def count(docs: DataFrame, least: int = 30, text: str = "text", lang: str = "lan
         held, lowest = held + sizes[k][0], k
     inside = short & (F.length(F.bin("n")) >= lowest)
     complete = held == sum(a + b for a, b in sizes.values())
-    table = vocabulary.where(inside).toArrow().sort_by([("n", "descending"), ("lang", "ascending"), ("word", "ascending")])
+    table = vocabulary.where(inside).select("key", "n").toArrow().sort_by([("n", "descending"), ("key", "ascending")])
     codes = np.arange(1, len(table) + 1)
     keys = np.asarray(table.column("key")).astype(np.int64).view(np.uint64)
     order = np.argsort(keys)
     known = spark.sparkContext.broadcast((keys[order], codes[order]))
-    spelling = spark.createDataFrame(table.drop_columns(["key"]).append_column("code", pa.array(codes))) if len(table) else spark.createDataFrame([], "lang string, word string, n long, code long")
+    coded = spark.createDataFrame(pa.table({"key": table.column("key"), "code": pa.array(codes, pa.int64())}), "key long, code long")
+    # the words themselves don't come back from the driver, only their codes
+    spelling = keep(vocabulary.where(inside).join(F.broadcast(coded), "key").select("lang", "word", "n", "code"), "spelling")
+    del table
     rest = None if complete else vocabulary.where(~inside).select("lang", "word", "n", F.col("key").bitwiseAND(BEYOND - 1).bitwiseOR(BEYOND).alias("code"))
 
     stated = texts.mapInArrow(_state(known, partition, complete), "group int, n_rows int, rows binary")
