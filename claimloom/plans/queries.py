@@ -731,3 +731,41 @@ def alias_mentions(spark, sf_dir):
     names = aliases.expanded(named).unionByName(aliases.expanded(items.select("entity"), starts).where("alias <> entity"))
     found = aliases.mentioned(_table(spark, sf_dir, "documents"), names, "doc_id")
     return found.select("doc_id", "entity", "n_places", "first_at", F.size("aliases").alias("n_aliases"))
+
+
+@query("SELECT event_id AS id, CASE WHEN event_id % 2 = 0 AND event_type = 'error' THEN 2 ELSE 1 END::INT AS attempt_number, NULL::VARCHAR AS error FROM events")
+def checkpoint_resume(spark, sf_dir):
+    """A run over all events that dies: it appended every second one, errors among them, and left a part that it never committed. The next run takes what is missing or failed; the log is compacted."""
+    from claimloom.operators import reports
+    from claimloom.sources.shared import fresh
+    from claimloom.sources.versions import RowLog
+
+    events = _table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "event_type")
+    log = RowLog(spark, fresh(spark, "log"), "id long, error string, attempt_number int")
+    log.append(events.where("id % 2 = 0").select("id", F.when(F.col("event_type") == "error", "timeout").alias("error"), F.lit(1).alias("attempt_number")))
+    log.versions.write(events.select("id", F.lit("lost").alias("error"), F.lit(9).alias("attempt_number")))
+    asked = reports.resume(events, log.last().withColumn("ord", F.lit(0)), retry_errors=True)
+    log.append(asked.where("not skip").select("id", F.lit(None).cast("string").alias("error"), F.col("attempt").alias("attempt_number")))
+    log.compact()
+    return log.last().select("id", "error", "attempt_number")
+
+
+@query(
+    """SELECT c_custkey::VARCHAR AS execution_id, c_name AS subject, 'located_in' AS relation, n_name AS object, CASE WHEN c_custkey % 2 = 0 THEN 'seen again' ELSE '' END AS evidence, 0::BIGINT AS created_order FROM customer JOIN nation ON c_nationkey = n_nationkey
+    UNION ALL SELECT o_custkey::VARCHAR, 'Order#' || o_orderkey, 'placed_by', c_name, '', o_orderkey::BIGINT FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_custkey % 5 <> 0"""
+)
+def fact_store(spark, sf_dir):
+    """Facts of all customers and orders written by three upserts: the second replaces evidence, the third adds orders; every fifth customer's orders are written under an execution that is then deleted."""
+    from claimloom.sources.shared import fresh
+    from claimloom.sources.store import Store
+
+    store = Store(spark, fresh(spark, "store"), buckets=8)
+    c = _table(spark, sf_dir, "customer").join(_table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    located = c.select("c_custkey", F.col("c_custkey").cast("string").alias("execution_id"), F.col("c_name").alias("subject"), F.lit("located_in").alias("relation"), F.col("n_name").alias("object"), F.lit(0).cast("long").alias("created_order"))
+    orders = _table(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
+    placed = orders.select(F.when(F.col("o_custkey") % 5 == 0, "dropped").otherwise(F.col("o_custkey").cast("string")).alias("execution_id"), F.concat(F.lit("Order#"), "o_orderkey").alias("subject"), F.lit("placed_by").alias("relation"), F.col("c_name").alias("object"), F.col("o_orderkey").cast("long").alias("created_order"))
+    store.upsert_facts(located)
+    store.upsert_facts(located.where("c_custkey % 2 = 0").withColumn("evidence", F.lit("seen again")))
+    store.upsert_facts(placed)
+    store.delete("dropped")
+    return store.all_facts().select("execution_id", "subject", "relation", "object", "evidence", "created_order")
