@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from claimloom.llm.base import fresh_path, keep, qualified, small_batches
 
 CHUNK = 1 << 16
+#: Bytes of payload in a batch that the reader gives on, but for one chunk.
+BATCH = 1 << 22
 INDEX = "record_id long, archive string, at long, bytes long"
 
 
@@ -232,6 +234,7 @@ def _number(urn: str | None) -> int | None:
 def _reader(size: int, bodies: bool):
     def run(batches):
         rows: list[dict] = []
+        held = 0  # bytes of bodies in rows
 
         def batch_of(rows):
             schema = pa.schema([("record_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("stated_bytes", pa.int64()), ("stated_digest", pa.string()), ("chunk", pa.int32()), ("last", pa.bool_()), ("body", pa.binary()), ("n_bytes", pa.int64()), ("digest", pa.string())])
@@ -252,9 +255,10 @@ def _reader(size: int, bodies: bool):
                             chunk += 1
                         digest.update(piece)
                         row = row | {"n_bytes": row["n_bytes"] + len(piece)} | ({"chunk": chunk, "body": piece} if bodies else {})
-                    if sum(len(r["body"] or b"") for r in rows[-64:]) > 1 << 22 or len(rows) >= 2000:
+                        held += len(piece) if bodies else 0
+                    if held >= BATCH or len(rows) >= 2000:
                         yield batch_of(rows)
-                        rows = []
+                        rows, held = [], 0
                 if row is not None:
                     rows.append(row | {"last": True, "digest": _text(digest)})
         if rows:

@@ -511,3 +511,23 @@ def test_windows_grow_until_the_nearest_are_in_reach():
 
 def test_shared_folder_is_the_sessions(spark):
     assert base.shared_dir(spark) and base.keep(spark.range(3)).count() == 3
+
+
+def test_reader_gives_a_long_record_on_in_small_batches(spark, tmp_path):
+    """A record of 50 MB leaves the reader in batches of about 4 MB; its chunks join to it again."""
+    payload = "0123456789abcdef" * (50 << 16)
+    pages = spark.createDataFrame([(1, "http://a/", payload), (2, "http://b/", "short")], "page_id long, url string, html string")
+    index = warc.write(pages, f"file://{tmp_path}/warc").collect()
+    records = {}
+    for r in index:
+        records.setdefault(r["archive"], []).append({"at": r["at"], "bytes": r["bytes"]})
+    batches = [pa.RecordBatch.from_pylist([{"archive": a, "records": x}]) for a, x in records.items()]
+    sizes, bodies, digests = [], {}, {}
+    for batch in warc._reader(warc.CHUNK, True)(iter(batches)):
+        sizes.append(sum(len(b) for b in batch.column("body").to_pylist()))
+        for row in batch.to_pylist():
+            bodies[row["record_id"]] = bodies.get(row["record_id"], b"") + row["body"]
+            digests[row["record_id"]] = row["digest"]
+    assert max(sizes) < 5 << 20 and len(sizes) > 10
+    assert bodies == {1: payload.encode(), 2: b"short"}
+    assert digests[1] == base64.b32encode(hashlib.sha1(payload.encode()).digest()).decode()
