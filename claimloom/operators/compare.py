@@ -210,9 +210,14 @@ def objects_compatible(left: Column, right: Column, intent: Column, claim_relati
 
 
 def objects_conflict(left: Column, right: Column, intent: Column, claim_relation: Column) -> Column:
+    return ~objects_compatible(left, right, intent, claim_relation) & _stated(left, right, intent, claim_relation)
+
+
+def _stated(left: Column, right: Column, intent: Column, claim_relation: Column) -> Column:
+    """Whether two objects that aren't compatible conflict: both say something."""
     i = _comparison_intent(intent, claim_relation)
     a, b = normalize(left), normalize(right)
-    return ~objects_compatible(left, right, intent, claim_relation) & F.when(i.isin(list(R.FAMILIES)), (a != "") & (b != "")).otherwise(a != b)
+    return F.when(i.isin(list(R.FAMILIES)), (a != "") & (b != "")).otherwise(a != b)
 
 
 def compare_for_targets(claims: DataFrame, facts: DataFrame, targets: DataFrame, keys: tuple[str, ...] = ("execution_id",), target_keys: tuple[str, ...] = ("execution_id", "sub_question_id")) -> DataFrame:
@@ -227,9 +232,9 @@ def compare_for_targets(claims: DataFrame, facts: DataFrame, targets: DataFrame,
     met = R.same_family(relation, F.col("raw_relation"), intent) & subjects_compatible(F.col("claim_subject"), F.col("frame_subject"), F.col("primary_subject"), F.col("question"))
     pairs = c.withColumnRenamed("frame_subject", "claim_subject").drop("frame_relation").join(frames, on & met)
     fits = objects_compatible(F.col("object"), F.col("frame_object"), intent, relation)
-    clash = objects_conflict(F.col("object"), F.col("frame_object"), intent, relation)
+    stated = _stated(F.col("object"), F.col("frame_object"), intent, relation)
     frame = F.struct("frame_object", "projected", "fact_alias", "fact")
-    pairs = pairs.select("__claim", "frame_ord", frame.alias("frame"), fits.alias("fits"), clash.alias("clash")).where("fits or clash")
+    pairs = pairs.select("__claim", "frame_ord", frame.alias("frame"), fits.alias("fits"), stated.alias("stated")).withColumn("clash", ~F.col("fits") & F.col("stated")).where("fits or clash")
     best = pairs.groupBy("__claim").agg(F.expr("min_by(frame, frame_ord) filter (where fits)").alias("hit"), F.expr("min_by(frame, frame_ord) filter (where clash)").alias("miss"))
     out = c.join(best, "__claim", "left")
     hit, miss = F.col("hit"), F.when(F.col("hit").isNull(), F.col("miss"))

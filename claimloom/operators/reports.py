@@ -260,7 +260,9 @@ def write_documents(results: DataFrame, folder: str, name: str = "name") -> None
 
 
 def markdown(figures: DataFrame, title: str) -> str:
-    """A small summary table as Markdown; figures have a row for each hop at most."""
-    rows = figures.orderBy(F.asc_nulls_last(figures.columns[0])).limit(1000).collect()
+    """A small summary table as Markdown, a row for each hop; more than 1,000 rows are no summary and an error."""
+    rows = figures.orderBy(F.asc_nulls_last(figures.columns[0])).limit(1001).collect()
+    if len(rows) > 1000:
+        raise ValueError("a summary of more than 1,000 rows")
     lines = [f"# {title}", "", "| " + " | ".join(figures.columns) + " |", "|" + "---|" * len(figures.columns)]
     return "\n".join([*lines, *("| " + " | ".join("all" if v is None else f"{v:.2f}" if isinstance(v, float) else str(v) for v in r) + " |" for r in rows)]) + "\n"

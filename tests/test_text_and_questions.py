@@ -29,12 +29,12 @@ def test_normalizers(spark):
 @pytest.mark.parametrize(
     "text,interval",
     [
-        ("July 16-24, 1969", (7, 16, 7, 24, 1969)),
-        ("between July 16 and July 24, 1969", (7, 16, 7, 24, 1969)),
-        ("between July 16 and 24, 1969", (7, 16, 7, 24, 1969)),
-        ("in 1969 from July 16 to 24", (7, 16, 7, 24, 1969)),
-        ("July 16 through August 2, 1969", (7, 16, 8, 2, 1969)),
-        ("july 16-august 5, 1985", (7, 16, 8, 5, 1985)),
+        ("March 3-9, 1984", (3, 3, 3, 9, 1984)),
+        ("between March 3 and March 9, 1984", (3, 3, 3, 9, 1984)),
+        ("between March 3 and 9, 1984", (3, 3, 3, 9, 1984)),
+        ("in 1984 from March 3 to 9", (3, 3, 3, 9, 1984)),
+        ("May 30 through June 4, 2001", (5, 30, 6, 4, 2001)),
+        ("may 30-june 14, 1992", (5, 30, 6, 14, 1992)),
         ("Smarch 16-24", None),
     ],
 )
@@ -49,10 +49,10 @@ def test_date_intervals(spark, text, interval):
         ("CKD Stage 3B, eGFR 44 mL/min/1.73 m2", "ckd_stage", "stage 3b"),
         ("CKD Stage 3B, eGFR 44 mL/min/1.73 m2", "egfr", "44 mL/min/1.73 m²"),
         ("Hemoglobin A1C is 7.2%", "a1c", "7.2%"),
-        ("Empagliflozin 10 mg once daily", "dose", "10 mg daily"),
-        ("Metformin was discontinued because of severe nausea.", "stopped_med", "Metformin"),
-        ("Metformin was discontinued because of severe nausea.", "stop_reason", "severe nausea"),
-        ("Empagliflozin 10 mg daily", "active_med", "Empagliflozin"),
+        ("Atorvastatin 20 mg once daily", "dose", "20 mg daily"),
+        ("Lisinopril was discontinued because of persistent cough.", "stopped_med", "Lisinopril"),
+        ("Lisinopril was discontinued because of persistent cough.", "stop_reason", "persistent cough"),
+        ("Atorvastatin 20 mg daily", "active_med", "Atorvastatin"),
         ("Penicillin causing hives.", "allergen", "Penicillin"),
         ("Penicillin causing hives.", "reaction", "hives"),
         ("nothing here", "dose", None),
@@ -73,13 +73,13 @@ def test_abstention(spark, text, abstains):
 
 
 INTENTS = [
-    ("Which state contains the town where Neil Armstrong was born?", "location_containment"),
-    ("In which town was the Apollo 11 crew member Neil Armstrong born?", "birthplace"),
-    ("Which company built the first stage of the rocket that launched Apollo 11?", "manufacturer"),
+    ("Which state contains the town where Ada Quill was born?", "location_containment"),
+    ("In which town was the Meridian 4 crew member Ada Quill born?", "birthplace"),
+    ("Which company built the first stage of the rocket that launched Meridian 4?", "manufacturer"),
     ("What is the capital of the state where he was born?", "capital_city"),
-    ("When was the Apollo 11 mission?", "occurrence_date"),
-    ("Who were the astronauts on the Apollo 11 mission?", "crew_members"),
-    ("Where was Apollo 11 launched from?", "launch_site"),
+    ("When was the Meridian 4 mission?", "occurrence_date"),
+    ("Who were the astronauts on the Meridian 4 mission?", "crew_members"),
+    ("Where was Meridian 4 launched from?", "launch_site"),
     ("Which river runs beside the capital?", "general"),
     ("What CKD stage and eGFR does the patient have?", "kidney_status"),
     ("Which medication was discontinued, and why?", "discontinued_medication_with_reason"),
@@ -149,25 +149,25 @@ def test_numbered(spark):
     assert [r["k"] for r in rows if r["batch_error"]] == [1]
 
 
-CHART = "Patient Case A-17 has type 2 diabetes mellitus. The latest hemoglobin A1C is 7.2%. CKD stage 3b with current eGFR 44 mL/min/1.73 m2. Metformin was discontinued after repeated trials caused severe nausea. Empagliflozin 10 mg daily remains active and tolerated. The allergy list records penicillin causing hives. Semaglutide was discussed as a future treatment option."
+CHART = "Patient Case K-52 has type 2 diabetes mellitus. The latest hemoglobin A1C is 6.9%. CKD stage 3b with current eGFR 51 mL/min/1.73 m2. Lisinopril was discontinued after repeated trials caused persistent cough. Atorvastatin 20 mg daily remains active and tolerated. The allergy list records latex causing wheezing. Dapagliflozin was discussed as a future treatment option."
 
 
 @pytest.mark.parametrize(
     "intent,expected",
     [
         ("diagnosis", {("diagnosed_with", "type 2 diabetes mellitus")}),
-        ("lab_measurement", {("has_a1c", "7.2%")}),
-        ("kidney_status", {("has_ckd_stage", "stage 3b"), ("has_egfr", "44 mL/min/1.73 m²")}),
-        ("discontinued_medication_with_reason", {("discontinued_medication", "Metformin"), ("discontinued_because", "severe nausea")}),
-        ("active_medication_with_dose", {("active_medication", "Empagliflozin"), ("daily_dose", "10 mg daily")}),
-        ("allergy_with_reaction", {("allergic_to", "penicillin"), ("causes_reaction", "hives")}),
-        ("discussed_not_started", {("discussed_not_started", "Semaglutide")}),
+        ("lab_measurement", {("has_a1c", "6.9%")}),
+        ("kidney_status", {("has_ckd_stage", "stage 3b"), ("has_egfr", "51 mL/min/1.73 m²")}),
+        ("discontinued_medication_with_reason", {("discontinued_medication", "Lisinopril"), ("discontinued_because", "persistent cough")}),
+        ("active_medication_with_dose", {("active_medication", "Atorvastatin"), ("daily_dose", "20 mg daily")}),
+        ("allergy_with_reaction", {("allergic_to", "latex"), ("causes_reaction", "wheezing")}),
+        ("discussed_not_started", {("discussed_not_started", "Dapagliflozin")}),
     ],
 )
 def test_bootstrap(spark, intent, expected):
-    targets = spark.createDataFrame([("e", 1, "?", intent, "Patient Case A-17", None)], "execution_id string, sub_question_id int, question string, intent string, primary_subject string, canonical_relation string")
+    targets = spark.createDataFrame([("e", 1, "?", intent, "Patient Case K-52", None)], "execution_id string, sub_question_id int, question string, intent string, primary_subject string, canonical_relation string")
     rows = derive.bootstrap(targets, spark.createDataFrame([("e", CHART)], "execution_id string, context string")).collect()
-    assert {(r["relation"], r["object"]) for r in rows} == expected and {r["subject"] for r in rows} == {"Patient Case A-17"}
+    assert {(r["relation"], r["object"]) for r in rows} == expected and {r["subject"] for r in rows} == {"Patient Case K-52"}
 
 
 def test_presidents(spark):
@@ -181,9 +181,9 @@ def test_presidents(spark):
 
 
 def test_labeled_fields(spark):
-    answer = "Diagnosis: type 2 diabetes. Kidney disease: CKD stage 3b, eGFR 44 mL/min. Allergy: penicillin causing hives."
+    answer = "Diagnosis: type 2 diabetes. Kidney disease: CKD stage 3b, eGFR 51 mL/min. Allergy: latex causing wheezing."
     asked = [(1, "What is the diagnosis?"), (2, "What CKD stage?"), (3, "What is the eGFR?"), (4, "Which allergy and reaction?")]
     answers = spark.createDataFrame([("e", answer)], "execution_id string, answer string")
     df = spark.createDataFrame([("e", *a) for a in asked], "execution_id string, sub_question_id int, question string")
     got = {r["sub_question_id"]: r["value"] for r in fields.project(answers, df, ["execution_id"]).collect()}
-    assert got == {1: "type 2 diabetes", 2: "CKD stage 3b", 3: "44 mL/min", 4: "penicillin causing hives"}
+    assert got == {1: "type 2 diabetes", 2: "CKD stage 3b", 3: "51 mL/min", 4: "latex causing wheezing"}
