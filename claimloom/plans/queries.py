@@ -769,3 +769,18 @@ def fact_store(spark, sf_dir):
     store.upsert_facts(placed)
     store.delete("dropped")
     return store.all_facts().select("execution_id", "subject", "relation", "object", "evidence", "created_order")
+
+
+@query("""SELECT conv_id, turn, '{"meta":{"API_Key":"[REDACTED]","turn":"' || turn || '"},"parts":[{"password_hint":"[REDACTED]","role":"' || role || '"}],"counts":{"tokens_used":"[REDACTED]","letters":{"n":' || length(text) || '}}}' AS line FROM conversations""")
+def redacted_events(spark, sf_dir):
+    """All turns of conversations as events whose data has secret keys in a map, in structs of an array, and in a map of structs."""
+    from claimloom.sources import logs
+
+    entry = lambda n: F.struct(n.cast("int").alias("n"))
+    data = F.struct(
+        F.create_map(F.lit("API_Key"), F.col("text"), F.lit("turn"), F.col("turn").cast("string")).alias("meta"),
+        F.array(F.struct(F.col("text").alias("password_hint"), "role")).alias("parts"),
+        F.create_map(F.lit("tokens_used"), entry(F.lit(1)), F.lit("letters"), entry(F.char_length("text"))).alias("counts"),
+    )
+    events = _table(spark, sf_dir, "conversations").select("conv_id", "turn", data.alias("data"))
+    return logs.redacted(events, "data").select("conv_id", "turn", F.to_json("data").alias("line"))

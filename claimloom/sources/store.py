@@ -169,9 +169,3 @@ class Store:
     def vacuum(self) -> int:
         """Delete files that the newest versions don't have; returns how many folders. Only when nobody reads or writes."""
         return sum(self._versions(name).vacuum() for name in ("facts", "claims", "examples"))
-
-
-def redacted(events: DataFrame, column: str = "data", fragments: tuple[str, ...] = ("password", "secret", "token", "api_key", "authorization")) -> DataFrame:
-    """A map column whose values are hidden where the key has one of the fragments."""
-    pattern = "(?i)" + "|".join(fragments)
-    return events.withColumn(column, F.transform_values(column, lambda k, v: F.when(k.rlike(pattern), F.lit("[REDACTED]")).otherwise(v)))
