@@ -6,7 +6,7 @@ windows are joined on that shingle; then come the bounds on position (the window
 length, and the comparison of all the window's words (as 64-bit hashes) with the document's.
 
 Documents are read once, by a scan over Arrow buffers that keeps only places whose shingle may occur in the benchmark: a
-filter (two probes; 2**22 to 2**28 places, 32 MB at most) tells. It has eight places or more a shingle up to 2**25 shingles of the benchmark;
+filter (two probes; 2**22 to 2**28 places, 32 MB at most, packed in the tasks as well) tells. It has eight places or more a shingle up to 2**25 shingles of the benchmark;
 beyond, more places of documents pass it, and the joins do the rest.
 A benchmark with more windows than `broadcast_rows` is joined by a shuffle.
 
@@ -72,11 +72,16 @@ def _probe(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(((h >> np.uint64(shift)) & mask).astype(np.int64) for shift in _shifts(bits))
 
 
+def _bit(held: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """1 where the place is set in a filter of 64 places a word."""
+    return (held[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
+
+
 def _places(table, bits: int, sizes: list[int], window: int):
     """For each document its words' number, and the places whose shingle passes the filter, with the words around them."""
 
     def run(batches):
-        held = np.unpackbits(np.frombuffer(table.value, np.uint8)).view(bool)
+        held = np.frombuffer(table.value, np.uint64)
         for batch in batches:
             data, offsets = W.buffer_of(batch.column(1))
             hashes, first = W.scan(data, offsets, W.ALNUM_LOWER)
@@ -84,7 +89,7 @@ def _places(table, bits: int, sizes: list[int], window: int):
             for size in sizes:
                 grams = W.ngrams(hashes, size)
                 a, b = _probe(grams, bits)
-                hit = np.flatnonzero(held[a] & held[b])
+                hit = np.flatnonzero(_bit(held, a) & _bit(held, b))
                 doc = np.searchsorted(first, hit, "right") - 1
                 hit = hit[hit + size <= first[doc + 1]]
                 at.append(hit)
@@ -116,13 +121,14 @@ def occurrences(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     sizes = sorted(r[0] for r in windows.select(F.least(F.size("words"), F.lit(SHINGLE)).alias("n")).distinct().collect())
     n = windows.count()
     bits = min(max(FILTER_BITS[0], int(8 * n).bit_length()), FILTER_BITS[1])
-    held = np.zeros(1 << bits, bool)
+    held = np.zeros(1 << (bits - 6), np.uint64)
     mask = (1 << bits) - 1
     probes = F.explode(F.array(*[F.shiftrightunsigned("shingle", s).bitwiseAND(F.lit(mask)) for s in _shifts(bits)])).alias("p")
-    # a word of 64 places a row, however many windows there are
-    for row in windows.select(probes).select(F.shiftright("p", 6).alias("w"), (F.col("p") % 64).cast("int").alias("b")).distinct().groupBy("w").agg(F.collect_list("b").alias("b")).toLocalIterator():
-        held[np.array(row["b"], np.int64) + (row["w"] << 6)] = True
-    table = spark.sparkContext.broadcast(np.packbits(held).tobytes())
+    # a word of 64 places a row, however many windows there are; the filter stays packed here and in the tasks
+    words = windows.select(probes).select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("b"))
+    for row in words.groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():
+        held[row["w"]] = row["b"] & (1 << 64) - 1
+    table = spark.sparkContext.broadcast(held.tobytes())
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     schema = "doc_id long, text_hash long, n_words long, found array<struct<at:int,shingle:long,low:int,around:array<long>>>"
     # once written, rows have numbers of their own that stay: ids may be null or repeated

@@ -10,8 +10,9 @@ The windows of a query stop growing when the nearest ones found are in reach: wh
 which a vector is expected to be over the threshold by CERTAINTY standard deviations. So a query in a dense cluster looks at little, one
 among points that are all about as far away (random ones in many dimensions) at much.
 
-The arrays are made for shards of about SHARD vectors, dealt by a hash of the id. Queries are sent to every shard in blocks:
-a task has one shard and one block, first the shard's vectors, then the queries in a stream. In one shard of several, fewer than k of the
+The arrays are made for shards of about SHARD vectors, dealt by a hash of the id. A task has one shard, first its vectors, then
+all queries in a stream, so vectors are shuffled once and their arrays sorted once. Only where there are fewer shards than
+shuffle partitions are queries dealt to blocks, each with a copy of the shard (`blocks`), so copies don't grow with the table. In one shard of several, fewer than k of the
 nearest are to be expected: their mean plus three standard deviations have to be in reach. The shards' best k are merged.
 
 Recall on the test tables is above 0.9 at k = 20 (README). Defined results: vectors that are null, zero, or hold null or
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from claimloom.llm.base import keep
 
 PROJECTIONS = 128
-#: Vectors in a shard, and queries in a block: a task has one of each.
+#: Vectors in a shard, and the least queries that are worth a copy of one.
 SHARD, BLOCK = 16_384, 2_048
 #: The collision threshold, as a share of the projections.
 COLLISIONS = 0.5
@@ -178,6 +179,11 @@ class _Query:
         self.found, self.scores = found[best], scores[best]
 
 
+def blocks(asked: int, shards: int, tasks: int, block_rows: int = BLOCK) -> int:
+    """Into how many blocks the queries are dealt, and so how often a vector is sent: no more often than it takes to give `tasks` tasks work."""
+    return max(1, min(-(-asked // block_rows), -(-tasks // shards)))
+
+
 def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
@@ -230,24 +236,26 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "v
     # a query is known by a number of its own, so that repeated queries are answered each
     asked = keep(rows(queries).withColumn("query", F.monotonically_increasing_id()), "queries")
     n_asked = {r["dims"]: r["n"] for r in asked.groupBy(F.size("v").alias("dims")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = spark.createDataFrame([], FOUND)
     for size in sizes:
         if size["dims"] not in n_asked:
             continue
-        shards, blocks = -(-size["n"] // shard_rows), -(-n_asked[size["dims"]] // block_rows)
+        shards = -(-size["n"] // shard_rows)
+        copies = blocks(n_asked[size["dims"]], shards, tasks, block_rows)
         share = 1 / shards
         enough = min(k, math.ceil(k * share + 3 * math.sqrt(k * share * (1 - share))))
         fits = F.size("v") == size["dims"]
         shard = F.pmod(F.xxhash64("id"), F.lit(shards))
-        block = F.pmod(F.xxhash64(F.lit(3), "query"), F.lit(blocks))
+        block = F.pmod(F.xxhash64(F.lit(3), "query"), F.lit(copies))
 
         def each(n: int) -> Column:
             return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
 
-        data = index.where(fits).select(shard.alias("shard"), each(blocks).alias("block"), F.lit(None).cast("long").alias("query"), "id", "v")
+        data = index.where(fits).select(shard.alias("shard"), each(copies).alias("block"), F.lit(None).cast("long").alias("query"), "id", "v")
         sent = asked.where(fits).select(each(shards).alias("shard"), block.alias("block"), "query", "id", "v")
-        dealt = data.unionAll(sent).select((F.col("shard") * blocks + F.col("block")).alias("task"), "query", "id", "v")
-        dealt = dealt.repartition(shards * blocks, "task").sortWithinPartitions("task", F.col("query").asc_nulls_first())
+        dealt = data.unionAll(sent).select((F.col("shard") * copies + F.col("block")).alias("task"), "query", "id", "v")
+        dealt = dealt.repartition(shards * copies, "task").sortWithinPartitions("task", F.col("query").asc_nulls_first())
         found = found.unionAll(dealt.mapInArrow(_search(k, enough, float(np.sqrt(size["m"])), True), FOUND))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

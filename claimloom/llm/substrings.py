@@ -243,7 +243,10 @@ def trim(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: in
     for k in range(batches):
         part = per_doc if batches == 1 else per_doc.where(F.pmod(F.xxhash64("doc"), F.lit(batches)) == k)
         found.append(index.add(part.select(F.explode("fingerprints").alias("fingerprint"))))
-        index.compact()
+        if lasting:
+            index.compact()
+        elif k + 1 < batches:  # a merged run is for batches that come after it
+            index.compact(at_least=max(2, batches - 1))
     repeated = keep(functools.reduce(DataFrame.unionAll, found).distinct(), "repeated")
     owners = keep(per_doc.select("doc", F.explode(F.array_distinct("fingerprints")).alias("fingerprint")).join(repeated, "fingerprint"), "owners")
     repeated_of = owners.groupBy("doc").agg(F.collect_set("fingerprint").alias("repeated"))

@@ -493,6 +493,23 @@ def test_nearest_neighbours(spark):
     assert len(few) == 4
 
 
+def test_copies_of_a_shard_dont_grow_with_the_table():
+    def copies(n):
+        return neighbours.blocks(n // 20, -(-n // neighbours.SHARD), 200)
+
+    assert copies(2_000) == 1 and copies(50_000) == 2  # few shards: queries are dealt, but in blocks that are worth it
+    assert max(copies(n) * n for n in range(10_000, 20_000_000, 50_000)) <= 20_000_000 + 200 * neighbours.SHARD
+    assert copies(100_000_000) == 1
+
+
+def test_filter_of_places_stays_packed():
+    places = np.array([0, 5, 63, 64, 1000])
+    held = np.zeros(16, np.uint64)
+    for at in places.tolist():
+        held[at >> 6] |= np.uint64(1 << (at & 63))
+    assert np.flatnonzero(decontaminate._bit(held, np.arange(1024))).tolist() == places.tolist()
+
+
 def test_windows_grow_until_the_nearest_are_in_reach():
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(60, 32))
