@@ -117,8 +117,8 @@ def locality(questions: DataFrame, contexts: DataFrame, keys: list[str], warn_at
     rows = questions.join(sentences, keys, "left").withColumn("answer_norm", normalize_entity("answer"))
     has = (F.col("answer_norm") != "") & F.contains(normalize_entity("sentence"), F.col("answer_norm"))
     overlap = F.size(F.array_intersect(content_tokens("question"), content_tokens("sentence")))
-    best = F.max_by(F.struct("sentence", "overlap"), F.struct("overlap", -F.col("at")))
-    rows = rows.withColumn("overlap", F.when(has, overlap)).groupBy(*keys).agg(best.alias("b"))
+    best = F.max_by(F.struct("sentence", "overlap"), F.when(has, F.struct("overlap", -F.col("at"))))  # sentences without the answer are no candidates
+    rows = rows.withColumn("overlap", overlap).groupBy(*keys).agg(best.alias("b"))
     warning = F.coalesce(F.col("b.overlap") >= warn_at, F.lit(False))
     return rows.select(*keys, F.coalesce("b.sentence", F.lit("")).alias("sentence"), F.col("b").isNotNull().alias("answer_in_one_sentence"), warning.alias("warning"), F.when(warning, "WARNING").otherwise("PASS").alias("status"))
 

@@ -571,6 +571,51 @@ def stop_ladder(spark, sf_dir):
     return iteration.stop_decision(rows).select("id", "stop_reason", "sub_reason")
 
 
+@query(
+    """WITH c AS (SELECT c_custkey AS k, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+    sets AS (SELECT r_name, count(k) AS n FROM (SELECT DISTINCT r_name FROM region JOIN nation ON n_regionkey = r_regionkey) LEFT JOIN c USING (r_name) GROUP BY r_name),
+    broken AS (SELECT unnest([CASE WHEN k % 3 = 0 THEN 'edge_absent' END, CASE WHEN k % 3 = 0 THEN 'required_relations' END, CASE WHEN k % 5 = 0 THEN 'required_entities' END, CASE WHEN k % 7 = 0 THEN 'path_length' END,
+        CASE WHEN k % 7 = 0 THEN 'anchor_distance' END, CASE WHEN k % 11 = 0 THEN 'discourse_markers' END, CASE WHEN k % 13 = 0 THEN 'final_subject_mentioned' END, CASE WHEN k % 13 = 0 THEN 'shortcut_mentioned' END,
+        CASE WHEN k % 17 = 0 THEN 'graph_root' END, CASE WHEN k % 19 = 0 AND row_number() OVER (PARTITION BY r_name, k % 19 ORDER BY k) > 1 THEN 'duplicate_id' END, 'detection_missing', 'audit_missing']) AS rule FROM c
+    UNION ALL SELECT unnest([CASE WHEN n <> 50 THEN 'question_count' END, 'hop_distribution', 'few_long_branches', 'node_count_declared']) FROM sets)
+    SELECT rule, count(*)::BIGINT AS n FROM broken WHERE rule IS NOT NULL GROUP BY rule"""
+)
+def validation_rules(spark, sf_dir):
+    """A set for each region, a question for each customer (of which part of the world?); faults by the customer's key."""
+    from claimloom.operators import rules
+
+    customer, nation, region = (_table(spark, sf_dir, n) for n in ("customer", "nation", "region"))
+    places = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    c = customer.join(places, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("r_name").alias("set_id"), F.col("c_custkey").cast("long").alias("ord"), "c_name", "n_name", "r_name")
+    lies = places.select(F.col("r_name").alias("set_id"), (-F.col("n_nationkey") - 1).cast("long").alias("ord"), F.col("n_name").alias("subject"), F.lit("part_of").alias("relation"), F.col("r_name").alias("object"))
+    facts = c.select("set_id", "ord", F.col("c_name").alias("subject"), F.lit("located_in").alias("relation"), F.col("n_name").alias("object")).unionAll(lies)
+
+    def fault(every, then, otherwise):
+        return F.when(F.col("ord") % every == 0, then).otherwise(otherwise)
+
+    def edge(a, relation, b):
+        return F.struct(F.col(a).alias("subject"), relation.alias("relation"), F.col(b).alias("object"))
+
+    questions = c.select(
+        "set_id",
+        "ord",
+        fault(19, F.lit("q0"), F.concat(F.lit("q"), "ord")).alias("id"),
+        fault(7, F.lit(3), F.lit(2)).alias("hop_count"),
+        F.concat(F.lit("Which part of the world does "), "c_name", F.lit(" come from"), fault(13, F.concat(F.lit(" by way of "), "n_name"), F.lit("")), fault(11, F.lit(" in those days?"), F.lit("?"))).alias("question"),
+        F.col("r_name").alias("expected_answer"),
+        F.array(edge("c_name", F.lit("located_in"), "n_name"), edge("n_name", fault(3, F.lit("inside"), F.lit("part_of")), "r_name")).alias("expected_path"),
+        fault(5, F.array("c_name"), F.array("r_name", "c_name", "n_name")).alias("required_entities"),
+        F.array(F.lit("part_of"), F.lit("located_in")).alias("required_relations"),
+        F.array("c_name").alias("question_anchor_entities"),
+        F.array("c_name").alias("reasoning_anchor_entities"),
+        fault(17, F.lit("nowhere"), F.col("r_name")).alias("graph_root_entity"),
+        F.lit(rules.LABEL).alias("hop_semantics"),
+    )
+    size = facts.groupBy("set_id").agg(F.count(F.lit(1)).alias("edge_count_designed"))
+    sets = size.select("set_id", F.col("set_id").alias("root_entity"), F.lit("Places and who lives there.").alias("trusted_context"), F.lit(True).alias("enforce_hops"), "edge_count_designed", F.col("edge_count_designed").alias("node_count"))
+    return rules.validate(sets, questions, facts).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT n_nationkey::INT AS sub_question_id, CASE n_nationkey % 3 WHEN 2 THEN 'STALLED' ELSE 'RESOLVED' END AS stop_reason, CASE n_nationkey % 3 WHEN 0 THEN 0 ELSE 1 END AS iteration FROM nation")
 def iterate_batch(spark, sf_dir):
     """Every nation's region, asked with a model that is right, right after a correction, or never."""
