@@ -241,3 +241,22 @@ def test_answers_are_found_without_pairing_an_execution(spark):
     out = answering(facts, targets)
     assert out.count() == 10 * 500
     assert "CartesianProduct" not in out._jdf.queryExecution().executedPlan().toString() and "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_components_write_a_few_times_the_nodes(spark, monkeypatch):
+    stars = [(f"n{k:02d} leaf {i}", "in", f"n{k:02d}") for k in range(20) for i in range(30)] + [(f"n{k:02d}", "in", f"n{k + 1:02d}") for k in range(19)]
+    facts, written = facts_of(spark, stars), []
+    plain = paths.cut
+    monkeypatch.setattr(paths, "cut", lambda df: (rows := plain(df), written.append(rows.count()))[0])
+    got = paths.components(facts).collect()
+    assert len(got) == 620 and {r["component"] for r in got} == {"n00"}
+    assert sum(written) < 2 * 620  # rounds over all edges wrote several times that
+
+
+def test_component_figures_need_no_labels_of_leaves(spark, monkeypatch):
+    facts, written = facts_of(spark, [(f"n{k:02d} leaf {i}", "in", f"n{k:02d}") for k in range(20) for i in range(30)] * 2), []
+    plain = paths.cut
+    monkeypatch.setattr(paths, "cut", lambda df: (rows := plain(df), written.append(rows.count()))[0])
+    row = paths.graph_metrics(facts).first()
+    assert (row["edges"], row["duplicates"], row["relations"], row["components"]) == (1200, 600, 1, 20)
+    assert written[0] == 600  # different edges, before that all of them
