@@ -187,3 +187,16 @@ def test_labeled_fields(spark):
     df = spark.createDataFrame([("e", *a) for a in asked], "execution_id string, sub_question_id int, question string")
     got = {r["sub_question_id"]: r["value"] for r in fields.project(answers, df, ["execution_id"]).collect()}
     assert got == {1: "type 2 diabetes", 2: "CKD stage 3b", 3: "51 mL/min", 4: "latex causing wheezing"}
+
+
+def test_bootstrap_reads_contexts_once(spark):
+    from claimloom.operators import derive
+
+    context = "Patient Case 1 has condition X disease. A1C is 7%. Alpha 10 mg daily remains active. The allergy list records Beta causing rash."
+    contexts = spark.createDataFrame([("e", context)], "execution_id string, context string")
+    rows = [("e", k, i, None) for k, i in enumerate(("diagnosis", "lab_measurement", "active_medication_with_dose", "allergy", "general"))]
+    targets = spark.createDataFrame(rows, "execution_id string, sub_question_id int, intent string, primary_subject string")
+    found = derive.bootstrap(targets, contexts)
+    got = {(r["sub_question_id"], r["ord"]): (r["relation"], r["object"]) for r in found.collect()}
+    assert got == {(0, 0): ("diagnosed_with", "condition X disease"), (1, 0): ("has_a1c", "7%"), (2, 0): ("active_medication", "Alpha"), (2, 1): ("daily_dose", "10 mg daily"), (3, 0): ("allergic_to", "Beta")}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
