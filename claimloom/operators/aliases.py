@@ -2,7 +2,8 @@
 
 Texts and names become tokens: runs of ASCII letters and digits in lower case, and other letters one by one, which no name has, so a name can't reach across them.
 What lies between tokens doesn't matter. A name is looked up only where its first token stands and only in the lengths that names with
-that first token have; names and stretches of text are equi-joined on the tokens, so work grows with the text and with what is found in it, not with texts times names.
+that first token have; stretches of text that a broadcast filter of the names lets through are equi-joined with them on the tokens, so work grows with the text, and what is
+shuffled with what is found in it, not with texts times names.
 """
 
 from __future__ import annotations
@@ -10,9 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimloom.sources.shared import cut
+
 TOKEN = r"[a-z0-9]+|[\p{L}\p{N}]"
 #: Tokens of a text that one row holds at most.
 STRETCH = 1000
+#: First tokens of names are broadcast up to so many; more are joined by a shuffle.
+FIRST = 100_000
+#: Places of the filter that names are marked in: 64 a row.
+FILTER = 2**26
 
 
 def tokens(text: Column | str) -> Column:
@@ -38,8 +45,12 @@ def occurrences(texts: DataFrame, names: DataFrame, id: str = "id", text: str =
 
     names: what expanded() gives. Rows with null or empty texts give none; ids that repeat are told apart by nothing.
     """
+    names = cut(names)
     lengths = names.select(F.substring_index("key", " ", 1).alias("first"), "n").groupBy("first").agg(F.array_sort(F.collect_set("n")).alias("lengths"))
-    most = names.agg(F.max("n")).first()[0] or 1
+    n_first, most, n_names = names.agg(F.count_distinct(F.substring_index("key", " ", 1)), F.max("n"), F.count(F.lit(1))).first()
+    most = most or 1
+    if n_first <= FIRST:  # else every token of every text is shuffled
+        lengths = F.broadcast(lengths)
     found = texts.select(id, tokens(text).alias("t")).where("size(t) > 0")
     # a text's tokens in stretches, so that no row holds more, each with as many of the next one's as a name may need
     parts = F.transform(F.sequence(F.lit(0), F.size("t") - 1, F.lit(STRETCH)), lambda i: F.struct(i.alias("base"), F.slice("t", i + 1, F.lit(STRETCH + most - 1)).alias("t")))
@@ -47,7 +58,15 @@ def occurrences(texts: DataFrame, names: DataFrame, id: str = "id", text: str =
     ahead = F.transform(F.slice("t", F.lit(1), F.lit(STRETCH)), lambda x, i: F.struct(x.alias("first"), F.slice("t", i + 1, F.lit(most)).alias("ahead")))
     places = parts.select(id, "base", F.posexplode(ahead).alias("i", "p")).select(id, (F.col("base") + F.col("i")).alias("at"), "p.*")
     tried = places.join(lengths, "first").select(id, "at", "ahead", F.explode("lengths").alias("n")).where(F.size("ahead") >= F.col("n"))
-    return tried.select(id, "at", "n", F.array_join(F.slice("ahead", F.lit(1), F.col("n")), " ").alias("key")).join(names, ["key", "n"]).select(id, "entity", "alias", "at", "n")
+    tried = tried.select(id, "at", "n", F.array_join(F.slice("ahead", F.lit(1), F.col("n")), " ").alias("key"))
+    size = 64  # places are about 16 times the names, so few stretches that are no names go on
+    while size < min(16 * n_names, FILTER):
+        size *= 2
+    place = F.pmod(F.xxhash64("key"), F.lit(size))
+    word, bit = F.shiftright(place, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("bit")
+    marks = names.select(word, bit).groupBy("word").agg(F.bit_or("bit").alias("marks"))
+    likely = tried.select("*", word, bit).join(F.broadcast(marks), "word").where(F.col("marks").bitwiseAND(F.col("bit")) != 0).drop("word", "bit", "marks")
+    return likely.join(names, ["key", "n"]).select(id, "entity", "alias", "at", "n")
 
 
 def mentioned(texts: DataFrame, names: DataFrame, id: str = "id", text: str = "text") -> DataFrame:

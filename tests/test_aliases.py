@@ -68,3 +68,17 @@ def test_words_that_lean_on_text_before(spark):
     rows = [(1, "What did THOSE machines run?"), (2, "Thatcher and nothing else"), (3, None)]
     got = [r["m"] for r in spark.createDataFrame(rows, "id int, text string").orderBy("id").select(L.discourse("text").alias("m")).collect()]
     assert got == [["those", "those machines"], [], []]
+
+
+def test_only_likely_stretches_are_shuffled(spark):
+    from claimloom.operators import aliases
+
+    texts = spark.createDataFrame([(i, f"the red ball and the blue ball {i} of the green one") for i in range(50)], "id int, text string")
+    names = aliases.expanded(spark.createDataFrame([("the red ball",), ("the blue",), ("the missing name",)], "entity string"))
+    found = aliases.mentioned(texts, names)
+    assert {(r["entity"], r["n_places"], r["first_at"]) for r in found.collect()} == {("the red ball", 1, 0), ("the blue", 1, 4)} and found.count() == 100
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert aliases.mentioned(texts, names)._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") >= 2  # first tokens and the filter, before anything is shuffled
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
