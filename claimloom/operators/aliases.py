@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.sources.shared import cut
+from claimloom.sources.shared import beside, cut
 
 TOKEN = r"[a-z0-9]+|[\p{L}\p{N}]"
 #: Tokens of a text that one row holds at most.
@@ -66,7 +66,7 @@ def occurrences(texts: DataFrame, names: DataFrame, id: str = "id", text: str =
     word, bit = F.shiftright(place, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("bit")
     marks = names.select(word, bit).groupBy("word").agg(F.bit_or("bit").alias("marks"))
     likely = tried.select("*", word, bit).join(F.broadcast(marks), "word").where(F.col("marks").bitwiseAND(F.col("bit")) != 0).drop("word", "bit", "marks")
-    return likely.join(names, ["key", "n"]).select(id, "entity", "alias", "at", "n")
+    return likely.join(beside(names, n_names), ["key", "n"]).select(id, "entity", "alias", "at", "n")
 
 
 def mentioned(texts: DataFrame, names: DataFrame, id: str = "id", text: str = "text") -> DataFrame:

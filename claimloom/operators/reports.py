@@ -111,10 +111,11 @@ def run_type(provider: str, selected: int, total: int, done: int) -> str:
     return "full_real" if selected == total == done else "partial_real"
 
 
-def locality(questions: DataFrame, contexts: DataFrame, keys: list[str], warn_at: int = 5) -> DataFrame:
-    """keys, sentence, overlap, warning, status: the sentence of the context that has the answer and most of the question's words, the earliest of several."""
-    sentences = contexts.select(*keys, F.posexplode(flat_sentences("context")).alias("at", "sentence"))
-    rows = questions.join(sentences, keys, "left").withColumn("answer_norm", normalize_entity("answer"))
+def locality(questions: DataFrame, contexts: DataFrame, keys: list[str], warn_at: int = 5, on: list[str] | None = None) -> DataFrame:
+    """keys, sentence, overlap, warning, status: the sentence of the context that has the answer and most of the question's words, the earliest of several. on: those of the keys that a context has, if it is not each question's own."""
+    on = on or keys
+    sentences = contexts.select(*on, F.posexplode(flat_sentences("context")).alias("at", "sentence"))
+    rows = questions.join(sentences, on, "left").withColumn("answer_norm", normalize_entity("answer"))
     has = (F.col("answer_norm") != "") & F.contains(normalize_entity("sentence"), F.col("answer_norm"))
     overlap = F.size(F.array_intersect(content_tokens("question"), content_tokens("sentence")))
     best = F.max_by(F.struct("sentence", "overlap"), F.when(has, F.struct("overlap", -F.col("at"))))  # sentences without the answer are no candidates

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from claimloom.functions.text import normalize
 from claimloom.operators.aliases import discourse, expanded, mentioned
-from claimloom.operators.paths import MAX_DEPTH, contiguous, distances, edges, graph_metrics, path_nodes
+from claimloom.operators.paths import MAX_DEPTH, contiguous, distances, graph_metrics, path_nodes
 from claimloom.operators.reports import locality
-from claimloom.sources.shared import cut
+from claimloom.sources.shared import beside, cut
 
 KEY = ["set_id", "ord"]
 
@@ -149,6 +149,7 @@ def question_evidence(sets: DataFrame, questions: DataFrame, facts: DataFrame, a
     c = F.col
     sets, asked = _with(sets, SETS), _with(questions, REQUIRED | OPTIONAL).select(*KEY, *REQUIRED, *OPTIONAL)
     asked = asked.join(sets.select("set_id", "root_entity", "trusted_context", F.coalesce("enforce_hops", F.lit(False)).alias("enforce_hops")), "set_id")
+    asked = asked.repartition(*KEY)  # short rows, of which a file has many for one task
     path, last = c("expected_path"), F.try_element_at("expected_path", F.lit(-1))
     missing = c("id").isNull()
     for name in [*REQUIRED][1:]:
@@ -169,37 +170,42 @@ def question_evidence(sets: DataFrame, questions: DataFrame, facts: DataFrame, a
         "markers": discourse(F.coalesce("question", F.lit(""))),
     })
     asked = cut(asked)
-    first = asked.groupBy("set_id", "id").agg(F.min("ord").alias("first_ord"))
-    known = facts.select("set_id", "subject", "relation", "object").distinct()
+    n, n_sets = asked.agg(F.count(F.lit(1)), F.count_distinct("set_id")).first()
+    # what is found out of questions stands by KEY, so that their long rows are shuffled once
+    first = asked.where("id is not null").groupBy("set_id", "id").agg(F.min("ord").alias("ord")).select(*KEY, F.lit(True).alias("first")).distinct()
+    known = cut(facts.select("set_id", "subject", "relation", "object").distinct())
     steps = asked.select(*KEY, F.explode("expected_path").alias("e")).select(*KEY, "e.*")
-    absent = steps.join(known, ["set_id", "subject", "relation", "object"], "left_anti").select(*KEY).distinct().withColumn("edge_absent", F.lit(True))
-    nodes = facts.select("set_id", F.explode(F.array("subject", "object")).alias("entity")).where("entity is not null").distinct()
+    absent = steps.join(beside(known), ["set_id", "subject", "relation", "object"], "left_anti").select(*KEY).distinct().withColumn("edge_absent", F.lit(True))
+    nodes = cut(known.select("set_id", F.explode(F.array("subject", "object")).alias("entity")).where("entity is not null").distinct())
+    n_nodes = nodes.count()
+    answered = asked.select(*KEY, c("expected_answer").alias("entity")).join(beside(nodes, n_nodes), ["set_id", "entity"], "left_semi").select(*KEY).distinct().withColumn("answer_known", F.lit(True))
 
     # names in the questions' texts: the graphs' own, and those of answers and paths
     names = nodes.select("entity").unionAll(asked.select("expected_answer")).unionAll(asked.select(F.explode("path_entities"))).distinct()
-    found = mentioned(asked.select(F.struct(*KEY).alias("q"), "question"), expanded(names, aliases), "q", "question").select("q.*", "entity", "aliases")
-    found = cut(found.join(nodes.withColumn("in_graph", F.lit(True)), ["set_id", "entity"], "left"))
+    found = mentioned(asked.select(F.struct(*KEY, c("expected_answer").alias("answer")).alias("q"), "question"), expanded(names, aliases), "q", "question").select("q.*", "entity", "aliases")
+    found = cut(found.join(beside(nodes.withColumn("in_graph", F.lit(True)), n_nodes), ["set_id", "entity"], "left"))
     # one search a set and answer, against the edges, tells how far all its names are
     answers = asked.select("set_id", c("expected_answer").alias("answer")).where("answer is not null").distinct().withColumn("node", normalize("answer"))
-    against = edges(facts, ("set_id",)).select("set_id", c("v").alias("u"), c("u").alias("v"))
+    against = known.select("set_id", normalize("object").alias("u"), normalize("subject").alias("v"))
     far = cut(distances(answers, against, ("set_id",), most, ("answer",)))
     asks = asked.select(*KEY, c("expected_answer").alias("answer"), F.array_append(F.transform("anchors", lambda a: F.struct(F.lit("anchor").alias("role"), a.alias("entity"))), F.struct(F.lit("root").alias("role"), c("root_entity").alias("entity"))).alias("x"))
     asks = asks.select(*KEY, "answer", F.explode("x").alias("x")).select(*KEY, "answer", "x.*")
-    asks = asks.unionByName(found.where("in_graph").select(*KEY, "entity", F.lit("found").alias("role")).join(asked.select(*KEY, c("expected_answer").alias("answer")), KEY))
-    depths = asks.withColumn("node", normalize("entity")).join(far, ["set_id", "answer", "node"])
+    asks = asks.unionByName(found.where("in_graph").select(*KEY, "answer", F.lit("found").alias("role"), "entity"))
+    depths = asks.withColumn("node", normalize("entity")).join(beside(far), ["set_id", "answer", "node"])
     depths = depths.groupBy(*KEY).agg(
         F.min(F.when(c("role") == "anchor", c("depth"))).alias("anchor_distance"),
         F.min(F.when(c("role") == "root", c("depth"))).alias("root_distance"),
         F.collect_set(F.when(c("role") == "found", F.struct("entity", "node", "depth"))).alias("near"),
     )
     seen = found.groupBy(*KEY).agg(F.collect_set(F.struct("entity", normalize("entity").alias("label"), "in_graph", "aliases")).alias("seen"))
-    local = locality(asked.select(*KEY, "question", c("expected_answer").alias("answer")), asked.select(*KEY, c("trusted_context").alias("context")), KEY)
+    contexts = asked.select("set_id", c("trusted_context").alias("context")).distinct()
+    local = locality(asked.select(*KEY, "question", c("expected_answer").alias("answer")), beside(contexts, n_sets), KEY, on=["set_id"])
     local = local.select(*KEY, F.struct("sentence", "answer_in_one_sentence", "warning", "status").alias("locality"))
 
-    x = asked.join(first, ["set_id", "id"], "left").withColumn("repeated", F.coalesce(c("ord") > c("first_ord"), F.lit(False)))
-    x = x.join(absent, KEY, "left").join(nodes.select("set_id", c("entity").alias("expected_answer"), F.lit(True).alias("answer_known")), ["set_id", "expected_answer"], "left")
-    x = x.join(depths, KEY, "left").join(seen, KEY, "left").join(local, KEY, "left")
-    x = x.withColumns({"edge_absent": F.coalesce("edge_absent", F.lit(False)), "answer_known": F.coalesce("answer_known", F.lit(False))})
+    x = asked
+    for part in (first, absent, answered, depths, seen, local):
+        x = x.join(beside(part, n), KEY, "left")
+    x = x.withColumns({"repeated": c("id").isNotNull() & c("ord").isNotNull() & c("first").isNull(), "edge_absent": F.coalesce("edge_absent", F.lit(False)), "answer_known": F.coalesce("answer_known", F.lit(False))})
     return x.withColumns({
         "detected_labels": F.expr("transform(filter(coalesce(seen, array()), s -> s.in_graph), s -> s.label)"),
         "anchor_aliases": F.expr("array_sort(flatten(transform(filter(coalesce(seen, array()), s -> array_contains(anchors, s.entity)), s -> s.aliases)))"),

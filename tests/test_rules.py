@@ -177,3 +177,30 @@ def test_no_questions_and_no_facts(spark, frames):
     none = spark.createDataFrame([], QUESTIONS)
     assert {r["scope"] for r in rules.validate(sets, none, facts).collect()} == {"set"}
     assert rules.validate(sets.where("false"), none, facts.where("false"), provenance=True).count() == 0
+
+
+def test_many_questions_are_not_broadcast(spark, frames, monkeypatch):
+    """Their files are small, so Spark would send them to every executor by way of the driver."""
+    from claimloom.sources import shared
+
+    sets, facts = frames
+    asked = spark.createDataFrame([values(changed(0, {}))], QUESTIONS)
+
+    def plan():
+        return rules.question_evidence(sets, asked, facts)._jdf.queryExecution().executedPlan().toString()
+
+    assert "BroadcastHashJoin [set_id#" in plan()
+    monkeypatch.setattr(shared, "BROADCAST", 0)
+    after = plan()
+    assert "BroadcastHashJoin [set_id#" not in after and "SortMergeJoin [set_id#" in after
+
+
+def test_many_nodes_are_not_broadcast(spark, monkeypatch):
+    from claimloom.operators import paths
+    from claimloom.sources import shared
+
+    monkeypatch.setattr(shared, "BROADCAST", 0)
+    facts = spark.createDataFrame([("e", k, a, "leads", b) for k, (a, b) in enumerate([*zip(CHAIN, CHAIN[1:], strict=False), ("Zulu", "Yankee")])], FACTS.replace("set_id", "execution_id"))
+    found = paths.components(facts)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.node, r.component) for r in found.collect()} == {(n.lower(), "alpha") for n in CHAIN} | {("yankee", "yankee"), ("zulu", "yankee")}
