@@ -62,7 +62,7 @@ def compare(claims: DataFrame, facts: DataFrame, keys: tuple[str, ...] = ("execu
     out = lookup(out, f, [*keys, "s", "r"], at, related=F.min_by("fact", "ord"))
     # a triple's relations of either polarity; the claim's own relation would have matched before
     out = lookup(out.withColumn("neg", ~_negated("r")), f.withColumn("neg", _negated("r")), [*keys, "s", "o", "neg"], at, opposed=F.min_by("fact", "ord"))
-    out = _engine_conflicts(out, f, keys, claims.columns, at)
+    out = _engine_conflicts(out, c, f, keys, claims.columns, at)
     e, q, p, g = (F.col(n) for n in ("exact", "related", "opposed", "engine"))
     other = F.coalesce(q, p, g)
     same_words = strip("relation") == strip(e["relation"])
@@ -91,18 +91,21 @@ def compare(claims: DataFrame, facts: DataFrame, keys: tuple[str, ...] = ("execu
     )
 
 
-def _engine_conflicts(out: DataFrame, f: DataFrame, keys: list[str], columns: list[str], at: str) -> DataFrame:
-    """Adds engine: the first fact by which another engine drives the claim's stage. Only claims about engines meet facts about engines."""
+def _engine_conflicts(out: DataFrame, c: DataFrame, f: DataFrame, keys: list[str], columns: list[str], at: str) -> DataFrame:
+    """Adds engine: the first fact by which another engine drives the claim's stage, for claims that nothing else was found for. Only claims about engines meet facts about engines.
+
+    c: the claims with their norms, before any lookup, so that lookups aren't done a second time to find those about engines.
+    """
     power = list(R.ENGINE_POWER)
-    asks = F.col("exact").isNull() & F.col("related").isNull() & F.col("opposed").isNull() & F.col("r").isin(power) & is_engine("object")
-    left = out.where(asks).select(*columns, "o").withColumn("__claim", F.struct(*columns))
+    left = c.where(F.col("r").isin(power) & is_engine("object")).select(*columns, "o").withColumn("__claim", F.struct(*columns))
     right = f.where(F.col("r").isin(power)).select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("subject").alias("__subject"), F.col("o").alias("__o"), F.col("ord").alias("__ord"), F.col("fact").alias("__fact"), *([F.col(SINCE).alias("__since")] if SINCE in f.columns else []))
     on = there(f, at, "__since")
     for k in keys:
         on = on & (F.col(k) == F.col(f"__{k}"))
     met = left.join(right, on & is_first_stage_pair("subject", "__subject") & (F.col("o") != F.col("__o")))
     best = met.groupBy("__claim").agg(F.min_by("__fact", "__ord").alias("engine"))
-    return out.withColumn("__claim", F.struct(*columns)).join(best, "__claim", "left")
+    out = out.withColumn("__claim", F.struct(*columns)).join(best, "__claim", "left")
+    return out.withColumn("engine", F.when(F.col("exact").isNull() & F.col("related").isNull() & F.col("opposed").isNull(), F.col("engine")))
 
 
 # frames: claims and facts as one intent sees them
