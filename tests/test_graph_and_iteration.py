@@ -197,6 +197,28 @@ def test_questions_see_what_earlier_ones_derived(spark):
     assert labels == {1: "SUPPORTED", 2: "NO_EVIDENCE"}
 
 
+def test_rounds_go_over_what_can_answer(spark, monkeypatch):
+    """Questions are understood once for all rounds and in several tasks; facts of other relations are looked through neither for named patients nor for claims about other subjects."""
+    from claimloom.operators import compare as compared
+    from claimloom.operators import questions
+
+    asked, contexts, facts = _order_matters(spark, 1, 2)
+    orders = spark.range(300).select(F.lit("e").alias("execution_id"), (F.col("id") + 10).alias("ord"), F.concat(F.lit("Order#"), "id").alias("subject"), F.lit("placed_by").alias("relation"), F.lit("Patient A").alias("object"), F.lit(None).cast("string").alias("evidence"))
+    facts, asked = facts.unionByName(orders).coalesce(1), asked.coalesce(1)
+    tasks, answers, looked = [], [], []
+    understood, answered, lookup = questions.with_intent, questions.answering, compared.lookup
+    monkeypatch.setattr(questions, "with_intent", lambda q, *a, **k: (tasks.append(q.rdd.getNumPartitions()), understood(q, *a, **k))[1])
+    monkeypatch.setattr(questions, "usual_subjects", lambda *a: pytest.fail("all questions name their patient"))
+    monkeypatch.setattr(questions, "answering", lambda f, *a: (answers.append(f.count()), answered(f, *a))[1])
+    monkeypatch.setattr(compared, "lookup", lambda rows, f, *a, **k: (looked.append(f.count()), lookup(rows, f, *a, **k))[1])
+    _, grown = iterate.grow(asked, contexts, facts)
+    assert grown.count() == 302 and grown.where("since = 1").count() == 1
+    assert tasks == [4] and answers == [0, 1]
+    claims = spark.createDataFrame([("e", 2, 0, 0, "Patient A", "has_ckd_stage", "stage 3a", None)], "execution_id string, sub_question_id int, iteration int, ord long, subject string, relation string, object string, source_sentence string")
+    compare(claims, grown).collect()
+    assert looked == [2] * 3
+
+
 def _visible(facts, at):
     """The facts that a question sees, as a table without `since`."""
     return facts.where(F.coalesce("since", F.lit(0)) <= at).drop("since")
