@@ -51,104 +51,158 @@ class Encoder:
     """A word-level tokenizer, with a cache of what words turn into.
 
     The tokenizer splits at white space first, so a text's ids are those of its words in turn. A word of Latin letters
-    followed by punctuation is split once more, as the tokenizer itself would; words are cached by their 64-bit hash.
+    followed by punctuation is split once more, as the tokenizer itself would. Such plain units are folded to lower case here, so
+    new ones are joined by spaces and go through the model alone, many at once; other words through the whole tokenizer.
+    Units are cached by their 64-bit hash, in a table with open addressing.
     """
 
-    LIMIT = 1 << 22
+    LIMIT = 3 << 20
+    #: Plain units in a string that the model gets.
+    JOINED = 4096
 
     def __init__(self, path: str, end: int = 2):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = end
         self.size = self.tokenizer.get_vocab_size()
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.closes = np.zeros(self.size, bool)  # the ids that end a word
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.closes[[i for token, i in self.tokenizer.get_vocab().items() if suffix and token.endswith(suffix)]] = True
         self.forget()
-        table = np.zeros(256, np.uint8)  # 1: letters, 2: punctuation, 3: anything else
+        table = np.zeros(256, np.uint8)  # 0: white space, 1: letters, 2: punctuation, 3: anything else
         table[:] = 3
         for b in (*range(65, 91), *range(97, 123), 0xC3, *(x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7))):
             table[b] = 1
         for b in range(33, 127):
             if table[b] == 3 and not 48 <= b <= 57 and b != 39:
                 table[b] = 2
+        table[~W.SPACED.word] = 0
         self.kind = table
+        self.folded = np.arange(256, dtype=np.uint8)  # of plain units: A to Z, and what follows 0xC3 in the letters from U+00C0 to U+00DE
+        self.folded[[*range(65, 91), *range(0x80, 0x97), *range(0x98, 0x9F)]] += 32
 
     def forget(self) -> None:
-        """Empty the cache: sorted hashes, and where in the pool their ids are."""
-        self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.pool, self.filled = np.zeros(1 << 16, np.uint32 if self.size > 1 << 16 else np.uint16), 0
-
-    def _learn(self, values: np.ndarray, strings: list[str]) -> None:
-        """Tokenize units that aren't in the cache; values are sorted."""
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
-        n = np.array([len(x) for x in found], np.int32)
-        ids = np.array([i for x in found for i in x], self.pool.dtype)
+        """Empty the cache: hashes (0: a free slot), and where in the pool their ids are (place and number in one)."""
+        self.keys, self.at, self.held = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint64), 0
+        self.pool, self.filled = np.zeros(1 << 16, np.uint32 if self.size > 1 << 16 else np.uint16), 1
+        self.pool[0] = self.end
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key is, or the free slot that ends the search for it."""
+        mask = len(self.keys) - 1
+        slots = (keys & np.uint64(mask)).astype(np.int64)
+        found = self.keys[slots]
+        left = np.flatnonzero((found != keys) & (found != 0))
+        while len(left):
+            slots[left] = (slots[left] + 1) & mask
+            found = self.keys[slots[left]]
+            left = left[(found != keys[left]) & (found != 0)]
+        return slots
+
+    def _insert(self, keys: np.ndarray, at: np.ndarray) -> None:
+        """Different keys that aren't in the table."""
+        self.held += len(keys)
+        if 2 * self.held > len(self.keys):
+            on = self.keys != 0
+            keys, at = np.concatenate([self.keys[on], keys]), np.concatenate([self.at[on], at])
+            slots = 1 << (2 * self.held).bit_length()
+            self.keys, self.at = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
+        while len(keys):
+            slots, first = np.unique(self._slots(keys), return_index=True)  # one key a free slot, the others look on
+            self.keys[slots], self.at[slots] = keys[first], at[first]
+            keys, at = np.delete(keys, first), np.delete(at, first)
+
+    def _learn(self, keys: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray, plain: np.ndarray) -> None:
+        """Tokenize different units that aren't in the cache."""
+        order = np.argsort(~plain, kind="stable")
+        keys, begin, end, n_plain = keys[order], begin[order], end[order], int(plain.sum())
+        found, counts = self._plain_ids(data, begin[:n_plain], end[:n_plain])
+        other, other_counts = self._other_ids(data, begin[n_plain:], end[n_plain:])
+        counts, ids = np.concatenate([counts, other_counts]), np.concatenate([found, other])
         if self.filled + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool[: self.filled], np.zeros(max(len(self.pool), len(ids)), self.pool.dtype)])
         self.pool[self.filled : self.filled + len(ids)] = ids
-        place = np.searchsorted(self.keys, values)
-        self.keys = np.insert(self.keys, place, values)
-        self.at = np.insert(self.at, place, self.filled + np.cumsum(n, dtype=np.int32) - n)
-        self.n = np.insert(self.n, place, n)
+        self._insert(keys, (self.filled + np.cumsum(counts) - counts).astype(np.uint64) << np.uint64(32) | counts.astype(np.uint64))
         self.filled += len(ids)
 
-    def _units(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray):
-        """Split words of letters and then punctuation in two. Returns the units' begins and ends, and whether their case may be folded."""
-        letters, others = np.zeros(len(data) + 1, np.int64), np.zeros(len(data) + 1, np.int64)
-        np.cumsum(self.kind[data] == 1, out=letters[1:])
-        np.cumsum(self.kind[data] == 3, out=others[1:])
-        n = letters[end] - letters[begin]
-        middle = begin + n
-        plain = (others[end] == others[begin]) & (letters[middle] - letters[begin] == n)
-        split = plain & (middle > begin) & (middle < end)
-        counts = 1 + split
-        at = np.cumsum(counts) - counts
-        b, e = np.empty(int(counts.sum()), np.int64), np.empty(int(counts.sum()), np.int64)
-        fold = np.repeat(plain, counts)
-        b[at], e[at] = begin, end
-        e[at[split]] = middle[split]
-        b[at[split] + 1], e[at[split] + 1] = middle[split], end[split]
-        return b, e, fold
+    def _plain_ids(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of plain units and their numbers."""
+        if not self.closes.any():  # the model doesn't mark where a unit ends
+            return self._other_ids(data, begin, end)
+        strings = []
+        for a in range(0, len(begin), self.JOINED):
+            b, n = begin[a : a + self.JOINED], (end - begin)[a : a + self.JOINED]
+            joined = np.full(int(n.sum()) + len(n), 32, np.uint8)
+            joined[W.ragged(np.cumsum(n + 1) - n - 1, n)] = data[W.ragged(b, n)]
+            strings.append(joined.tobytes().decode())
+        found = [np.array(e.ids, self.pool.dtype) for e in self.model.encode_batch_fast(strings, add_special_tokens=False)]
+        ids = np.concatenate([np.zeros(0, self.pool.dtype), *found])
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        return ids, np.diff(ends, prepend=0)
+
+    def _other_ids(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units of any kind and their numbers."""
+        strings = [data[b:e].tobytes().decode() for b, e in zip(begin.tolist(), end.tolist(), strict=True)]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        return np.array([i for x in found for i in x], self.pool.dtype), np.array([len(x) for x in found], np.int64)
+
+    def _units(self, data: np.ndarray, offsets: np.ndarray):
+        """The units of all texts: begins, ends, and whether they are plain. A word of letters and then punctuation is two."""
+        kind = self.kind[data]
+        edge = np.empty(len(kind) + 1, bool)
+        np.not_equal(kind[1:], kind[:-1], out=edge[1:-1])
+        edge[offsets] = True  # the first and the last byte's among them
+        runs = np.flatnonzero(edge)
+        kinds = kind[runs[:-1]]
+        starts = np.ones(len(kinds), bool)  # of words
+        starts[1:] = kinds[:-1] == 0
+        inner = offsets[(offsets > 0) & (offsets < len(data))]
+        starts[np.searchsorted(runs, inner)] = True
+        on = np.flatnonzero(kinds)
+        begin, end, kinds, starts = runs[on], runs[on + 1], kinds[on], starts[on]
+        first = np.flatnonzero(starts)
+        n = np.diff(first, append=len(on))
+        last = first + n - 1
+        plain = (n == 1) & (kinds[first] < 3) | (n == 2) & (kinds[first] == 1) & (kinds[last] == 2)
+        end[first[~plain]] = end[last[~plain]]
+        plain = np.repeat(plain, n)
+        unit = plain | starts
+        return begin[unit], end[unit], plain[unit]
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, each with the end token, and their numbers."""
         data, offsets = W.buffer_of(texts)
         low, high = int(offsets[0]), int(offsets[-1])
         data, offsets = data[low:high], offsets - low
-        _, _, begin, end = W.scan(data, offsets, W.SPACED, places=True)
-        begin, end, fold = self._units(data, begin, end)
-        ids = np.zeros(0, np.int64)
-        which = np.zeros(0, np.int64)
-        if len(begin):
-            lower = data.copy()
-            upper = (data >= 65) & (data <= 90)
-            lower[upper] += 32
-            keys = W.bytes_hash(lower, begin, end)
-            odd = ~fold
-            keys[odd] = W.bytes_hash(data, begin[odd], end[odd]) ^ np.uint64(1)
-            values, first, back = np.unique(keys, return_index=True, return_inverse=True)
-            if len(self.keys) > self.LIMIT:
+        begin = np.zeros(0, np.int64)
+        at = np.zeros(0, np.uint64)
+        if len(data):
+            begin, end, plain = self._units(data, offsets)
+            folded = self.folded[data]
+            as_is = W.ragged(begin[~plain], (end - begin)[~plain])
+            folded[as_is] = data[as_is]
+            keys = W.short_hash(folded, begin, end)
+            keys[~plain] ^= np.uint64(1)
+            keys[keys == 0] = 2
+            if self.held > self.LIMIT:
                 self.forget()
-            new = np.ones(len(values), bool)
-            if len(self.keys):
-                new = self.keys[np.minimum(np.searchsorted(self.keys, values), len(self.keys) - 1)] != values
-            if new.any():
-                raw, raw_lower = data.tobytes(), lower.tobytes()
-                at = first[new]
-                self._learn(values[new], [(raw_lower if f else raw)[b:e].decode() for b, e, f in zip(begin[at].tolist(), end[at].tolist(), fold[at].tolist(), strict=True)])
-            place = np.searchsorted(self.keys, values)[back]
-            which = self.n[place].astype(np.int64)
-            ids = self.pool[W.ragged(self.at[place].astype(np.int64), which)]
-        # units belong to texts by where they begin; then the end tokens go in
-        unit_text = np.searchsorted(begin, offsets)
-        upto = np.concatenate([[0], np.cumsum(which)])[unit_text]
-        counts = np.diff(upto) + 1
-        out = np.empty(len(ids) + len(counts), np.uint32)
-        ends = np.cumsum(counts) - 1
-        body = np.ones(len(out), bool)
-        body[ends] = False
-        out[ends] = self.end
-        out[body] = ids
-        return out, counts
+            slots = self._slots(keys)
+            new = np.flatnonzero(self.keys[slots] == 0)
+            if len(new):
+                values, first = np.unique(keys[new], return_index=True)
+                first = new[first]
+                self._learn(values, folded, begin[first], end[first], plain[first])
+                slots = self._slots(keys)
+            at = self.at[slots]
+        # an end token, the pool's first, goes in before the first unit of the next text
+        closing = np.searchsorted(begin, offsets[1:])
+        at = np.insert(at, closing, np.uint64(1))
+        n = (at & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        upto = np.cumsum(n)
+        return self.pool[W.ragged((at >> np.uint64(32)).astype(np.int64), n)], np.diff(upto[closing + np.arange(len(closing))], prepend=0)
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -169,7 +223,7 @@ def _tokenize(path: str, end: int):
         enc = encoder(path, end)
         for batch in batches:
             ids, counts = enc.encode(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), W.binaries(ids.astype(np.uint16) if enc.size <= 1 << 16 else ids, counts)], ["doc_id", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), W.binaries(ids, counts)], ["doc_id", "n", "ids"])
 
     return run
 

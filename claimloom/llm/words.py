@@ -16,6 +16,9 @@ import pyarrow.compute as pc
 
 PIECE = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes that short_hash() takes by eights, and masks of a word's first bytes.
+SHORT = 64
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _rng = np.random.default_rng(20240601)
 _VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -140,6 +143,25 @@ def bytes_hash(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarr
     return out
 
 
+def short_hash(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash for each stretch of bytes, eight bytes at a time; of stretches over SHORT bytes, that of bytes_hash()."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, np.dtype("<u8"), padded, strides=(1,))  # at each byte
+    n = end - begin
+    out = mix(n.astype(np.uint64) + _BASE)
+    on, left = np.flatnonzero(n <= SHORT), np.minimum(n, SHORT)[n <= SHORT]
+    at = begin[on]
+    while len(on):
+        part = eight[at] & _FIRST[np.minimum(left, 8)]
+        out[on] = mix((out[on] ^ part) * _BASE)
+        more = left > 8
+        on, at, left = on[more], at[more] + 8, left[more] - 8
+    long = n > SHORT
+    if long.any():
+        out[long] = bytes_hash(data, begin[long], end[long])
+    return out
+
+
 def ngrams(words: np.ndarray, n: int) -> np.ndarray:
     """A hash for each n words in a row; those that run over a text's end are among them (see inside())."""
     if len(words) < n:

@@ -318,6 +318,28 @@ def test_tokens_are_the_tokenizers():
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
 
 
+def test_new_words_are_tokenized_many_at_once():
+    encoder = packing.Encoder(tokenizer_path())
+    r = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZàéîõüßÿÀÉÎÕÜÞ"
+    words = ["".join(r.choices(letters, k=r.randint(1, 12))) + r.choice(["", "", ",", "!?", "</>"]) for _ in range(20_000)]
+    words += ["".join(r.choices(letters, k=k)) for k in (31, 32, 33, 63, 64, 65, 300)] + ["</w>", "a</w>", "×a", "a÷", "x'll", "É́", "7up", "ab12"]
+    texts = [" ".join(words[i : i + 50]) for i in range(0, len(words), 50)] + [words[0], "", " " + words[1], words[2] + " ", words[3]]
+    want = [[*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    sent, whole = [], encoder.model.encode_batch_fast
+
+    class Counted:
+        def encode_batch_fast(self, strings, **options):
+            sent.extend(strings)
+            return whole(strings, **options)
+
+    encoder.model, encoder.LIMIT = Counted(), 5_000
+    for _ in range(2):  # the cache grows, and is emptied on the way
+        got = [x.tolist() for part in (texts[:30], texts[30:]) for ids, counts in [encoder.encode(pa.array(part))] for x in np.split(ids, np.cumsum(counts)[:-1])]
+        assert got == want
+    assert 0 < len(sent) <= 20  # of about 20,000 units each time
+
+
 def test_neighbours_of_a_seed_share_its_words():
     counts = np.array([4, 4, 4, 4])
     values = np.array([1, 2, 3, 9, 7, 7, 8, 9, 1, 2, 3, 9, 5, 6, 8, 9], np.uint16)
