@@ -3,8 +3,10 @@
 Vectors get one more component, sqrt(M**2 - |x|**2) (M: the largest norm), and queries are scaled to the norm M; nearness in
 that space is the order by inner product. PROJECTIONS random directions (blocks of orthonormal ones) project them; each projection is
 an array sorted by value. A query's window on each array is centred on its own projection, begins narrow, and grows step by
-step (virtual rehashing: nothing is hashed anew, only what is new in a window is counted). A vector that is in the windows of the share
-COLLISIONS of all arrays is verified, once, by its inner product in double precision on the original vectors.
+step (virtual rehashing: nothing is hashed anew). A vector that is in the windows of the share
+COLLISIONS of all arrays is verified, once, by its inner product in double precision on the original vectors. Windows are widened to
+whole cells of the arrays, so no collision is lost; they are bitmaps of the vectors in them, and collisions are counted by adding these,
+64 vectors in an operation and many queries at once.
 
 The windows of a query stop growing when the nearest ones found are in reach: when they are no farther than the distance at
 which a vector is expected to be over the threshold by CERTAINTY standard deviations. So a query in a dense cluster looks at little, one
@@ -42,8 +44,10 @@ COLLISIONS = 0.5
 CERTAINTY = 1.0
 #: A window's first half width, as a share of the arrays' spread, and the least it grows by.
 START, GROWTH = 0.1, 1.08
+#: Cells that an array is cut into; windows are of whole ones.
+CELLS = 256
 #: Queries whose windows grow in step.
-TOGETHER = 128
+TOGETHER = 64
 
 FOUND = "query long, vec_id long, score double"
 
@@ -70,7 +74,11 @@ def reach(dims: int) -> float:
 
 
 class SortedProjections:
-    """One shard: original vectors, and for each projection its values in order, with the vectors they are of."""
+    """One shard: original vectors, and for each projection the order of its values, as bitmaps.
+
+    Each array is cut into CELLS cells of equal numbers; `before` has, for each cell's begin, a bit for every vector that lies before it.
+    So a window, widened to whole cells, is what two bitmaps differ in, and 64 vectors collide in one operation.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, largest: float):
         order = np.argsort(ids, kind="stable")
@@ -78,16 +86,22 @@ class SortedProjections:
         more = np.sqrt(np.maximum(largest**2 - (self.vectors**2).sum(axis=1), 0))
         self.directions = directions(vectors.shape[1] + 1)
         n, m = len(ids), len(self.directions)
-        kind = np.uint16 if n < 1 << 16 else np.uint32
-        self.values, self.of = np.empty((m, n)), np.empty((m, n), kind)
-        # where each vector stands in each array; a window is a range of such places
-        self.places, self.offset, self.inside = np.empty((m, n), kind), np.empty((m, n), kind), np.empty((m, n), bool)
+        self.cells = min(CELLS, n)
+        self.bounds = np.arange(self.cells + 1) * n // self.cells
+        self.lowest, self.highest = np.empty((m, self.cells)), np.empty((m, self.cells))  # each cell's least and largest value
+        self.before = np.zeros((m, self.cells + 1, -(-n // 64)), np.uint64)
+        within = np.repeat(np.arange(1, self.cells + 1), np.diff(self.bounds))
+        after = np.empty(n, np.int64)  # the first of a vector's cells' begins that it lies before
         spread = 0.0
         for j, direction in enumerate(self.directions):
             projected = self.vectors @ direction[:-1] + more * direction[-1]
             by = np.argsort(projected, kind="stable")
-            self.values[j], self.of[j] = projected[by], by
-            self.places[j, by] = np.arange(n)
+            self.lowest[j], self.highest[j] = projected[by[self.bounds[:-1]]], projected[by[self.bounds[1:] - 1]]
+            after[by] = within
+            octets = self.before[j].view(np.uint8)
+            for bit in range(min(8, n)):
+                octets[after[bit::8], np.arange(len(after[bit::8]))] |= np.uint8(1 << bit)
+            np.bitwise_or.accumulate(self.before[j], axis=0, out=self.before[j])
             spread += float(projected.std()) / m
         self.spread = max(spread, 1e-9 * max(largest, 1e-300))
         self.reach = reach(vectors.shape[1] + 1)
@@ -99,82 +113,141 @@ class SortedProjections:
             yield from self._search(queries[at : at + TOGETHER], k, enough, skip[at : at + TOGETHER])
 
     def _windows(self, centres: np.ndarray, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each query's windows begin and end on each array (queries x projections)."""
-        low, high = np.empty(centres.shape, np.int64), np.empty(centres.shape, np.int64)
-        for j, values in enumerate(self.values):
-            low[:, j] = np.searchsorted(values, centres[:, j] - widths)
-            high[:, j] = np.searchsorted(values, centres[:, j] + widths, "right")
+        """The cells that each query's windows begin before and end before, on each array (projections x queries)."""
+        low, high = np.empty(centres.shape[::-1], np.int64), np.empty(centres.shape[::-1], np.int64)
+        for j, (least, most) in enumerate(zip((centres - widths[:, None]).T, (centres + widths[:, None]).T, strict=True)):
+            low[j] = np.searchsorted(self.highest[j], least)
+            high[j] = np.searchsorted(self.lowest[j], most, "right")
         return low, high
 
+    def _collisions(self, low: np.ndarray, high: np.ndarray) -> list[np.ndarray]:
+        """How many windows each vector is in, for each query: bitmaps of the numbers' binary digits, the lowest first."""
+        digits: list[list[np.ndarray]] = [[]]
+        spare = np.empty((low.shape[1], self.before.shape[2]), np.uint64)
+
+        def add(x: np.ndarray, digit: int) -> None:
+            """Three bitmaps of a digit become one, and one of the next digit (a carry-save adder)."""
+            nonlocal spare
+            while True:
+                if digit == len(digits):
+                    digits.append([])
+                if len(digits[digit]) < 2:
+                    digits[digit].append(x)
+                    return
+                a, b = digits[digit]
+                np.bitwise_xor(a, b, out=spare)
+                np.bitwise_and(a, b, out=a)
+                np.bitwise_and(spare, x, out=b)
+                np.bitwise_or(a, b, out=a)
+                np.bitwise_xor(spare, x, out=x)
+                digits[digit] = [x]
+                spare, x, digit = b, a, digit + 1
+
+        for j, before in enumerate(self.before):
+            x = np.take(before, high[j], axis=0, mode="clip")
+            x ^= np.take(before, low[j], axis=0, out=spare, mode="clip")
+            add(x, 0)
+        zero = np.zeros_like(spare)
+        for digit in range(len(self.directions).bit_length()):
+            if digit < len(digits) and len(digits[digit]) == 2:
+                add(zero.copy(), digit)
+        return [x[0] if x else zero for x in digits]
+
+    def _at_least(self, digits: list[np.ndarray], least: int) -> np.ndarray:
+        """Bitmaps of the vectors whose number is `least` or more."""
+        over, equal = np.zeros_like(digits[0]), np.full_like(digits[0], ~np.uint64(0))
+        if least >> len(digits):
+            return over
+        for digit in reversed(range(len(digits))):
+            if least >> digit & 1:
+                equal &= digits[digit]
+            else:
+                over |= equal & digits[digit]
+                equal &= ~digits[digit]
+        return over | equal
+
+    def _largest(self, digits: list[np.ndarray], place: int) -> np.ndarray:
+        """For each query, the number that stands at a place (from 1) when they are in falling order."""
+        among = np.tile(self._bits(np.arange(len(self.ids))), (len(digits[0]), 1))
+        wanted, number = np.full(len(among), place), np.zeros(len(among), np.int64)
+        for digit in reversed(range(len(digits))):
+            on = among & digits[digit]
+            n = np.bitwise_count(on).sum(axis=1, dtype=np.int64)
+            held = n >= wanted
+            number[held] += 1 << digit
+            wanted[~held] -= n[~held]
+            among = np.where(held[:, None], on, among ^ on)
+        return number
+
+    def _bits(self, positions: np.ndarray) -> np.ndarray:
+        on = np.zeros(64 * self.before.shape[2], bool)
+        on[positions] = True
+        return np.packbits(on, bitorder="little").view(np.uint64)
+
     def _search(self, queries: np.ndarray, k: int, enough: int, skip: list[int | None]):
-        n, m = len(self.ids), len(self.values)
+        n, m = len(self.ids), len(self.directions)
         least = int(np.ceil(COLLISIONS * m))
         norms = np.sqrt((queries**2).sum(axis=1))
         centres = (queries * (self.largest / norms)[:, None]) @ self.directions[:, :-1].T
         widths = np.full(len(queries), START * self.spread)
-        asked = [_Query(self, own) for own in skip]
-        low, high = self._windows(centres, np.zeros(len(queries)))
-        high = low.copy()
+        asked = [_Query(self) for _ in queries]
+        new = np.tile(self._bits(np.arange(n)), (len(queries), 1))  # what is not verified yet
+        for i, own in enumerate(skip):
+            if own is not None:
+                new[i] &= ~self._bits(np.arange(*np.searchsorted(self.ids, [own, own + 1])))
         open_ = np.arange(len(queries))
         while len(open_):
-            # virtual rehashing: the windows grow, and what is new in them collides once more
-            to_low, to_high = self._windows(centres[open_], widths[open_])
+            # virtual rehashing: the windows grow, and what is in them collides
+            low, high = self._windows(centres[open_], widths[open_])
+            digits = self._collisions(low, high)
+            whole = ((low == 0) & (high == self.cells)).all(axis=0)
+            over = self._at_least(digits, least)
+            over[whole] = ~np.uint64(0)
+            over &= new[open_]
+            new[open_] ^= over
+            hits = np.flatnonzero(np.unpackbits(over.view(np.uint8), axis=1, count=n, bitorder="little").view(bool))
+            cuts = np.searchsorted(hits, np.arange(len(open_) + 1) * n)
+            for i, q in enumerate(open_.tolist()):
+                asked[q].verify(queries[q], k, hits[cuts[i] : cuts[i + 1]] - i * n)
+            few = np.array([len(asked[q].found) < enough for q in open_]) & ~whole
+            counts = np.zeros(len(open_), np.int64)
+            if few.any():
+                counts[few] = self._largest([x[few] for x in digits], min(enough, n))
             for i, q in enumerate(open_.tolist()):
                 x = asked[q]
-                x.grow(low[q], high[q], to_low[i], to_high[i])
-                x.verify(queries[q], k, least)
-                if x.whole:
+                if whole[i]:
                     widths[q] = np.inf
-                elif len(x.found) >= enough:
+                elif few[i]:
+                    # collisions grow less than in proportion to the width, so this is no wider than it has to be
+                    widths[q] *= max(GROWTH, least / max(int(counts[i]), least / 4))
+                else:
                     # in the space of one more component all vectors and queries are `largest` long
                     apart = np.sqrt(max(2 * self.largest**2 - 2 * self.largest / norms[q] * x.scores[enough - 1], 0.0))
                     wanted = apart / self.reach
                     widths[q] = np.inf if wanted <= widths[q] else min(widths[q] * GROWTH, wanted * (1 + 1e-9))
-                else:
-                    # collisions grow less than in proportion to the width, so this is no wider than it has to be
-                    of = n - min(enough, n)
-                    widths[q] *= max(GROWTH, least / max(int(np.partition(x.counts, of)[of]), least / 4))
-            low[open_], high[open_] = to_low, to_high
-            open_ = open_[np.isfinite(widths[open_])]
+            closed = np.isinf(widths[open_])
+            self.seen += int((self.bounds[high[:, closed]] - self.bounds[low[:, closed]]).sum())
+            open_ = open_[~closed]
         for x in asked:
             yield x.found, x.scores
 
 
 class _Query:
-    """What one query has counted and found."""
+    """What one query has found."""
 
-    def __init__(self, index: SortedProjections, own: int | None):
+    def __init__(self, index: SortedProjections):
         self.index = index
-        self.counts = np.zeros(len(index.ids), np.int16)
-        self.new = np.ones(len(index.ids), bool)
-        if own is not None:
-            self.new[np.searchsorted(index.ids, own) : np.searchsorted(index.ids, own, "right")] = False
         self.found, self.scores = np.zeros(0, np.int64), np.zeros(0)
-        self.whole = False
-
-    def grow(self, low, high, to_low, to_high) -> None:
-        index, n = self.index, len(self.index.ids)
-        entered = int((low - to_low).sum() + (to_high - high).sum())
-        index.seen += entered
-        if entered > index.of.size // 20:  # much is new: count the places that are in the windows, all at once
-            kind = index.places.dtype
-            np.subtract(index.places, to_low[:, None].astype(kind), out=index.offset)
-            np.less(index.offset, (to_high - to_low)[:, None].astype(kind), out=index.inside)
-            self.counts = np.add.reduce(index.inside.view(np.uint8), axis=0, dtype=np.int16)
-        elif entered:
-            rings = [part for of, a, b, c, d in zip(index.of, to_low.tolist(), low.tolist(), high.tolist(), to_high.tolist(), strict=True) for part in (of[a:b], of[c:d])]
-            self.counts = self.counts + np.bincount(np.concatenate(rings), minlength=n).astype(np.int16)
-        self.whole = int((to_high - to_low).sum()) == index.of.size
-
-    def verify(self, query: np.ndarray, k: int, least: int) -> None:
-        hits = np.flatnonzero(self.new if self.whole else self.counts >= least)
-        hits = hits[self.new[hits]]
+
+    def verify(self, query: np.ndarray, k: int, hits: np.ndarray) -> None:
         if not len(hits):
             return
-        self.new[hits] = False
         self.index.verified += len(hits)
-        found = np.concatenate([self.found, hits])
-        scores = np.concatenate([self.scores, (self.index.vectors[hits] * query).sum(axis=1)])
+        scores = np.einsum("ij,j->i", self.index.vectors[hits], query)
+        if len(self.found) == k:
+            near = scores >= self.scores[-1]
+            hits, scores = hits[near], scores[near]
+        found, scores = np.concatenate([self.found, hits]), np.concatenate([self.scores, scores])
         best = np.lexsort((found, -scores))[:k]  # ids are in order
         self.found, self.scores = found[best], scores[best]
 

@@ -548,6 +548,32 @@ def test_windows_grow_until_the_nearest_are_in_reach():
     assert index.verified < 0.1 * len(queries) * 6000 and index.seen < 0.5 * len(queries) * 6000 * neighbours.PROJECTIONS
 
 
+def test_collisions_are_counted_by_whole_bitmaps():
+    rng = np.random.default_rng(6)
+    for n in (1, 5, 63, 64, 700, 3001):
+        x, q = rng.normal(size=(n, 12)), rng.normal(size=(9, 12))
+        largest = float(np.sqrt((x**2).sum(axis=1)).max())
+        index = neighbours.SortedProjections(np.arange(n), x, largest)
+        more = np.concatenate([index.vectors, np.sqrt(np.maximum(largest**2 - (index.vectors**2).sum(axis=1), 0))[:, None]], axis=1)
+        values = more @ index.directions.T
+        centres = q @ index.directions[:, :-1].T
+        for width in (0.0, 0.2, 0.9, 50.0):
+            low, high = index._windows(centres, np.full(9, width))
+            digits = index._collisions(low, high)
+            assert all(d.dtype == np.uint64 and d.shape == (9, -(-n // 64)) for d in digits) and len(digits) == 8
+            counts = sum(np.unpackbits(d.view(np.uint8), axis=1, count=n, bitorder="little").astype(int) << k for k, d in enumerate(digits))
+            place = np.argsort(np.argsort(values, axis=0, kind="stable"), axis=0)
+            inside = (place >= index.bounds[low].T[:, None]) & (place < index.bounds[high].T[:, None])  # queries, vectors, projections
+            assert (counts == inside.sum(axis=2)).all()
+            exact = np.abs(values[None] - centres[:, None]) < width - 1e-9
+            assert (inside | ~exact).all()
+            for least in (1, 64, 100, 128):
+                over = np.unpackbits(index._at_least(digits, least).view(np.uint8), axis=1, count=n, bitorder="little")
+                assert (over == (counts >= least)).all()
+            for k in {1, min(20, n), n}:
+                assert (index._largest(digits, k) == -np.sort(-counts, axis=1)[:, k - 1]).all()
+
+
 def test_shared_folder_is_the_sessions(spark):
     assert base.shared_dir(spark) and base.keep(spark.range(3)).count() == 3
 
