@@ -132,14 +132,15 @@ class Encoder:
         """The ids of plain units and their numbers."""
         if not self.closes.any():  # the model doesn't mark where a unit ends
             return self._other_ids(data, begin, end)
-        strings = []
+        found = [np.zeros(0, self.pool.dtype)]
         for a in range(0, len(begin), self.JOINED):
             b, n = begin[a : a + self.JOINED], (end - begin)[a : a + self.JOINED]
             joined = np.full(int(n.sum()) + len(n), 32, np.uint8)
             joined[W.ragged(np.cumsum(n + 1) - n - 1, n)] = data[W.ragged(b, n)]
-            strings.append(joined.tobytes().decode())
-        found = [np.array(e.ids, self.pool.dtype) for e in self.model.encode_batch_fast(strings, add_special_tokens=False)]
-        ids = np.concatenate([np.zeros(0, self.pool.dtype), *found])
+            [encoding] = self.model.encode_batch_fast([joined.tobytes().decode()], add_special_tokens=False)  # one at a time: they are large
+            found.append(np.array(encoding.ids, self.pool.dtype))
+            del encoding
+        ids = np.concatenate(found)
         ends = np.flatnonzero(self.closes[ids]) + 1
         return ids, np.diff(ends, prepend=0)
 
@@ -251,6 +252,7 @@ def _terms(values: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarra
 
 def _document_frequencies(size: int, wide: bool):
     def run(batches):
+        _encoders.clear()  # all texts are tokenized, and workers are used again
         df = np.zeros(size, np.int64)
         for batch in batches:
             values, counts = _ids(batch.column(0), wide)
