@@ -282,3 +282,22 @@ def test_component_figures_need_no_labels_of_leaves(spark, monkeypatch):
     row = paths.graph_metrics(facts).first()
     assert (row["edges"], row["duplicates"], row["relations"], row["components"]) == (1200, 600, 1, 20)
     assert written[0] == 600  # different edges, before that all of them
+
+
+def test_passes_share_what_claims_do_not_change(spark, monkeypatch):
+    """Two passes: names, frames and hops of the facts are made once, and later lookups read their normalized triples."""
+    from claimloom.operators import compare as C
+
+    made = []
+    for module, name in ((C, "fact_frames"), (merge, "entities")):
+        monkeypatch.setattr(module, name, lambda *a, __f=getattr(module, name), __n=name, **k: (made.append(__n), __f(*a, **k))[1])
+    facts = facts_of(spark, [("Mission Alpha", "Launched-From", "Pad 39A"), ("Mission Alpha", "launched_by", "Rocket Beta")])
+    asked = spark.createDataFrame([("e", 1, "Where was Mission Alpha launched from?"), ("e", 2, "What rocket launched Mission Alpha?")], "execution_id string, sub_question_id int, question string")
+    contexts = spark.createDataFrame([("e", "Nothing else.")], "execution_id string, context string")
+    answers = spark.createDataFrame([("e", 1, "Pad 39A"), ("e", 2, "Rocket Gamma")], "execution_id string, sub_question_id int, answer string")
+    relation = F.when(F.col("sub_question_id") == 1, "launched_from").otherwise("launched_by")
+    extract = lambda rows: rows.select("execution_id", "sub_question_id", "iteration", F.lit(0).cast("long").alias("ord"), F.lit("Mission Alpha").alias("subject"), relation.alias("relation"), F.col("answer").alias("object"), F.col("answer").alias("source_sentence"))
+    revise = lambda rows: rows.select("execution_id", "sub_question_id", F.lit("Rocket Beta").alias("answer"))
+    results, _ = iterate.run(asked, contexts, facts, answers, extract, revise, max_iterations=2)
+    assert {r["sub_question_id"]: (r["stop_reason"], r["iteration"]) for r in results.collect()} == {1: ("RESOLVED", 0), 2: ("RESOLVED", 1)}
+    assert sorted(made) == ["entities", "fact_frames"]

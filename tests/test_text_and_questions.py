@@ -200,3 +200,11 @@ def test_bootstrap_reads_contexts_once(spark):
     got = {(r["sub_question_id"], r["ord"]): (r["relation"], r["object"]) for r in found.collect()}
     assert got == {(0, 0): ("diagnosed_with", "condition X disease"), (1, 0): ("has_a1c", "7%"), (2, 0): ("active_medication", "Alpha"), (2, 1): ("daily_dose", "10 mg daily"), (3, 0): ("allergic_to", "Beta")}
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_carried_norms_are_the_normalizers(spark):
+    """Relations that are in their normal form already take a shorter way to the same."""
+    names = ["located_in", "is_part_of", "was", "is_", "Located In", "a__b", "_a", "a_", "a\n", "a-b", "x2_3", "been_is_a", "isolated_at", "é_in", "", " ", None]
+    df = spark.createDataFrame([(f"The {n}#!", n, n) for n in names], "subject string, relation string, object string")
+    rows = T.normed(df).withColumns({"s": T.normalize("subject"), "r": T.normalize_relation("relation"), "o": T.normalize("object")}).collect()
+    assert [(x["__s"], x["__r"], x["__o"]) for x in rows] == [(x["s"], x["r"], x["o"]) for x in rows]
